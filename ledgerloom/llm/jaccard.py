@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import bounded, discard, stored
 from .text import FOLD, chunks, mix
 
 
@@ -126,14 +126,6 @@ def _mapped(text: Column, kind: str, f) -> Column:
     return F.arrow_udf(run, kind)(text)
 
 
-def _sizes(k: int):
-    def f(texts: pa.Array) -> pa.Array:
-        found = [(len(s), fingerprint(s) if len(s) else None) for s in sets(texts, k)]
-        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["n", "node"])
-
-    return f
-
-
 def _prefixes(join: Join):
     def f(texts: pa.Array) -> pa.Array:
         found = list(sets(texts, join.k))
@@ -209,29 +201,25 @@ class _Run:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, join: Join):
         self.join = join
         self.docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        self.rows = stored(self.docs.select("_id", _mapped(F.col("_text"), "n bigint, node bigint", _sizes(join.k)).alias("s")).select("_id", "s.*"))
-        self.nodes = stored(self.rows.filter("n > 0").groupBy("node").agg(F.min("_id").alias("least"), F.max("n").alias("n"), F.max(F.col("_id").isNull()).alias("_bare")))
+        made = _mapped(F.col("_text"), "node bigint, n bigint, group bigint, prefix array<bigint>", _prefixes(join))
+        self.rows = stored(self.docs.select("_id", made.alias("s")).select("_id", "s.*"))
+        full = self.rows.filter("n > 0").groupBy("node")
+        self.nodes = stored(full.agg(F.min("_id").alias("least"), F.max("n").alias("n"), F.max("group").alias("group"), F.max("prefix").alias("prefix")))
         self.tested = None
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
-        """One row or more of (_id, _text) for each node, as few as ids allow."""
-        wanted = self.nodes.join(nodes, "node", "left_semi") if nodes is not None else self.nodes
-        ids = wanted.select(F.col("least").alias("_want")).distinct()
-        return self.docs.join(ids, F.col("_id").eqNullSafe(F.col("_want")), "left_semi")
-
-    def once(self, made: DataFrame, nodes: DataFrame | None) -> DataFrame:
-        """Rows of ``made`` (struct _s) for the nodes, one each."""
-        flat = made.select("_s.*").filter("node is not null")
-        if nodes is not None:
-            flat = flat.join(nodes.select("node"), "node", "left_semi")
-        return flat
+        """Rows of (_id, _text) that hold each node, by the least id of it."""
+        ids = stored(self.nodes.join(nodes, "node", "left_semi").select(F.col("least").alias("_want")).distinct())
+        return self.docs.join(bounded(ids), F.col("_id").eqNullSafe(F.col("_want")), "left_semi")
+
+    def once(self, made: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Rows of ``made`` (struct _s) for the nodes only: an id may have other texts too."""
+        return made.select("_s.*").join(bounded(nodes.select("node")), "node", "left_semi")
 
     def light(self) -> tuple[DataFrame, DataFrame]:
         """Candidate pairs of groups, and the groups' members; and the heavy nodes."""
         join = self.join
-        # a node's least id names one text of it; rows of one id and several texts give their nodes several times over, so keys are made distinct
-        firsts = self.texts_of(None).select(_mapped(F.col("_text"), "node bigint, n bigint, group bigint, prefix array<bigint>", _prefixes(join)).alias("_s")).select("_s.*").filter("node is not null")
-        tokens = firsts.select("group", "node", "n", F.explode("prefix").alias("token"))
+        tokens = self.nodes.select("group", "node", "n", F.explode("prefix").alias("token"))
         shared = stored(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
         keyed = stored(tokens.join(shared, "token"))
         heavy = keyed.filter(F.col("c") > join.cap)
@@ -260,7 +248,7 @@ class _Run:
     def keyed_parts(self) -> DataFrame:
         """(key, node, n) of the heavy nodes, keys of two nodes at least."""
         made = self.texts_of(self.heavy).select(_mapped(F.col("_text"), "node bigint, n bigint, keys array<bigint>", _parts(self.join)).alias("_s"))
-        keys = self.once(made, self.heavy).select("node", "n", F.explode("keys").alias("key"))
+        keys = stored(self.once(made, self.heavy)).select("node", "n", F.explode("keys").alias("key"))
         shared = stored(keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_z")).filter("_a <> _z").select("key"))
         return stored(keys.join(shared, "key", "left_semi"))
 
@@ -273,6 +261,7 @@ class _Run:
         one, two = bodies.select(F.col("node").alias("a"), F.col("body").alias("left")), bodies.select(F.col("node").alias("b"), F.col("body").alias("right"))
         linked = F.arrow_udf(_linked(self.join.t), "boolean")
         edges = stored(pairs.join(two, "b").join(one, "a").filter(linked("left", "right")).select("a", "b").distinct())
+        discard(bodies)
         self.tested = pairs if self.tested is None else stored(self.tested.unionByName(pairs))
         return edges
 

@@ -35,6 +35,19 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a stored table that nothing will read again."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it has at most so many rows; beyond, the planner joins it as it does any table."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def salt_of(n: int, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
