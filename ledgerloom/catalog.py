@@ -1,14 +1,4 @@
-"""Registered queries and their SQL."""
+"""All registered queries of the library and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+from .plans import aggregates, joins, ranking, scalars, shaping, tables, windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
