@@ -1 +1,12 @@
+"""Calendar and digest shapes over the test tables."""
 
+from pyspark.sql import functions as F
+
+from ..operators.calendar import occurrences
+from ..registry import query
+
+
+@query("sm06_recurrence", "SELECT o_orderkey, unnest(range(CAST(o_orderdate AS DATE)::TIMESTAMP, (CAST(o_orderdate AS DATE) + 28)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 7 DAY))::DATE AS day FROM orders WHERE o_orderkey < 200")
+def _(t):
+    series = t.orders.filter("o_orderkey < 200").select("o_orderkey", F.to_date("o_orderdate").alias("start"), F.date_add(F.to_date("o_orderdate"), 28).alias("until"))
+    return occurrences(series, "start", "until", "7 days").select("o_orderkey", "day")

@@ -1 +1,66 @@
+"""Table operators over schedules derived from the test tables."""
 
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..operators import tables as O
+from ..registry import query
+
+
+@query("ag22_subtotals_hold", "SELECT count(*) AS totals, count(*) AS holding FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+def _(t):
+    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("long").alias("at"), F.round("l_extendedprice", 2).alias("v"), F.lit(False).alias("total"))
+    sums = lines.groupBy("l_orderkey").agg(F.lit(1 << 40).cast("long").alias("at"), F.round(F.sum("v"), 2).alias("v"), F.lit(True).alias("total"))
+    held = O.subtotals(lines.unionByName(sums), "v", F.col("total"), ["at", "v"], ["l_orderkey"])
+    return held.agg(F.count("*").alias("totals"), F.count_if("holds").alias("holding"))
+
+
+@query("ag24_identities", "SELECT 'total' AS target, 'net + tax' AS formula UNION ALL SELECT 'net', 'total - tax' UNION ALL SELECT 'tax', 'total - net'")
+def _(t):
+    rows = t.lineitem.select(F.round("l_extendedprice", 2).alias("net"), F.round(F.col("l_extendedprice") * (F.col("l_tax") + 0.01), 2).alias("tax"), F.col("l_quantity").alias("q"))
+    rows = rows.withColumn("total", F.col("net") + F.col("tax"))
+    found = O.identities(rows, ["net", "tax", "total", "q"], terms=2)
+    return rows.sparkSession.createDataFrame([(a, b) for a, b, _ in found], "target string, formula string")
+
+
+@query("ag25_running_balance", "SELECT true AS runs, false AS reversed")
+def _(t):
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    w = W.partitionBy("l_orderkey").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = t.lineitem.withColumn("balance", F.sum("l_extendedprice").over(w))
+    ok = O.running_balance(rows, "balance", [(1, "l_extendedprice")], order, ["l_orderkey"])
+    back = O.running_balance(rows, "balance", [(-1, "l_extendedprice")], order, ["l_orderkey"])
+    return rows.sparkSession.createDataFrame([(ok, back)], "runs boolean, reversed boolean")
+
+
+@query("src23_table_lines", "SELECT o_orderkey, label, value FROM (UNPIVOT (SELECT o_orderkey, o_orderstatus AS \"Status\", o_orderpriority AS \"Priority\" FROM orders) ON \"Status\", \"Priority\" INTO NAME label VALUE value)")
+def _(t):
+    line = F.concat(F.lit("Status: "), "o_orderstatus", F.lit(" | Priority: "), "o_orderpriority")
+    cell = F.explode(F.split(line, r"\s*\|\s*"))
+    parts = t.orders.select("o_orderkey", cell.alias("c"))
+    return parts.select("o_orderkey", F.regexp_extract("c", r"^([^:]+):", 1).alias("label"), F.trim(F.regexp_extract("c", r":(.*)$", 1)).alias("value"))
+
+
+@query("ud03_guarded_sql", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag ORDER BY l_returnflag")
+def _(t):
+    sql = "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag ORDER BY l_returnflag"
+    rows, _ = O.run(t.spark, sql, {"lineitem": t.lineitem})
+    return t.spark.createDataFrame(rows, "l_returnflag string, n bigint")
+
+
+@query("src21_snapshot_changes", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
+def _(t):
+    from ..operators.relational import snapshot_diff
+
+    rows = t.orders.select("o_orderkey", "o_orderstatus")
+    after = rows.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.col("o_orderstatus")))
+    return snapshot_diff(rows, after, "o_orderkey", ["o_orderstatus"]).select("o_orderkey")
+
+
+@query("snk01_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
+def _(t):
+    from ..operators.relational import upsert
+
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    new = rows.filter("o_orderkey % 4 = 0").withColumn("o_orderstatus", F.lit("new")).withColumn("o_totalprice", F.lit(0.0))
+    return upsert(rows, new, ["o_orderkey"], keep=["o_totalprice"])
