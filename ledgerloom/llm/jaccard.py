@@ -112,7 +112,7 @@ def part_keys(s: np.ndarray, t: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
+def _lists(values) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -126,41 +126,35 @@ def _mapped(text: Column, kind: str, f) -> Column:
     return F.arrow_udf(run, kind)(text)
 
 
+def _struct(rows: list[tuple], names: list[str]) -> pa.Array:
+    """Rows of (node, one or more values); numpy arrays become lists of longs. Only what is returned is held, not the sets."""
+    columns = list(zip(*rows)) or [() for _ in names]
+    arrays = [_lists(c) if name in ("prefix", "keys") else pa.array(c, pa.binary() if name == "body" else pa.int64()) for name, c in zip(names, columns)]
+    return pa.StructArray.from_arrays(arrays, names)
+
+
+_NONE = np.zeros(0, np.uint64)
+
+
 def _prefixes(join: Join):
-    def f(texts: pa.Array) -> pa.Array:
-        found = list(sets(texts, join.k))
-        first = [s[: join.prefix(len(s))] if len(s) else s for s in found]
-        of = pa.StructArray.from_arrays(
-            [
-                pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64()),
-                pa.array([len(s) for s in found], pa.int64()),
-                pa.array([fingerprint(mix(p + np.uint64(len(s)))) if len(s) else None for s, p in zip(found, first)], pa.int64()),
-                _lists(first),
-            ],
-            ["node", "n", "group", "prefix"],
-        )
-        return of
-
-    return f
+    def row(s: np.ndarray) -> tuple:
+        if not len(s):
+            return None, 0, None, _NONE
+        first = s[: join.prefix(len(s))].copy()
+        return fingerprint(s), len(s), fingerprint(mix(first + np.uint64(len(s)))), first
 
+    return lambda texts: _struct([row(s) for s in sets(texts, join.k)], ["node", "n", "group", "prefix"])
 
-def _parts(join: Join):
-    def f(texts: pa.Array) -> pa.Array:
-        found = list(sets(texts, join.k))
-        nodes = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
-        return pa.StructArray.from_arrays([nodes, pa.array([len(s) for s in found], pa.int64()), _lists([part_keys(s, join.t) if len(s) else np.zeros(0, np.int64) for s in found])], ["node", "n", "keys"])
 
-    return f
+def _parts(join: Join):
+    row = lambda s: (fingerprint(s), len(s), part_keys(s, join.t)) if len(s) else (None, 0, _NONE)
+    return lambda texts: _struct([row(s) for s in sets(texts, join.k)], ["node", "n", "keys"])
 
 
 def _bodies(join: Join):
-    def f(texts: pa.Array) -> pa.Array:
-        found = list(sets(texts, join.k))
-        nodes = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
-        cut = [np.sort(mix(s) & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in found]
-        return pa.StructArray.from_arrays([nodes, pa.array(cut, pa.binary())], ["node", "body"])
-
-    return f
+    low = np.uint64((1 << 48) - 1)
+    body = lambda s: np.sort(mix(s) & low).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return lambda texts: _struct([(fingerprint(s), body(s)) if len(s) else (None, b"") for s in sets(texts, join.k)], ["node", "body"])
 
 
 def _body(data: bytes) -> np.ndarray:
