@@ -3,8 +3,9 @@
 Texts and templates are normalised alike: A-Z folded, other ASCII than letters
 and digits taken as space, white space collapsed. The units compared are every
 line of a text, every paragraph (lines between blank lines) of more than one
-line, and the whole text where it has more than one paragraph. Bigrams are
-counted with their multiplicity.
+line, and the whole text where it has more than one paragraph; a unit adds
+nothing where one inside it has the same licence. Bigrams are counted with
+their multiplicity.
 
 For Dice >= t, a unit of b bigrams can match a template of a bigrams only if
 t / (2 - t) * a <= b <= (2 - t) / t * a; and of its bigrams at least the share
@@ -95,9 +96,10 @@ class Scanner:
                 if n <= self.most and inside >= self.least / (2 - self.least) * n:
                     best = self._best(h[a:z])
                     if best:
-                        base = chunk.bounds[text_at]
-                        points = [int(np.count_nonzero(chunk.points[base:x])) for x in (start, end)]
-                        out[chunk.first + text_at].append({"license": best[0], "dice": best[1], "start": points[0], "end": points[1]})
+                        base, found = chunk.bounds[text_at], out[chunk.first + text_at]
+                        low, high = (int(np.count_nonzero(chunk.points[base:x])) for x in (start, end))
+                        if not any(m["license"] == best[0] and low <= m["start"] and m["end"] <= high for m in found):
+                            found.append({"license": best[0], "dice": best[1], "start": low, "end": high})
         return out
 
     def _units(self, text, first, last, starts, ends) -> Iterator[tuple[int, int, int, int, int]]:

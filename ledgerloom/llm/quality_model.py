@@ -102,7 +102,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
     """Newton boosting of the logistic loss. A node without a split worth making sends all its rows left."""
     none = np.zeros((0, 2**depth - 1))
     mean = float(y.mean()) if len(y) else 0.5
-    if not 0 < mean < 1:
+    if not len(y) or not 0 < mean < 1:
         return Trees(none.astype(np.int64), none, np.zeros((0, 2**depth)), float(np.log((mean * len(y) + 0.5) / ((1 - mean) * len(y) + 0.5))) if len(y) else 0.0)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
