@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def late(df: DataFrame, ts: str, lateness: str) -> DataFrame:
+    """The rows under a watermark, which needs a timestamp with a zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+
+
 def tumbling(df: DataFrame, ts: str, length: str, by: Sequence[str], value: str, lateness: str | None = None) -> DataFrame:
     """start, the keys, n and total. A stream needs ``lateness``, its watermark."""
-    rows = df.withWatermark(ts, lateness) if lateness else df
+    rows = late(df, ts, lateness) if lateness else df
     g = rows.groupBy(F.window(ts, length).alias("_w"), *by).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("total"))
     return g.select(F.col("_w")["start"].alias("start"), *by, "n", "total")
 
 
 def once(df: DataFrame, key: Sequence[str], ts: str, lateness: str) -> DataFrame:
     """Each key once within the watermark: at-least-once delivery made idempotent."""
-    rows = df.withWatermark(ts, lateness)
+    rows = late(df, ts, lateness)
     return rows.dropDuplicatesWithinWatermark(list(key)) if df.isStreaming else df.dropDuplicates(list(key))
 
 
