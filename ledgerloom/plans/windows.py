@@ -77,12 +77,12 @@ def _(t):
 
 
 for _name, _order, _cols in (
-    ("newest", "o_orderdate DESC, o_orderkey", [F.desc("o_orderdate"), "o_orderkey"]),
-    ("oldest", "o_orderdate, o_orderkey", ["o_orderdate", "o_orderkey"]),
-    ("score", "o_totalprice DESC, o_orderkey", [F.desc("o_totalprice"), "o_orderkey"]),
-    ("queue", "o_orderpriority, o_orderdate, o_orderkey", ["o_orderpriority", "o_orderdate", "o_orderkey"]),
+    ("newest", "o_orderdate DESC, o_orderkey", lambda: [F.desc("o_orderdate"), "o_orderkey"]),
+    ("oldest", "o_orderdate, o_orderkey", lambda: ["o_orderdate", "o_orderkey"]),
+    ("score", "o_totalprice DESC, o_orderkey", lambda: [F.desc("o_totalprice"), "o_orderkey"]),
+    ("queue", "o_orderpriority, o_orderdate, o_orderkey", lambda: ["o_orderpriority", "o_orderdate", "o_orderkey"]),
 ):
-    query(f"so01_page_{_name}", f"SELECT o_orderkey FROM orders ORDER BY {_order} LIMIT 20 OFFSET 40")(lambda t, c=_cols: R.page(t.orders, c, 20, 40).select("o_orderkey"))
+    query(f"so01_page_{_name}", f"SELECT o_orderkey FROM orders ORDER BY {_order} LIMIT 20 OFFSET 40")(lambda t, c=_cols: R.page(t.orders, c(), 20, 40).select("o_orderkey"))
 
 
 @query("so02_enum_rank", "SELECT o_orderkey FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey LIMIT 60")
