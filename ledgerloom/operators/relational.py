@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -77,6 +78,9 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], righ
 
 def closure(pairs: DataFrame, node: str, key: str, most_rounds: int = 50) -> DataFrame:
     """(node, root): the least node reachable through shared keys. Rounds of least neighbours and pointer jumps, cut by checkpoint()."""
+    context = pairs.sparkSession.sparkContext
+    if not context.getCheckpointDir() and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
     edges = pairs.select(F.col(node).alias("n"), F.col(key).alias("k")).distinct()
     roots = edges.select("n").distinct().withColumn("root", F.col("n"))
     for _ in range(most_rounds):
