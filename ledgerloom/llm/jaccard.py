@@ -119,11 +119,13 @@ def _lists(values) -> pa.Array:
 
 
 def _mapped(text: Column, kind: str, f) -> Column:
+    """f over the texts, marked as not deterministic: else a filter that a join infers is pushed below it and every text is mapped twice, the second time before rows are left out."""
+
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
             yield f(texts)
 
-    return F.arrow_udf(run, kind)(text)
+    return F.arrow_udf(run, kind).asNondeterministic()(text)
 
 
 def _struct(rows: list[tuple], names: list[str]) -> pa.Array:
