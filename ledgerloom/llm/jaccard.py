@@ -296,23 +296,39 @@ class _Run:
         return labels
 
 
+def _labelled(run: _Run) -> DataFrame:
+    """(node, least id of it, label) of every node."""
+    return stored(run.nodes.select("node", "least").join(run.labels(), "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """id, n_shingles and component_id of every row."""
     run = _Run(docs, id_col, text_col, join)
-    labelled = run.nodes.select("node", "least").join(run.labels(), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = stored(labelled)
+    labelled = _labelled(run)
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     of = stored(labelled.join(least, "label").select("node", "component_id"))
     out = run.rows.join(of, "node", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
+def _nodes(join: Join):
+    return lambda texts: pa.array([fingerprint(s) if len(s) else None for s in sets(texts, join.k)], pa.int64())
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """One row of each component, that with the least id; of rows repeated with it, one. Rows with an empty set stay."""
-    found = link(docs, id_col, text_col, join)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = stored(first.groupBy(F.col(id_col).alias("_keep")).agg(F.max(F.col("n_shingles")).alias("_n"), F.count("*").alias("_rows")))
-    twice = keep.filter("_rows > 1 and _n > 0").select("_keep")
-    rows = docs.join(keep.filter("_rows = 1 or _n = 0").select("_keep"), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    again = docs.join(twice, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(again)
+    """One row of each component, that with the least id (null ids last); of rows repeated with it, one. Rows with an empty set stay.
+
+    Components are told by their nodes, as an id may be null or have several texts: only rows of such ids have their node made again.
+    """
+    run = _Run(docs, id_col, text_col, join)
+    first = _labelled(run).groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("_p"))
+    first = stored(first.select(F.col("_p")["node"].alias("_node"), F.col("_p")["least"].alias("_least")))
+    chosen = F.col("_node").isNotNull() & F.col("_id").eqNullSafe(F.col("_least"))
+    rows = run.rows.join(first, F.col("node") == F.col("_node"), "left")
+    ids = rows.groupBy(F.col("_id").alias("_keep")).agg(F.count("*").alias("_rows"), F.max((F.col("n") == 0) | chosen).alias("_kept"))
+    ids = stored(ids.filter("_kept").select("_keep", "_rows"))
+    of = lambda rows: docs.join(ids.filter(rows).select("_keep"), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    several = of("_rows > 1").withColumn("_own", _mapped(F.col(text_col), "bigint", _nodes(join)))
+    several = several.join(first, F.col("_own") == F.col("_node"), "left").filter(F.col("_own").isNull() | (F.col("_node").isNotNull() & F.col(id_col).eqNullSafe(F.col("_least"))))
+    several = several.withColumn("_row", F.when(F.col("_own").isNull(), F.monotonically_increasing_id())).dropDuplicates(["_own", "_row"])
+    return of("_rows = 1").unionByName(several.select(*docs.columns))

@@ -164,6 +164,14 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard.link(none).count() == 0
 
 
+def test_jaccard_keeps_texts_of_null_and_repeated_ids(spark):
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, ""), (None, None), (1, text("c")), (1, text("d")), (2, text("e")), (3, text("f")), (3, text("e") + " new"), (None, text("f"))]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(None, text("a")), (None, text("b")), (None, ""), (None, None), (1, text("c")), (1, text("d")), (2, text("e")), (3, text("f"))]
+    assert Counter(map(tuple, kept)) == Counter(want)
+
+
 def test_warc_round_trip_over_any_split(spark):
     rng = random.Random(1)
     same_page = "x" * 1500
