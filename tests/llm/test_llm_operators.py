@@ -61,6 +61,36 @@ def test_license_dice_is_that_of_counters():
         assert (d >= 0.8) == bool(found) and (not found or abs(found[0]["dice"] - d) < 1e-12)
 
 
+def test_licenses_of_several_paragraphs_or_inside_a_line():
+    scan = lambda x: [(f["license"], x[f["start"] : f["end"]]) for f in licenses.Scanner(licenses.TEMPLATES, 0.8).scan(pa.array([x]))[0]]
+    prose = " ".join(f"é{i}" for i in range(600))
+    for name in ("MIT", "GPL-3.0-notice", "GPL-2.0-notice", "BSD-3-Clause", "Zlib"):
+        whole = licenses.TEMPLATES[name]
+        words = whole.split()
+        cut = len(words) // 3
+        split = " ".join(words[:cut]) + "\n#\n# " + " ".join(words[cut : 2 * cut]) + "\n\n" + " ".join(words[2 * cut :])
+        for text in (f"{prose}\n\n{split}\n\n{prose}", f"{prose} {whole} {prose}"):
+            found = scan(text)
+            assert [f[0] for f in found] == [name] and found[0][1].split()[0] == words[0]
+    mit = licenses.TEMPLATES["MIT"]
+    assert [f[0] for f in scan(f"{prose} {mit} {prose} {mit} {prose} {licenses.TEMPLATES['ISC']} {prose}")] == ["MIT", "MIT", "ISC"]
+    assert scan(f"{prose} released under the MIT license. {prose}") == [("MIT-line", "released under the MIT license")]
+
+
+def test_license_windows_are_those_of_brute_force():
+    rng, template = random.Random(5), "a b c d a b e f".split()
+    bag = Counter(zip(template, template[1:]))
+    for _ in range(300):
+        w = [rng.choice("abcdefx") if rng.random() < 0.4 else template[i % 8] for i in range(rng.randint(0, 24))]
+        best = 0.0
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                b = Counter(zip(w[i:j], w[i + 1 : j]))
+                best = max(best, 2 * (b & bag).total() / (b.total() + bag.total()))
+        found = licenses.Scanner({"t": " ".join(template)}, 0.8).scan(pa.array([f"{'x ' * 40}{' '.join(w)}{' x' * 40}"]))[0]
+        assert max((f["dice"] for f in found), default=0.0) == pytest.approx(best if best >= 0.8 else 0.0)
+
+
 def test_toxicity_held_out(spark, odd, none):
     got = queries.op3_toxicity(spark, SF)
     rows = got.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
