@@ -14,8 +14,10 @@ each step it writes the current word, and advances if a random bit, drawn for
 step and word, says so. Sequences within k edits then differ in few places. Each
 repetition has a walk of its own and samples a few places; windows and items
 that agree in all of them are candidates, and the exact edit distance decides.
-The number of repetitions is set by simulating k edits on items of the sizes at
-hand until the target recall is reached.
+The number of repetitions is set by simulating k edits on items of each size at
+hand until the target recall is reached. Sizes that do not reach it in
+``most_repetitions``, and those over ``longest``, are not embedded: each stretch
+of windows that the bound leaves for an item is searched by edit distance.
 
 Items are handled in blocks of ``block`` items, each a pass over the texts.
 
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,7 @@ class Settings:
     samples: int = 2
     recall: float = 0.99
     most_repetitions: int = 64
+    longest: int = 128
     seed: int = 11
 
 
@@ -74,31 +78,31 @@ def signatures(windows: np.ndarray, settings: Settings, repetition: int) -> np.n
     return out
 
 
-def repetitions(sizes: list[int], settings: Settings, trials: int = 200) -> int:
-    """The least number that finds the target share of simulated pairs at the largest distance, for the hardest of the sizes."""
-    rng, most = np.random.default_rng(settings.seed), 1
-    for n in sorted({min(sizes), int(np.median(sizes)), max(sizes)}) if sizes else []:
-        k = int(settings.max_edit * n)
-        items = rng.integers(1, 1 << 62, (trials, n)).astype(np.uint64)
-        edited = np.empty_like(items)
-        for i in range(trials):
-            s = items[i].tolist()
-            for _ in range(k):
-                kind, at = rng.integers(3), int(rng.integers(len(s)))
-                if kind == 0:
-                    s[at] = int(rng.integers(1, 1 << 62))
-                elif kind == 1 and len(s) > 1:
-                    del s[at]
-                else:
-                    s.insert(at, int(rng.integers(1, 1 << 62)))
-            edited[i] = np.array((s + rng.integers(1, 1 << 62, n).tolist())[:n], np.uint64)
-        found = np.zeros(trials, bool)
-        for r in range(settings.most_repetitions):
-            found |= signatures(items, settings, r) == signatures(edited, settings, r)
-            if found.mean() >= settings.recall:
-                break
-        most = max(most, r + 1)
-    return most
+@lru_cache(maxsize=4096)
+def repetitions(n: int, settings: Settings, trials: int = 200) -> int | None:
+    """The least number that finds the target share of simulated pairs of n words at the largest distance; None if there is none up to the most."""
+    if n > settings.longest:
+        return None
+    rng, k = np.random.default_rng(settings.seed), int(settings.max_edit * n)
+    items = rng.integers(1, 1 << 62, (trials, n)).astype(np.uint64)
+    edited = np.empty_like(items)
+    for i in range(trials):
+        s = items[i].tolist()
+        for _ in range(k):
+            kind, at = rng.integers(3), int(rng.integers(len(s)))
+            if kind == 0:
+                s[at] = int(rng.integers(1, 1 << 62))
+            elif kind == 1 and len(s) > 1:
+                del s[at]
+            else:
+                s.insert(at, int(rng.integers(1, 1 << 62)))
+        edited[i] = np.array((s + rng.integers(1, 1 << 62, n).tolist())[:n], np.uint64)
+    found = np.zeros(trials, bool)
+    for r in range(settings.most_repetitions):
+        found |= signatures(items, settings, r) == signatures(edited, settings, r)
+        if found.mean() >= settings.recall:
+            return r + 1
+    return None
 
 
 def distances(items: np.ndarray, runs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -116,6 +120,17 @@ def distances(items: np.ndarray, runs: np.ndarray, lengths: np.ndarray) -> np.nd
     return np.where(inside, line, 1 << 30).min(axis=1)
 
 
+def start_distances(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Per word, the least edit distance between an item and a run of words that begins there."""
+    back, steps = words[::-1], np.arange(len(words) + 1)
+    line = np.zeros(len(words) + 1, np.int64)
+    for word in item[::-1]:
+        new = line + 1
+        new[1:] = np.minimum(new[1:], line[:-1] + (back != word))
+        line = np.minimum.accumulate(new - steps) + steps
+    return line[:0:-1]
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
@@ -135,12 +150,15 @@ class Matcher:
         self.flags = np.zeros(1 << 20, bool)
         self.flags[(self.known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.groups, self.sizes = [], np.unique(self.size)
-        r = repetitions(self.size.tolist(), settings)
+        need = {n: repetitions(n, settings) for n in self.sizes.tolist()}
+        r = max((x for x in need.values() if x), default=0)
+        self.exact = {n for n, x in need.items() if x is None}
+        self.long = {i: items[i][:2] for i in np.flatnonzero(np.isin(self.size, list(self.exact))).tolist()}
         for n in np.unique(self.size).tolist():
             at = np.flatnonzero(self.size == n)
             words = np.stack([items[i][1] for i in at])
             tables = []
-            for j in range(r):
+            for j in range(0 if n in self.exact else r):
                 s = signatures(words, settings, j)
                 order = np.argsort(s, kind="stable")
                 tables.append((s[order], order))
@@ -155,8 +173,8 @@ class Matcher:
         place[at[same]] = found[same]
         return place
 
-    def _met(self, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of windows, and their sizes, that hold enough of one item's own words. first: per word, its text's first word."""
+    def _met(self, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of windows, their sizes, and the item of whose own words they hold enough. first: per word, its text's first word."""
         at = np.flatnonzero(place >= 0)
         count = self.held[place[at]]
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -167,11 +185,12 @@ class Matcher:
         last = np.arange(len(at)) + self.need[item] - 1
         ok = last < len(at)
         ok[ok] = (item[last[ok]] == item[ok]) & (at[last[ok]] - at[ok] < self.size[item[ok]]) & (first[at[last[ok]]] == first[at[ok]])
-        a, z, n = at[ok], at[last[ok]], self.size[item[ok]]
+        a, z, item = at[ok], at[last[ok]], item[ok]
+        n = self.size[item]
         low = np.maximum(first[a], z - n + 1)
         count = a - low + 1
         starts = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        return starts, np.repeat(n, count)
+        return starts, np.repeat(n, count), np.repeat(item, count)
 
     def find(self, texts: pa.Array) -> list[list[dict]]:
         """Windows are gathered over the whole batch, so that each walk is made for many at once."""
@@ -182,9 +201,12 @@ class Matcher:
             if not len(h):
                 continue
             first, stop = (np.repeat(b, chunk.n_words) for b in (chunk.word_bounds[:-1], chunk.word_bounds[1:]))
-            met, sizes = self._met(self._places(h), first)
+            met, sizes, owners = self._met(self._places(h), first)
             for g in np.flatnonzero(np.isin(self.sizes, sizes)):
                 n, k = self.groups[g][:2]
+                if n in self.exact:
+                    self._search(k, met[sizes == n], owners[sizes == n], h, first, stop, chunk, best)
+                    continue
                 starts = distinct_values(met[sizes == n])
                 for part in np.array_split(starts, len(starts) // _MOST + 1):
                     at = part[:, None] + np.arange(n + k)
@@ -203,6 +225,20 @@ class Matcher:
             out[text].append({"item_id": item, "distance": d, "start_word": start})
         return out
 
+    def _search(self, k, met, owners, h, first, stop, chunk, best) -> None:
+        """Edit distance over whole stretches of an item's windows, without embedding."""
+        for owner in distinct_values(owners).tolist():
+            name, item = self.long[owner]
+            starts, reach = distinct_values(met[owners == owner]), len(item) + k
+            torn = (np.diff(starts) > reach) | (np.diff(first[starts]) > 0)
+            for part in np.split(starts, np.flatnonzero(torn) + 1):
+                low = int(part[0])
+                d = start_distances(item, h[low : min(int(part[-1]) + reach, int(stop[low]))])
+                at = int(d.argmin())
+                if d[at] <= k:
+                    key, new = (int(chunk.text_of_word[low] + chunk.first), name), (int(d[at]), int(low + at - first[low]))
+                    best[key] = min(best.get(key, new), new)
+
     def _group(self, group, windows, best) -> None:
         n, k, ids, words, tables = group
         runs, lengths, texts, starts = (np.concatenate(x) for x in zip(*windows))

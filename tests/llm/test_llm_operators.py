@@ -285,6 +285,32 @@ def test_leaks_are_those_of_brute_force(spark, odd, none):
     assert decontam.clean(none, frames[1]).count() == 0 and decontam.clean(odd, frames[1].limit(0)).count() == odd.count()
 
 
+def test_long_items_are_all_found():
+    rng = random.Random(6)
+    hashed = lambda x: next(chunks(pa.array([x]), PLAIN))
+    word = lambda: f"w{rng.randint(0, 2000)}"
+    items, texts = [], []
+    for i, n in enumerate([150, 300, 600, 1000] * 5):
+        items.append(" ".join(word() for _ in range(n)))
+        w = items[-1].split()
+        for _ in range(int(0.2 * n)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice(([], [word()]))
+        texts.append(" ".join([*(f"a{rng.randint(0, 99)}" for _ in range(50)), *w, *(f"b{rng.randint(0, 99)}" for _ in range(50))]))
+    rows = [(i, hashed(x).word_hashes(), hashed(x).ends - hashed(x).starts) for i, x in enumerate(items)]
+    got = decontam.Matcher(rows, decontam.Settings()).find(pa.array([None, *texts, ""]))
+    assert [[m["item_id"] for m in g] for g in got] == [[], *([i] for i in range(len(items))), []]
+    assert all(m["distance"] <= 0.2 * len(rows[m["item_id"]][1]) and abs(m["start_word"] - 50) < 25 for g in got for m in g)
+
+
+def test_distances_from_each_start():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        item, words = rng.integers(0, 4, 5).astype(np.uint64), rng.integers(0, 4, 12).astype(np.uint64)
+        want = [decontam.distances(item[None], words[None, i:], np.array([12 - i]))[0] for i in range(12)]
+        assert decontam.start_distances(item, words).tolist() == want
+
+
 def test_pipeline_keeps_to_its_stages(spark):
     import corpus_pipeline as P
 
