@@ -3,9 +3,12 @@
 Patterns give the base spans. Beside them, every run of key-like characters
 with a letter and a digit is scored by two first-order Markov models, one
 trained on random strings and one on ordinary identifiers; a mean
-log-likelihood ratio per character above a threshold adds a span of kind
-``markov``, unless a base span already covers the run. Spans are in code
-points, ends exclusive.
+log-likelihood ratio per character above a threshold, over the whole run or over
+any stretch of 20 characters or more, adds a span of kind ``markov``, unless a
+base span already covers the run or the stretch. Stretches have a threshold of their own, set
+as that of runs. The span is the stretch of the largest sum of ratios, widened
+to the separators around it; what is left of the run on both sides is searched
+again. Spans are in code points, ends exclusive.
 
 Defined cases: a null or empty text has no span; texts of any length are read
 whole; repeated rows are each scanned; an empty table gives an empty table.
@@ -16,7 +19,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_LEAST = 20
+_SEPARATORS = "/_-="
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -75,15 +82,43 @@ class MarkovPair:
             np.add.at(counts[label], (at[:-1], at[1:]), 1)
         p = counts / counts.sum(axis=2, keepdims=True)
         self.ratio = np.log(p[1] / p[0])
+        self.stretch = self.threshold(samples, score=self.best_stretch)
+
+    def ratios(self, text: str) -> np.ndarray:
+        at = [0, *(self.code.get(c, 0) for c in text)]
+        return self.ratio[at[:-1], at[1:]]
+
+    def largest_sum(self, text: str, level: float = 0.0) -> tuple[float, int, int]:
+        """The largest sum of ratios less a level, over stretches of 20 characters or more with a letter and a digit, and where it is; one pass."""
+        b = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+        last = lambda has: np.maximum.accumulate(np.where(has, np.arange(len(b)), -1))
+        most = np.minimum(last((b >= 48) & (b < 58)), last(((b | 32) >= 97) & ((b | 32) < 123)))
+        most = np.minimum(most, np.arange(1, len(b) + 1) - _LEAST)
+        ends = np.flatnonzero(most >= 0)
+        if not len(ends):
+            return -math.inf, 0, 0
+        sums = np.concatenate([[0], np.cumsum(self.ratios(text) - level)])
+        gain = sums[ends + 1] - np.minimum.accumulate(sums)[most[ends]]
+        i = int(gain.argmax())
+        return float(gain[i]), int(sums[: most[ends[i]] + 1].argmin()), int(ends[i]) + 1
+
+    def best_stretch(self, text: str) -> float:
+        """The largest mean over such stretches, of a short string."""
+        best, level = -math.inf, -20.0
+        while True:
+            gain, a, z = self.largest_sum(text, level)
+            if gain <= 1e-9:
+                return best
+            best = level = level + gain / (z - a)
 
     def score(self, text: str) -> float:
         """Mean log-likelihood ratio per character; above 0 is likelier random."""
         at = [0, *(self.code.get(c, 0) for c in text)]
         return float(self.ratio[at[:-1], at[1:]].sum() / max(1, len(text)))
 
-    def threshold(self, samples: list[tuple[str, int]], most_false: float = 0.001) -> float:
+    def threshold(self, samples: list[tuple[str, int]], most_false: float = 0.001, score=None) -> float:
         """The least threshold that at most this share of the ordinary samples passes."""
-        s = sorted(self.score(t) for t, label in samples if not label)
+        s = sorted((score or self.score)(t) for t, label in samples if not label)
         return max(0.0, s[min(len(s) - 1, math.ceil(len(s) * (1 - most_false)) - 1)])
 
 
@@ -93,18 +128,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+def _keys(run: str, model: MarkovPair, threshold: float) -> list[tuple[int, int]]:
+    """Spans of the stretches of a run that are likelier random."""
+    found, left = [], [(0, len(run))]
+    while left:
+        low, high = left.pop()
+        part = run[low:high]
+        gain, a, z = model.largest_sum(part) if len(part) >= _LEAST else (-math.inf, 0, 0)
+        if gain > -math.inf and (model.score(part) > threshold or model.largest_sum(part, model.stretch)[0] > 0):
+            while a and part[a - 1] not in _SEPARATORS:
+                a -= 1
+            while z < len(part) and part[z] not in _SEPARATORS:
+                z += 1
+            found.append((low + a, low + z))
+            left += [(low, low + a), (low + z, high)]
+    return found
+
+
 def scan(text: str, model: MarkovPair, threshold: float) -> list[tuple[str, int, int]]:
     """Spans by start, then kind as listed in KINDS."""
     base = sorted(base_spans(text), key=lambda s: s[1])
-    found, covers, b = list(base), [], 0
+    found, starts, ends = list(base), [s[1] for s in base], list(accumulate((s[2] for s in base), max))
+
+    def covered(a: int, z: int) -> bool:
+        at = bisect_right(starts, a)
+        return at > 0 and ends[at - 1] >= z
+
     for m in _RUN.finditer(text):
-        while b < len(base) and base[b][1] <= m.start():
-            covers.append(base[b][2])
-            b += 1
-        covers = [e for e in covers if e >= m.end()]
-        run = m[0]
-        if not covers and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and model.score(run) > threshold:
-            found.append(("markov", *m.span()))
+        if not covered(*m.span()):
+            keys = [(m.start() + a, m.start() + z) for a, z in _keys(m[0], model, threshold)]
+            found += [("markov", *k) for k in keys if not covered(*k)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -148,6 +148,22 @@ def test_secrets_are_those_of_the_patterns(spark, odd, none):
     assert [k for k, _, _ in secrets.scan("é x9Kq2LmZ7pTr4WvB8nYd1 payment_order_history_2024", model, 0.0)] == ["markov"]
 
 
+def test_keys_behind_words_of_a_path():
+    rng = random.Random(8)
+    model = secrets.MarkovPair(secrets.labelled_samples())
+    threshold = model.threshold(secrets.labelled_samples())
+    key = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=22)) + "47"
+    path = "callback/payment/order/customer/history/"
+    found = 0
+    for _ in range(100):
+        a, b = key(), key()
+        text = f"é {path}{a}/{path}{b}/{path}"
+        found += [text[x:z] for _, x, z in secrets.scan(text, model, threshold)] == [a, b]
+    assert found >= 95
+    plain = [x for x, random_one in secrets.labelled_samples(seed=9) if not random_one]
+    assert sum(bool(secrets.scan(x, model, threshold)) for x in plain) <= 0.002 * len(plain)
+
+
 def components(sets, t):
     parent = {i: i for i in sets}
 
