@@ -61,9 +61,15 @@ def keyword_search(df: DataFrame, weighted: dict[str, int], terms: Sequence[str]
     return scored.filter("whole > 0 or _any = 0").orderBy(F.desc("whole"), F.desc("hits"), *order).limit(limit).drop("_any")
 
 
-def fuse(words: DataFrame, meaning: DataFrame, key: str, limit: int, words_first: bool) -> DataFrame:
-    """One ranking of two, without repeats. Both have (key, rank)."""
-    a, b = (words, meaning) if words_first else (meaning, words)
-    both = a.select(key, F.lit(0).alias("_from"), "rank").unionByName(b.select(key, F.lit(1).alias("_from"), "rank"))
-    first = both.groupBy(key).agg(F.min(F.struct("_from", "rank")).alias("_p"))
-    return first.orderBy("_p", key).limit(limit).select(key, F.col("_p")["_from"].alias("source_rank"), F.col("_p")["rank"].alias("rank"))
+def fuse(words: DataFrame, meaning: DataFrame, key: str, limit: int) -> DataFrame:
+    """One ranking of two, of (key, rank); words also tell in ``every`` whether a hit has every term.
+
+    Words alone where some hit has every term and there are ``limit`` of them; else words first if some hit has every term, and meaning first if not.
+    What both found counts with the words. ``source_rank`` is 0 for the ranking that comes first.
+    """
+    stats = words.agg(F.coalesce(F.max("every"), F.lit(False)).alias("_exact"), F.count("*").alias("_n"))
+    own = words.select(key, F.lit(True).alias("_words"), "rank")
+    both = own.unionByName(meaning.join(words, key, "left_anti").select(key, F.lit(False).alias("_words"), "rank")).join(F.broadcast(stats))
+    kept = both.filter(F.col("_words") | ~F.col("_exact") | (F.col("_n") < limit))
+    first = kept.select(key, (F.col("_words") != F.col("_exact")).cast("int").alias("source_rank"), "rank")
+    return first.orderBy("source_rank", "rank", key).limit(limit)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import relational as R
 from ..operators import search as S
 from ..registry import query
 
@@ -35,9 +36,14 @@ def _(t):
 
 @query("rk04_hybrid")
 def _(t):
-    words = t.documents.filter("lang = 'en'").orderBy(F.desc("n_chars"), "doc_id").limit(20).select("doc_id", F.row_number().over(W.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    meaning = t.embeddings.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("doc_id"), F.row_number().over(W.orderBy("vec_id")).alias("rank"))
-    return S.fuse(words, meaning, "doc_id", 25, words_first=True)
+    terms, limit = ["then", "on"], 25
+    found = S.keyword_search(t.documents, {"source": 3, "text": 1}, terms, ["source"], [F.asc("doc_id")], limit)
+    every = R.words_in_places(terms, [F.col("source"), F.col("text")])
+    words = found.select("doc_id", F.coalesce(every, F.lit(False)).alias("every"), F.row_number().over(W.orderBy(F.desc("whole"), F.desc("hits"), "doc_id")).alias("rank"))
+    asked = t.embeddings.filter("vec_id = 3").first()["embedding"]
+    near = S.vector_search(t.embeddings, "vec_id", "embedding", asked).orderBy(F.desc("score"), "vec_id").limit(limit)
+    meaning = near.select(F.col("vec_id").alias("doc_id"), F.row_number().over(W.orderBy(F.desc("score"), "vec_id")).alias("rank"))
+    return S.fuse(words, meaning, "doc_id", limit)
 
 
 @query("rk06_index_changes", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'todo' WHEN l.quality = 0 THEN 'stale' ELSE 'current' END AS state FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")

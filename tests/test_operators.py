@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators import relational as R
+from ledgerloom.operators import search
 from ledgerloom.operators import tables as O
 from ledgerloom.streaming import windows as S
 
@@ -56,3 +57,28 @@ def test_stream_goes_on_from_its_checkpoint(spark, sf, tmp_path):
         S.drain(S.once(S.arrive(spark, arrived, events.schema), ["event_id"], "ts", "60 days"), out, at)
         S.drain(S.once(S.arrive(spark, arrived, events.schema), ["event_id"], "ts", "60 days"), out, at)
     assert spark.read.parquet(out).count() == spark.read.parquet(out).distinct().count() == events.count()
+
+
+@pytest.mark.parametrize(
+    "every, limit, want",
+    [
+        ([True, False], 2, [(1, 0, 1), (2, 0, 2)]),  # enough hits, one with every term: words only
+        ([True, False], 3, [(1, 0, 1), (2, 0, 2), (8, 1, 1)]),  # too few hits: words first
+        ([False, False], 4, [(8, 0, 1), (9, 0, 3), (1, 1, 1), (2, 1, 2)]),  # none with every term: meaning first
+        ([], 5, [(8, 0, 1), (2, 0, 2), (9, 0, 3)]),
+    ],
+)
+def test_fusion_order(spark, every, limit, want):
+    words = spark.createDataFrame([(i + 1, e, i + 1) for i, e in enumerate(every)], "id bigint, every boolean, rank int")
+    meaning = spark.createDataFrame([(8, 1), (2, 2), (9, 3)], "id bigint, rank int")
+    assert [tuple(r) for r in search.fuse(words, meaning, "id", limit).collect()] == want
+
+
+def test_hybrid_searches_the_whole_tables(spark, sf):
+    from ledgerloom.catalog import QUERIES
+
+    texts = {r["doc_id"]: f"{r['source']} {r['text']}".lower() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    near = {r["vec_id"] for r in QUERIES["rk03_vector_search"](spark, sf).collect()}
+    got = [r["doc_id"] for r in QUERIES["rk04_hybrid"](spark, sf).collect()]
+    assert got and len(set(got)) == len(got)
+    assert all(i in near or "then" in texts[i] or "on" in texts[i] for i in got)
