@@ -314,8 +314,9 @@ def test_long_items_are_all_found():
             w[at : at + rng.randint(0, 1)] = rng.choice(([], [word()]))
         texts.append(" ".join([*(f"a{rng.randint(0, 99)}" for _ in range(50)), *w, *(f"b{rng.randint(0, 99)}" for _ in range(50))]))
     rows = [(i, hashed(x).word_hashes(), hashed(x).ends - hashed(x).starts) for i, x in enumerate(items)]
-    got = decontam.Matcher(rows, decontam.Settings()).find(pa.array([None, *texts, ""]))
-    assert [[m["item_id"] for m in g] for g in got] == [[], *([i] for i in range(len(items))), []]
+    for settings in (decontam.Settings(), decontam.Settings(samples=8, most_repetitions=4)):  # the second never reaches its recall by walks
+        got = decontam.Matcher(rows, settings).find(pa.array([None, *texts, ""]))
+        assert [[m["item_id"] for m in g] for g in got] == [[], *([i] for i in range(len(items))), []]
     assert all(m["distance"] <= 0.2 * len(rows[m["item_id"]][1]) and abs(m["start_word"] - 50) < 25 for g in got for m in g)
 
 
