@@ -6,116 +6,79 @@ capped: every link between different sets is found, up to the component that
 holds it.
 
 1. Equal sets fall together by a 64-bit fingerprint, the node.
-2. Shingles are ordered longest first, then by hash: long shingles are rare. A
-   pair that links shares a shingle among the first n - ceil(t n / 100) + 1 of
-   both (prefix filter), and enough of them (count filter).
-3. Light prefix shingles, those of ``cap`` nodes at most, make candidates.
-   Nodes with equal prefix and size form a group, groups stand for their
-   members while pairs are filtered by size and count, and pairs of groups are
-   then expanded and their members verified.
-4. Nodes that hold a heavier prefix shingle are also split into parts by the
-   shingles' hashes: sets that link differ in at most d shingles, so of k > d
-   parts one is equal. Part hashes replace the heavy shingles as keys. In each
-   key all nodes are first compared with one pivot; components make most keys
-   whole; a few rounds with other pivots follow; what still differs in
-   component is compared in pairs.
-5. Candidates are verified on the sets, read from the texts again.
+2. Shingles are ordered by how rare they are in all texts (a table of fixed
+   size, see ``rarity``), then by hash. A pair that links shares a shingle among
+   the first n - ceil(t n / 100) + 1 of both: the prefix. Passages that many
+   documents share are last in the order and in few prefixes.
+3. Nodes with equal prefix and size form a group. Groups meet by prefix
+   shingles; pairs of groups that sizes and places in the prefixes rule out go.
+4. Where a shingle has ``cap`` groups at most, all its pairs of groups are
+   expanded to pairs of members. Larger keys (families of copies), and groups of
+   several nodes, are not paired in full: in rounds, members meet a few pivots of
+   the key, those with the most large keys, and keys whose members are all in
+   one component are done. Members outside the main component of their key then
+   meet all others of the key, so that no link is lost.
+5. Pairs are verified on the sets, which are made once for all nodes that occur
+   in step 4.
 
 Defined cases: null texts and texts without words have an empty set, link with
 nothing and are their own component; repeated rows link; a null id belongs to
 the component of its text, which has a null id if no other is reachable; an
-empty table gives an empty table; other columns pass through ``keep_one``.
+empty table gives an empty table; other columns, whatever their names, pass
+through ``keep_one``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded, discard, stored
+from .rarity import classes
+from .store import Marks, Scratch, stored
 from .text import FOLD, chunks, mix
 
+_LOW = np.uint64((1 << 56) - 1)
+
 
 @dataclass(frozen=True)
 class Join:
-    """k: words of a shingle. t: least Jaccard similarity in hundredths. cap: most nodes of a light prefix shingle. rounds: of pivots."""
+    """k: words of a shingle. t: least Jaccard similarity in hundredths. cap: most groups of a key that is paired in full. pivots: of a key and round. bits: of the rarity table's size."""
 
     k: int = 5
     t: int = 80
     cap: int = 16
-    rounds: int = 4
+    pivots: int = 4
+    bits: int = 24
 
     def prefix(self, n: int) -> int:
         return n + (-self.t * n) // 100 + 1
 
 
-def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """Per text, its sorted distinct tokens: 8 bits of rarity by length, 56 bits of hash."""
-    low = np.uint64((1 << 56) - 1)
+def sets(texts: pa.Array, k: int, table: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Per text, its sorted distinct tokens: 8 bits of rarity class (0 without a table), 56 bits of hash."""
     for chunk in chunks(texts, FOLD):
         h, text = chunk.shingles(k)
-        sums = np.concatenate([[0], np.cumsum(chunk.ends - chunk.starts)])
-        n = chunk.n_words
-        per = np.where(n >= k, n - k + 1, 0)
-        long = int(per.sum())
-        at = np.repeat(chunk.word_bounds[:-1], per) + np.arange(long) - np.repeat(np.cumsum(per) - per, per)
-        size = np.concatenate([sums[at + k] - sums[at], np.zeros(len(h) - long, np.int64)])
-        token = ((np.uint64(255) - np.minimum(size, 255).astype(np.uint64)) << np.uint64(56)) | (h & low)
-        bounds = np.concatenate([[0], np.cumsum(per)])
-        short = dict(zip(text[long:].tolist(), token[long:]))
+        token = h & _LOW
+        if table is not None:
+            token |= table[(h >> np.uint64(64 - (len(table).bit_length() - 1))).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+        per = np.bincount(text, minlength=chunk.n)
+        ends = np.cumsum(np.where(chunk.n_words >= k, per, 0))
+        short = dict(zip(text[int(ends[-1]) :].tolist(), token[int(ends[-1]) :]))
         for i in range(chunk.n):
             if i in short:
                 yield np.array([short[i]], np.uint64)
             else:
-                s = np.sort(token[bounds[i] : bounds[i + 1]])
+                s = np.sort(token[ends[i - 1] if i else 0 : ends[i]])
                 yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
 def fingerprint(s: np.ndarray) -> int:
-    return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
-
-
-@lru_cache(maxsize=8)
-def _classes(t: int, most: int) -> list[int]:
-    """Upper bounds of size classes, such that sizes that can link lie in one class or in neighbours."""
-    bounds = [0]
-    while bounds[-1] < most:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 100 // t))
-    return bounds
-
-
-def part_keys(s: np.ndarray, t: int) -> np.ndarray:
-    """Keys of a set's parts, in its own size class and, as the smaller partner, in the next."""
-    n, out = len(s), []
-    bounds = _classes(t, 1 << max(4, (2 * n).bit_length() + 1))
-    own = int(np.searchsorted(bounds, n))
-    h = mix(s)
-    for c in (own, own + 1):
-        d = 2 * (100 - t) * bounds[c] // (100 + t)
-        k = d + 2 + d // 32
-        part = (mix(h + np.uint64(c)) % np.uint64(k)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        used, first = np.unique(part[order], return_index=True)
-        total = np.zeros(k, np.uint64)
-        total[used] = np.add.reduceat(h[order], first)
-        if k - len(used) < k - d:  # else the equal parts could all be empty
-            total, used = total[used], used
-        else:
-            used = np.arange(k)
-        out.append(mix(total + mix((np.uint64(c) << np.uint64(32)) + used.astype(np.uint64))))
-    return np.concatenate(out).view(np.int64)
-
-
-def _lists(values) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return int(mix(np.array([mix(s & _LOW).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
 def _mapped(text: Column, kind: str, f) -> Column:
@@ -128,35 +91,33 @@ def _mapped(text: Column, kind: str, f) -> Column:
     return F.arrow_udf(run, kind).asNondeterministic()(text)
 
 
-def _struct(rows: list[tuple], names: list[str]) -> pa.Array:
-    """Rows of (node, one or more values); numpy arrays become lists of longs. Only what is returned is held, not the sets."""
-    columns = list(zip(*rows)) or [() for _ in names]
-    arrays = [_lists(c) if name in ("prefix", "keys") else pa.array(c, pa.binary() if name == "body" else pa.int64()) for name, c in zip(names, columns)]
-    return pa.StructArray.from_arrays(arrays, names)
-
+def _struct(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Array:
+    columns = list(zip(*rows)) or [() for _ in kinds]
+    return pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values())], list(kinds))
 
-_NONE = np.zeros(0, np.uint64)
 
+def _prefixes(join: Join, table) -> Column:
+    """Of each text: its node, set size, group and prefix."""
 
-def _prefixes(join: Join):
     def row(s: np.ndarray) -> tuple:
         if not len(s):
-            return None, 0, None, _NONE
-        first = s[: join.prefix(len(s))].copy()
-        return fingerprint(s), len(s), fingerprint(mix(first + np.uint64(len(s)))), first
-
-    return lambda texts: _struct([row(s) for s in sets(texts, join.k)], ["node", "n", "group", "prefix"])
-
+            return None, 0, None, None
+        first = s[: join.prefix(len(s))]
+        return fingerprint(s), len(s), fingerprint(mix(first + np.uint64(len(s)))), first.view(np.int64).copy()
 
-def _parts(join: Join):
-    row = lambda s: (fingerprint(s), len(s), part_keys(s, join.t)) if len(s) else (None, 0, _NONE)
-    return lambda texts: _struct([row(s) for s in sets(texts, join.k)], ["node", "n", "keys"])
+    kinds = {"node": pa.int64(), "n": pa.int64(), "group": pa.int64(), "prefix": pa.list_(pa.int64())}
+    return lambda texts: _struct([row(s) for s in sets(texts, join.k, table.value)], kinds)
 
 
 def _bodies(join: Join):
+    """Of each text: its node, and the sorted 48-bit hashes of its set."""
     low = np.uint64((1 << 48) - 1)
     body = lambda s: np.sort(mix(s) & low).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return lambda texts: _struct([(fingerprint(s), body(s)) if len(s) else (None, b"") for s in sets(texts, join.k)], ["node", "body"])
+    return lambda texts: _struct([(fingerprint(s), body(s)) if len(s) else (None, b"") for s in sets(texts, join.k)], {"node": pa.int64(), "body": pa.binary()})
+
+
+def _nodes(join: Join):
+    return lambda texts: pa.array([fingerprint(s) if len(s) else None for s in sets(texts, join.k)], pa.int64())
 
 
 def _body(data: bytes) -> np.ndarray:
@@ -178,157 +139,215 @@ def _linked(t: int):
     return run
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component, by least neighbours and pointer jumping; each step is a stored table."""
-    both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    labels = stored(nodes.select("node", F.col("node").alias("label")))
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of every node of the edges (a, b), a stored table: the least node of its component.
+
+    Least neighbours and pointer jumping in turn; each step is a stored table,
+    and the steps grow with the logarithm of a component's width.
+    """
+    ends = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    both = scratch(ends.unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
+    labels = scratch(both.groupBy(F.col("x").alias("node")).agg(F.least(F.col("x"), F.min("y")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("_near"))
-        step = stored(labels.join(near, "node", "left").select("node", F.col("label").alias("_was"), F.least("label", F.coalesce("_near", "label")).alias("label")))
-        if not step.filter("label <> _was").limit(1).count():
-            return step.select("node", "label")
-        up = step.select(F.col("node").alias("_up"), F.col("label").alias("_top"))
-        labels = stored(step.join(up, F.col("label") == F.col("_up"), "left").select("node", F.least("label", F.coalesce("_top", "label")).alias("label")))
+        step = labels.join(near, "node").select("node", F.col("label").alias("_was"), F.least("label", "_near").alias("label"))
+        up = labels.select(F.col("node").alias("_up"), F.col("label").alias("_top"))
+        jump = scratch(step.join(up, F.col("label") == F.col("_up"), "left").select("node", "_was", F.least("label", F.coalesce("_top", "label")).alias("label")))
+        scratch.drop(labels)
+        labels = jump.select("node", "label")
+        moved = jump.filter("label <> _was").limit(1).count()
+        if not moved:
+            scratch.drop(both)
+            return jump.select("node", "label")
+        labels = scratch(labels)
+        scratch.drop(jump)
 
 
 class _Run:
     """One join over (id, text) rows: what each step needs of the others."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, join: Join):
-        self.join = join
-        self.docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        made = _mapped(F.col("_text"), "node bigint, n bigint, group bigint, prefix array<bigint>", _prefixes(join))
-        self.rows = stored(self.docs.select("_id", made.alias("s")).select("_id", "s.*"))
-        full = self.rows.filter("n > 0").groupBy("node")
-        self.nodes = stored(full.agg(F.min("_id").alias("least"), F.max("n").alias("n"), F.max("group").alias("group"), F.max("prefix").alias("prefix")))
-        self.tested = None
-
-    def texts_of(self, nodes: DataFrame) -> DataFrame:
-        """Rows of (_id, _text) that hold each node, by the least id of it."""
-        ids = stored(self.nodes.join(nodes, "node", "left_semi").select(F.col("least").alias("_want")).distinct())
-        return self.docs.join(bounded(ids), F.col("_id").eqNullSafe(F.col("_want")), "left_semi")
-
-    def once(self, made: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Rows of ``made`` (struct _s) for the nodes only: an id may have other texts too."""
-        return made.select("_s.*").join(bounded(nodes.select("node")), "node", "left_semi")
-
-    def light(self) -> tuple[DataFrame, DataFrame]:
-        """Candidate pairs of groups, and the groups' members; and the heavy nodes."""
-        join = self.join
-        tokens = self.nodes.select("group", "node", "n", F.explode("prefix").alias("token"))
-        shared = stored(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
-        keyed = stored(tokens.join(shared, "token"))
-        heavy = keyed.filter(F.col("c") > join.cap)
-        self.heavy = stored(heavy.groupBy("node").agg(F.countDistinct("token").alias("h")))
-        light = keyed.filter(F.col("c") <= join.cap).select("token", "group", "node", "n").distinct()
-        self.members = stored(light.select("group", "node", "n").distinct().join(self.heavy, "node", "left").select("group", "node", "n", F.coalesce("h", F.lit(0)).alias("h")))
-        groups = light.groupBy("token", "group").agg(F.max("n").alias("n"))
-        x, y = groups.alias("x"), groups.alias("y")
-        near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * join.t
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & near)
-        counted = pairs.groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("g2")).agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("y.n").alias("n2"))
-        most = self.members.groupBy("group").agg(F.max("h").alias("h"))
-        counted = counted.join(most.select(F.col("group").alias("g"), F.col("h").alias("h1")), "g").join(most.select(F.col("group").alias("g2"), F.col("h").alias("h2")), "g2")
-        overlap = F.ceil(join.t * (F.col("n") + F.col("n2")) / (100 + join.t) - 1e-9)
-        need = overlap - F.ceil(join.t * F.greatest("n", "n2") / 100 - 1e-9) + 1
-        wide = counted.filter(F.col("c") >= need - F.least("h1", "h2")).select("g", "g2")
-        own = self.members.groupBy("group").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("group").alias("g"), F.col("group").alias("g2"))
-        return wide.unionByName(own)
-
-    def expanded(self, group_pairs: DataFrame) -> DataFrame:
-        one = self.members.select(F.col("group").alias("g"), F.col("node").alias("a"))
-        two = self.members.select(F.col("group").alias("g2"), F.col("node").alias("b"))
-        pairs = group_pairs.join(one, "g").join(two, "g2").filter("a <> b")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def keyed_parts(self) -> DataFrame:
-        """(key, node, n) of the heavy nodes, keys of two nodes at least."""
-        made = self.texts_of(self.heavy).select(_mapped(F.col("_text"), "node bigint, n bigint, keys array<bigint>", _parts(self.join)).alias("_s"))
-        keys = stored(self.once(made, self.heavy)).select("node", "n", F.explode("keys").alias("key"))
-        shared = stored(keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_z")).filter("_a <> _z").select("key"))
-        return stored(keys.join(shared, "key", "left_semi"))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link. Sets are made for the nodes named only."""
-        pairs = stored(pairs)
-        named = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        made = self.texts_of(named).select(_mapped(F.col("_text"), "node bigint, body binary", _bodies(self.join)).alias("_s"))
-        bodies = stored(self.once(made, named))
-        one, two = bodies.select(F.col("node").alias("a"), F.col("body").alias("left")), bodies.select(F.col("node").alias("b"), F.col("body").alias("right"))
+        self.join, self.spark = join, docs.sparkSession
+        self.scratch = Scratch(self.spark)
+        self.docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+        table = self.spark.sparkContext.broadcast(classes(self.docs.select("_text"), join.k, join.bits))
+        made = _mapped(F.col("_text"), "node bigint, n bigint, group bigint, prefix array<bigint>", _prefixes(join, table))
+        self.made = self.scratch(self.docs.select("_id", made.alias("s")).select("_id", "s.*"))
+        table.unpersist()
+        self.rows = self.made.select("_id", "node", "n")
+        full = self.made.filter("n > 0").groupBy("node")
+        self.nodes = self.scratch(full.agg(F.min("_id").alias("least"), F.max("n").alias("n"), F.max("group").alias("group")))
+        self.labels = None
+
+    def fits(self, x: str, y: str) -> Column:
+        """Sizes can link, and so can what is left of both sets behind the places at which they meet."""
+        n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.at"), F.col(f"{y}.at")
+        t = self.join.t
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * t) & ((F.least(n - i, m - j)) * (100 + t) >= t * (n + m))
+
+    def postings(self) -> tuple[DataFrame, DataFrame]:
+        """(key, group, n, at) of prefix shingles of several groups: of at most ``cap``, and of more."""
+        tokens = self.made.filter("n > 0").select("group", "n", F.posexplode("prefix").alias("at", "key"))
+        shared = self.scratch(tokens.groupBy("key").agg(F.min("group").alias("_a"), F.max("group").alias("_z")).filter("_a <> _z").select("key"))
+        keyed = self.scratch(tokens.join(shared, "key", "left_semi").groupBy("key", "group").agg(F.max("n").alias("n"), F.max("at").alias("at")))
+        self.scratch.drop(shared)
+        hot = keyed.groupBy("key").agg(F.count("*").alias("_c")).filter(F.col("_c") > self.join.cap).select("key")
+        hot = self.scratch(hot)
+        return keyed.join(hot, "key", "left_anti"), keyed.join(hot, "key", "left_semi")
+
+    def light_pairs(self, light: DataFrame) -> DataFrame:
+        """Pairs of groups (g, g2)."""
+        x, y = light.alias("x"), light.alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.group") < F.col("y.group")) & self.fits("x", "y"))
+        return pairs.select(F.col("x.group").alias("g"), F.col("y.group").alias("g2")).distinct()
+
+    def candidates(self) -> tuple[DataFrame, DataFrame]:
+        """Pairs of nodes (a, b), and (key, node, n, at) of the keys that are not paired in full."""
+        light, hot = self.postings()
+        members = self.nodes.select("group", "node", "n")
+        sizes = members.groupBy("group").agg(F.count("*").alias("m"))
+        several = self.scratch(sizes.filter("m > 1"))
+        groups = self.scratch(self.light_pairs(light))
+        one, two = several.select(F.col("group").alias("g"), F.col("m").alias("_m")), several.select(F.col("group").alias("g2"), F.col("m").alias("_m2"))
+        many = groups.join(one, "g", "left").join(two, "g2", "left").withColumn("_wide", F.coalesce("_m", F.lit(1)) * F.coalesce("_m2", F.lit(1)) > self.join.cap**2)
+        many = self.scratch(many.select("g", "g2", "_wide"))
+        a, b = members.select(F.col("group").alias("g"), F.col("node").alias("_x")), members.select(F.col("group").alias("g2"), F.col("node").alias("_y"))
+        pairs = many.filter("not _wide").join(a, "g").join(b, "g2")
+        pairs = self.scratch(pairs.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
+        start = F.lit(0).alias("at")
+        wide = many.filter("_wide").select(F.xxhash64("g", "g2").alias("key"), F.explode(F.array("g", "g2")).alias("group"))
+        keys = hot.join(members.select("group", "node"), "group").select("key", "node", "n", "at")
+        keys = keys.unionByName(wide.join(members, "group").select("key", "node", "n", start))
+        keys = self.scratch(keys.unionByName(members.join(several, "group", "left_semi").select(F.col("group").alias("key"), "node", "n", start)))
+        return pairs, keys
+
+    def make_bodies(self, named: DataFrame) -> None:
+        """The sets of the nodes named, from the texts again; rows that surely hold none of them are left out before."""
+        named = self.scratch(named)
+        ids = self.scratch(self.nodes.join(named, "node", "left_semi").select(F.xxhash64("least").alias("h")))
+        marks = Marks(ids, "h")
+        made = self.docs.filter(marks.has(F.xxhash64("_id"))).select(_mapped(F.col("_text"), "node bigint, body binary", _bodies(self.join)).alias("_s"))
+        self.bodies = self.scratch(made.select("_s.*").join(named, "node", "left_semi").dropDuplicates(["node"]))
+        marks.shipped.unpersist()
+
+    def link_pairs(self, pairs: DataFrame) -> bool:
+        """Verifies pairs (a, b) and merges the labels of those that link."""
+        one, two = self.bodies.select(F.col("node").alias("a"), F.col("body").alias("left")), self.bodies.select(F.col("node").alias("b"), F.col("body").alias("right"))
         linked = F.arrow_udf(_linked(self.join.t), "boolean")
-        edges = stored(pairs.join(two, "b").join(one, "a").filter(linked("left", "right")).select("a", "b").distinct())
-        discard(bodies)
-        self.tested = pairs if self.tested is None else stored(self.tested.unionByName(pairs))
-        return edges
+        edges = self.scratch(pairs.join(one, "a").join(two, "b").filter(linked("left", "right")).select("a", "b"))
+        if not edges.limit(1).count():
+            self.scratch.drop(edges)
+            return False
+        if self.labels is None:
+            self.labels = components(edges, self.scratch)
+            return True
+        of = lambda c: self.labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+        between = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
+        merged = components(between, self.scratch)
+        known = self.labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+        new = merged.join(self.labels.select("node"), "node", "left_anti")
+        self.labels = self.scratch(known.unionByName(new.select("node", "label")))
+        return True
+
+    def named(self, keys: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return keys.withColumn("label", F.col("node"))
+        return keys.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def torn(self, keys: DataFrame) -> tuple[DataFrame, int, int]:
+        """(key, major label) of keys with several labels; their rows, and the comparisons that would settle them."""
+        counts = self.named(keys).groupBy("key", "label").agg(F.count("*").alias("c"))
+        of = counts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", "label")).alias("top")).filter("labels > 1")
+        torn = self.scratch(of.select("key", F.col("top")["label"].alias("major"), "c", (F.col("c") - F.col("top")["c"]).alias("minor")))
+        s = torn.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("c").cast("double") * F.col("minor")), F.lit(0.0)).alias("cost")).first()
+        return torn, s["rows"], s["cost"]
 
     def untested(self, pairs: DataFrame) -> DataFrame:
-        return pairs.join(self.tested, ["a", "b"], "left_anti")
-
-    def labels(self) -> DataFrame:
-        """(node, label) of every node that has a link."""
-        join = self.join
-        edges = self.verified(self.expanded(self.light()))
-        labels = components(edges, edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        if not self.heavy.limit(1).count():
-            return labels
-        keyed = self.keyed_parts()
-        ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        for turn in range(join.rounds + 1):
-            named = keyed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            torn = stored(named.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_z"), F.min(F.struct(F.xxhash64(F.col("node"), F.lit(turn)), "node", "label", "n")).alias("_p")).filter("_a <> _z"))
-            if not torn.limit(1).count():
+        ordered = pairs.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+        new = self.scratch(ordered.join(self.tested, ["a", "b"], "left_anti"))
+        self.tested = self.tested.unionByName(new)
+        return new
+
+    def settle(self, keys: DataFrame) -> None:
+        """Links of the keys that are not paired in full."""
+        weight = self.scratch(keys.groupBy("node").agg(F.count("*").alias("w")))
+        torn, rows, cost = self.torn(keys)
+        turn = 0
+        while cost > 4 * rows:
+            at = self.scratch(self.named(keys.join(torn.select("key"), "key", "left_semi")).join(weight, "node"))
+            place = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(self.join.pivots))
+            what = F.struct("w", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label", "n", "at")
+            best = at.groupBy("key").agg(F.array_compact(F.array(*[F.max(F.when(place == i, what)) for i in range(self.join.pivots)])).alias("_p"))
+            x = at.join(self.scratch(best), "key").withColumn("y", F.explode("_p")).select(F.struct("node", "label", "n", "at").alias("x"), "y")
+            pairs = x.filter((F.col("x.label") != F.col("y.label")) & self.fits("x", "y")).select(F.col("x.node").alias("_x"), F.col("y.node").alias("_y"))
+            self.link_pairs(self.untested(pairs))
+            self.scratch.drop(at, torn)
+            was = cost
+            torn, rows, cost = self.torn(keys)
+            turn += 1
+            if cost > was / 2:
                 break
-            if turn < join.rounds:
-                with_pivot = named.join(torn.select("key", F.col("_p")["node"].alias("_pivot"), F.col("_p")["label"].alias("_of"), F.col("_p")["n"].alias("_n")), "key")
-                fits = F.least("n", "_n") * 100 >= F.greatest("n", "_n") * join.t
-                pairs = with_pivot.filter(fits & (F.col("label") != F.col("_of"))).select(*ordered("node", "_pivot")).distinct()
-            else:
-                left = stored(named.join(torn.select("key"), "key", "left_semi"))
-                x, y = left.alias("x"), left.alias("y")
-                fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * join.t
-                pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits)
-                pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-            new = self.verified(self.untested(pairs))
-            if not new.limit(1).count():
-                continue
-            edges = stored(edges.unionByName(new))
-            labels = components(edges, edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        return labels
-
-
-def _labelled(run: _Run) -> DataFrame:
+        if not rows:
+            return
+        at = self.scratch(self.named(keys).join(torn.select("key", "major"), "key"))
+        x, y = at.filter("label <> major").alias("x"), at.alias("y")
+        once = (F.col("y.label") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & self.fits("x", "y"))
+        self.link_pairs(self.untested(pairs.select(F.col("x.node").alias("_x"), F.col("y.node").alias("_y"))))
+
+    def labelled(self) -> DataFrame:
+        """(node, label) of every node that has a link; None if there is none."""
+        pairs, keys = self.candidates()
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        self.make_bodies(ends.unionByName(keys.select("node")).distinct())
+        self.tested = pairs
+        self.link_pairs(pairs)
+        self.settle(keys)
+        return self.labels
+
+
+def _components(run: _Run) -> DataFrame:
     """(node, least id of it, label) of every node."""
-    return stored(run.nodes.select("node", "least").join(run.labels(), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    labels = run.labelled()
+    if labels is None:
+        return run.nodes.select("node", "least", F.col("node").alias("label"))
+    return run.nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """id, n_shingles and component_id of every row."""
     run = _Run(docs, id_col, text_col, join)
-    labelled = _labelled(run)
+    labelled = run.scratch(_components(run))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = stored(labelled.join(least, "label").select("node", "component_id"))
-    out = run.rows.join(of, "node", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
-
-
-def _nodes(join: Join):
-    return lambda texts: pa.array([fingerprint(s) if len(s) else None for s in sets(texts, join.k)], pa.int64())
+    of = run.scratch(labelled.join(least, "label").select("node", "component_id"))
+    rows = stored(run.rows.join(of, "node", "left").select("_id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id")))
+    run.scratch.clear()
+    return rows.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """One row of each component, that with the least id (null ids last); of rows repeated with it, one. Rows with an empty set stay.
 
-    Components are told by their nodes, as an id may be null or have several texts: only rows of such ids have their node made again.
+    Rows are told by id and node, as an id may be null or have several texts.
+    Texts of ids that lose no row are not dealt out: marks of the other ids tell
+    most of them. Of the rest the node is made again and joined.
     """
     run = _Run(docs, id_col, text_col, join)
-    first = _labelled(run).groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("_p"))
-    first = stored(first.select(F.col("_p")["node"].alias("_node"), F.col("_p")["least"].alias("_least")))
-    chosen = F.col("_node").isNotNull() & F.col("_id").eqNullSafe(F.col("_least"))
-    rows = run.rows.join(first, F.col("node") == F.col("_node"), "left")
-    ids = rows.groupBy(F.col("_id").alias("_keep")).agg(F.count("*").alias("_rows"), F.max((F.col("n") == 0) | chosen).alias("_kept"))
-    ids = stored(ids.filter("_kept").select("_keep", "_rows"))
-    of = lambda rows: docs.join(ids.filter(rows).select("_keep"), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    several = of("_rows > 1").withColumn("_own", _mapped(F.col(text_col), "bigint", _nodes(join)))
-    several = several.join(first, F.col("_own") == F.col("_node"), "left").filter(F.col("_own").isNull() | (F.col("_node").isNotNull() & F.col(id_col).eqNullSafe(F.col("_least"))))
-    several = several.withColumn("_row", F.when(F.col("_own").isNull(), F.monotonically_increasing_id())).dropDuplicates(["_own", "_row"])
-    return of("_rows = 1").unionByName(several.select(*docs.columns))
+    labelled = run.scratch(_components(run))
+    first = labelled.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("_p"))
+    first = run.scratch(first.select(F.col("_p")["node"].alias("_node"), F.col("_p")["least"].alias("_least")))
+    rows = run.rows.filter("n > 0").groupBy("_id", "node").agg(F.count("*").alias("copies"))
+    rows = rows.join(first, (F.col("node") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_least")), "left")
+    lost = run.scratch(rows.select("_id", "node", "copies", F.col("_node").isNotNull().alias("kept")).filter("not kept or copies > 1"))
+    lost = stored(lost.select(F.col("_id").alias("_lost_id"), F.col("node").alias("_lost"), "kept"))
+    marks = Marks(stored(lost.select(F.xxhash64("_lost_id").alias("h"))), "h")
+    run.scratch.clear()
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
+    all_rows = docs.select(own, F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    all_rows = all_rows.withColumn("_marked", marks.has(F.xxhash64("_id")))
+    sure = all_rows.filter("not _marked").select("_own")
+    asked = all_rows.filter("_marked").select("_own", "_id", "_text", _mapped(F.col("_text"), "bigint", _nodes(join)).alias("_node"))
+    told = asked.join(lost, F.col("_node").eqNullSafe(F.col("_lost")) & F.col("_id").eqNullSafe(F.col("_lost_id")), "left")
+    alone = told.filter("kept is null").select("_own")
+    one = told.filter("kept").groupBy("_id", "_node").agg(F.min_by("_own", F.xxhash64("_text")).alias("_own")).select("_own")
+    return sure.unionByName(alone).unionByName(one).select("_own.*")

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,26 +30,48 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read again: its size is then known to the planner, and its lineage is cut."""
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Writes and reads again; shuffle files of the write go when it ends."""
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that only this write used
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Removes the files of a stored table that nothing will read again."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again: its size is then known to the planner, and its lineage is cut."""
+    return _write(df, shared_dir(df.sparkSession))
+
+
+class Scratch:
+    """Stored tables of one computation, removed together or one by one when nothing will read them again."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        out = _write(df, path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            self._delete(path)
 
+    def clear(self, *keep: DataFrame) -> None:
+        """Removes all but the tables named."""
+        for path in [p for p, t in self.paths.items() if not any(t is x for x in keep)]:
+            self._delete(path)
 
-def bounded(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """A stored table of ids, marked for broadcast if it has at most so many rows; beyond, the planner joins it as it does any table."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    def _delete(self, path: str) -> None:
+        del self.paths[path]
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def salt_of(n: int, *cols: Column | str) -> Column:
@@ -63,3 +89,34 @@ def spread_join(left: DataFrame, small: DataFrame, key: str, by: Column | str, s
     wide = stored(small.select(F.col(key).alias("_key"), F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"), *names))
     salted = left.withColumn("_left_salt", salt_of(salts, by))
     return salted.join(wide, salted[key].eqNullSafe(wide["_key"]) & (salted["_left_salt"] == wide["_salt"]), how).drop("_key", "_salt", "_left_salt")
+
+
+#: A marks table has so many words of 64 bits at most: 16 MB, whatever the input.
+MARK_WORDS = 1 << 21
+
+
+class Marks:
+    """A set of 64-bit hashes as one bit each, of 16 MB at most. Members are always told as such; others rarely, more often in a larger set.
+
+    It spares whole texts a shuffle: rows without a mark are surely not in the
+    set, and an exact join decides about the rest.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str):
+        spark = hashes.sparkSession
+        bit = F.pmod(F.shiftrightunsigned(F.col(column), 21), F.lit(64)).cast("int")
+        words = hashes.groupBy(F.col(column).bitwiseAND(F.lit(MARK_WORDS - 1)).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+        table = np.zeros(MARK_WORDS, np.uint64)
+        table[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+        self.shipped = spark.sparkContext.broadcast(table)
+
+    def has(self, hashes: Column) -> Column:
+        shipped = self.shipped
+
+        def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in it:
+                h = batch.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                word = shipped.value[(h & np.uint64(MARK_WORDS - 1)).astype(np.int64)]
+                yield pa.array((word >> ((h >> np.uint64(21)) & np.uint64(63))) & np.uint64(1) == 1, pa.bool_())
+
+        return F.arrow_udf(run, "boolean")(hashes)
