@@ -53,7 +53,7 @@ class Join:
     t: int = 80
     cap: int = 16
     pivots: int = 4
-    bits: int = 24
+    bits: int = 23
 
     def prefix(self, n: int) -> int:
         return n + (-self.t * n) // 100 + 1

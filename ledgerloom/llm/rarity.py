@@ -42,11 +42,10 @@ def _counted(k: int, bits: int):
                 if table is None:
                     table = np.zeros(1 << bits, np.uint32)
                 np.add.at(table, (chunk.shingles(k)[0] >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
-        if table is not None:
-            slices = np.minimum(table, 65_535).astype(np.uint16).reshape(-1, 1 << SLICE_BITS)
-            full = np.flatnonzero(slices.any(axis=1)).tolist()
-            for i in full:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([i], pa.int32()), pa.array([2], pa.int32()), pa.array([_packed(slices[i])], pa.binary())], ["part", "slice", "size", "counts"])
+        for i, counts in enumerate([] if table is None else table.reshape(-1, 1 << SLICE_BITS)):
+            if counts.any():
+                data = _packed(np.minimum(counts, 65_535).astype(np.uint16))
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([i], pa.int32()), pa.array([2], pa.int32()), pa.array([data], pa.binary())], ["part", "slice", "size", "counts"])
 
     return run
 
