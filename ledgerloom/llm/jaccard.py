@@ -174,7 +174,7 @@ class _Run:
         made = _mapped(F.col("_text"), "node bigint, n bigint, group bigint, prefix array<bigint>", _prefixes(join, table))
         self.made = self.scratch(self.docs.select("_id", made.alias("s")).select("_id", "s.*"))
         table.unpersist()
-        self.rows = self.made.select("_id", "node", "n")
+        self.rows = self.scratch(self.made.select("_id", "node", "n"))
         full = self.made.filter("n > 0").groupBy("node")
         self.nodes = self.scratch(full.agg(F.min("_id").alias("least"), F.max("n").alias("n"), F.max("group").alias("group")))
         self.labels = None
@@ -193,6 +193,7 @@ class _Run:
         self.scratch.drop(shared)
         hot = keyed.groupBy("key").agg(F.count("*").alias("_c")).filter(F.col("_c") > self.join.cap).select("key")
         hot = self.scratch(hot)
+        self.scratch.drop(self.made)
         return keyed.join(hot, "key", "left_anti"), keyed.join(hot, "key", "left_semi")
 
     def light_pairs(self, light: DataFrame) -> DataFrame:
@@ -219,6 +220,7 @@ class _Run:
         keys = hot.join(members.select("group", "node"), "group").select("key", "node", "n", "at")
         keys = keys.unionByName(wide.join(members, "group").select("key", "node", "n", start))
         keys = self.scratch(keys.unionByName(members.join(several, "group", "left_semi").select(F.col("group").alias("key"), "node", "n", start)))
+        self.scratch.clear(self.rows, self.nodes, pairs, keys)
         return pairs, keys
 
     def make_bodies(self, named: DataFrame) -> None:
