@@ -8,8 +8,9 @@ task's memory is bounded whatever its partition holds.
 
 A task writes, below the folder given: ``ids-*.bin``, the matrix of ids in
 rows of ``seq_len`` little-endian unsigned integers, unused places holding the
-end token; ``cu-*.npy``, per segment its end in the flat matrix, and
-``resets-*.npy``, per segment its begin, where positions start again at 0.
+end token; ``cu-*.npy``, pairs of (row, cumulative segment length), each row
+beginning with 0; and ``resets-*.npy``, pairs of (row, place) at which positions
+start again at 0. The vocabulary is read on the driver and travels by broadcast.
 
 Defined cases: null and empty texts are one end token; repeated rows are each
 packed; a null id stays null; an empty table writes nothing.
@@ -43,23 +44,30 @@ class Vocabulary:
     module: str = "/opt/tokenizers/__init__.py"
     end: int = 50256
 
-    def load(self):
-        import tiktoken
-
+    def read(self) -> tuple[str, dict[bytes, int]]:
+        """The split pattern and the ranks, read where it is called: on the driver."""
         spec = importlib.util.spec_from_file_location("_vocabulary", self.module)
         known = importlib.util.module_from_spec(spec)
         spec.loader.exec_module(known)
         with open(self.path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=known.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            return known.PATTERN, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+    def load(self):
+        return encoding(*self.read())
+
+
+def encoding(pattern: str, ranks: dict[bytes, int]):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
     """Ids of whole texts as unsigned integers, the end id last."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.encoding, self.end = vocabulary.load(), vocabulary.end
-        self.dtype = np.dtype("<u2" if max(self.encoding.max_token_value, self.end) < 65536 else "<u4")
+    def __init__(self, pattern: str, ranks: dict[bytes, int], end: int):
+        self.encoding, self.end = encoding(pattern, ranks), end
+        self.dtype = np.dtype("<u2" if max(self.encoding.max_token_value, end) < 65536 else "<u4")
 
     def __call__(self, text: str) -> np.ndarray:
         return np.array([*self.encoding.encode_ordinary(text), self.end], self.dtype)
@@ -115,31 +123,35 @@ def best_fit(lengths: np.ndarray, seq_len: int) -> list[list[int]]:
 def pack(docs: DataFrame, to: str | None = None, id_col: str = "doc_id", text_col: str = "text", vocabulary: Vocabulary = Vocabulary(), seq_len: int = 2048, buffer_tokens: int = 1 << 20) -> DataFrame:
     """Writes the matrices and returns the stored rows of SEGMENT."""
     to = to or f"{shared_dir(docs.sparkSession)}/packed"
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(*shipped.value, vocabulary.end)
         part, base = f"{TaskContext.get().partitionId():06d}", 0
         name = f"{to}/ids-{part}.bin"
-        starts, ends, pieces, held = [], [], [], 0
+        cu, resets, pieces, held = [], [], [], 0
 
         def flush(out) -> pa.RecordBatch:
             nonlocal base, pieces, held
             rows = best_fit(np.array([len(p[3]) for p in pieces]), seq_len)
             matrix = np.full((len(rows), seq_len), encoder.end, encoder.dtype)
-            found = []
+            found, sums, begins = [], [], []
             for r, members in enumerate(rows):
                 at = 0
+                sums.append((base + r, 0))
                 for i in members:
                     doc, k, n, ids = pieces[i]
                     matrix[r, at : at + len(ids)] = ids
                     found.append((doc, k, n, name, base + r, at, len(ids)))
-                    starts.append((base + r) * seq_len + at)
+                    begins.append((base + r, at))
                     at += len(ids)
-                    ends.append((base + r) * seq_len + at)
+                    sums.append((base + r, at))
             out.write(matrix.tobytes())
+            cu.append(np.array(sums, np.int64))
+            resets.append(np.array(begins, np.int64))
             base, pieces, held = base + len(rows), [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "piece", "n_pieces", "file", "row", "start", "length"])
 
@@ -159,9 +171,9 @@ def pack(docs: DataFrame, to: str | None = None, id_col: str = "doc_id", text_co
                             yield flush(out)
             if pieces:
                 yield flush(out)
-        for kind, values in (("cu", ends), ("resets", starts)):
+        for kind, values in (("cu", cu), ("resets", resets)):
             packed = io.BytesIO()
-            np.save(packed, np.array(values, np.int64))
+            np.save(packed, np.concatenate(values))
             with written(f"{to}/{kind}-{part}.npy") as out:
                 out.write(packed.getvalue())
 
