@@ -21,8 +21,9 @@ of windows that the bound leaves for an item is searched by edit distance.
 
 Items are handled in blocks of ``block`` items, each a pass over the texts.
 
-Defined cases: null and empty texts and items match nothing; equal items all
-match; where a text has several runs near an item, the nearest counts, the
+Defined cases: null and empty texts and items match nothing; items with equal
+texts all match; items with equal ids but different texts count as one item, the
+nearest of them; a null item id is an id like any, last in order; where a text has several runs near an item, the nearest counts, the
 first of equal ones; repeated rows are each judged; empty tables give empty
 results or texts without matches.
 """
@@ -194,7 +195,7 @@ class Matcher:
 
     def find(self, texts: pa.Array) -> list[list[dict]]:
         """Windows are gathered over the whole batch, so that each walk is made for many at once."""
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        best: dict[tuple[int, int | None], tuple[int, int]] = {}
         held, count = [[] for _ in self.groups], [0] * len(self.groups)
         for chunk in chunks(texts, PLAIN):
             h = chunk.word_hashes()
@@ -221,7 +222,7 @@ class Matcher:
             if windows:
                 self._group(group, windows, best)
         out = [[] for _ in range(len(texts))]
-        for (text, item), (d, start) in sorted(best.items()):
+        for (text, item), (d, start) in sorted(best.items(), key=lambda m: (m[0][0], m[0][1] is None, m[0][1] or 0)):
             out[text].append({"item_id": item, "distance": d, "start_word": start})
         return out
 
@@ -288,10 +289,11 @@ def find_leaks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", as_col: str = "leaks", item_id: str = "item_id", item_text: str = "text", settings: Settings = Settings(), block: int = 20_000
 ) -> DataFrame:
     """The rows with the items that contaminate them beside, by item id within each block."""
-    found = [matches(F.col(text_col), part, docs.sparkSession, settings) for part in item_blocks(items, item_id, item_text, block)]
+    found = [matches(F.col(f"`{text_col}`"), part, docs.sparkSession, settings) for part in item_blocks(items, item_id, item_text, block)]
     return docs.withColumn(as_col, F.concat(*found) if found else F.array().cast(KIND))
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """The rows that no item contaminates, with their own columns only."""
-    return find_leaks(docs, items, text_col, as_col="_leaks", **how).filter(F.size("_leaks") == 0).drop("_leaks")
+    """The rows that no item contaminates, with their own columns only, whatever their names."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
+    return find_leaks(docs.select(own, F.col(f"`{text_col}`").alias("_text")), items, "_text", as_col="_leaks", **how).filter(F.size("_leaks") == 0).select("_own.*")

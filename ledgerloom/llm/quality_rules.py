@@ -134,7 +134,7 @@ def host_verdicts(failed: DataFrame, host: str, rules: Rules = Rules()) -> DataF
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
     """id, the measures, base_failed, own_failed, host_rate and kept of every row. The measures are stored once, without the text."""
-    m = docs.select(F.col(id_col), F.col(host_col).alias("_host"), measures(F.col(text_col)).alias("_m"))
+    m = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{host_col}`").alias("_host"), measures(F.col(f"`{text_col}`")).alias("_m"))
     m = stored(m.select(id_col, "_host", "_m.*", base_failed(rules=rules).alias("base_failed"), own_failed(rules=rules).alias("own_failed")))
     verdicts = host_verdicts(m.select("_host", F.col("own_failed").alias("_failed")), "_host", rules)
     out = spread_join(m, verdicts.select("_host", "host_rate", "host_rejected"), "_host", id_col)
@@ -142,12 +142,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The rows that are kept, with their own columns only. Texts are measured twice, for the hosts and for the rows, and never dealt out."""
-    failed = own_failed("_measures", rules)
-    first = docs.select(F.col(host_col).alias("_host"), measures(F.col(text_col)).alias("_measures")).select("_host", failed.alias("_failed"))
-    verdicts = host_verdicts(first, "_host", rules).select("_host", "host_rejected")
-    rows = docs.withColumn("_measures", measures(F.col(text_col))).filter(~failed).drop("_measures").withColumn("_host_of", F.col(host_col))
-    joined = spread_join(rows, verdicts.withColumnRenamed("_host", "_host_of"), "_host_of", text_col)
-    return joined.filter(~F.col("host_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
-
+    """The rows that are kept, with their own columns only, whatever their names.
 
+    Texts are measured twice, for the hosts and for the rows. Rows that fail go
+    before the join with the host verdicts; only if those are too many to be
+    broadcast are the others dealt out, by host and salt.
+    """
+    text, host = F.col(f"`{text_col}`"), F.col(f"`{host_col}`")
+    first = docs.select(host.alias("_host"), own_failed(measures(text), rules).alias("_failed"))
+    verdicts = host_verdicts(first, "_host", rules).select("_host", "host_rejected")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
+    rows = docs.select(own, host.alias("_host"), F.xxhash64(text).alias("_by"), measures(text).alias("_m")).filter(~own_failed("_m", rules)).drop("_m")
+    return spread_join(rows, verdicts, "_host", "_by").filter(~F.col("host_rejected")).select("_own.*")
