@@ -14,9 +14,10 @@ _SHIPPED: set[str] = set()
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application, so that Python functions load wherever they run.
 
-    Arrow batches are kept to 4,000 rows, which bounds the Python workers' memory.
+    Arrow batches are kept to 4,000 rows and 8 MB, which bounds the memory of Python workers and of the buffers that feed them.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         top = os.path.dirname(os.path.abspath(__file__))
