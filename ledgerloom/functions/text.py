@@ -19,7 +19,7 @@ def sender_domain(c: Column) -> Column:
 def file_stem(c: Column) -> Column:
     """A file name without extension and version marks."""
     name = F.regexp_replace(F.lower(c), r"\.[a-z0-9]{1,5}$", "")
-    name = F.regexp_replace(name, r"[\s_-]*(\(\d+\)|v\d+|rev\d+|final|draft|copy)+$", "")
+    name = F.regexp_replace(name, r"(?:[\s_-]*(?:\(\d+\)|\bv\d+|(?<=_)v\d+|rev\d+|final|draft|copy))+$", "")
     return F.trim(F.regexp_replace(name, r"[\s_-]+", " "))
 
 
@@ -93,3 +93,174 @@ def html_text(c: Column) -> Column:
     """Text of a page: comments, scripts, styles and tags dropped, white space collapsed."""
     bare = F.regexp_replace(c, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
+
+
+def fold(c: Column) -> Column:
+    """Lower case for comparison; sharp s is two letters, final sigma and long s are their plain forms."""
+    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+
+
+def number_key(c: Column) -> Column:
+    """A document number as it is matched: letters and digits, upper case, no zeros ahead of a run of digits."""
+    return F.regexp_replace(F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9A-Za-z]", "")), r"(?<![0-9])0+(?=[0-9])", "")
+
+
+def po_key(c: Column) -> Column:
+    return F.regexp_replace(number_key(c), r"^PO(?=[0-9])", "")
+
+
+def norm_id(c: Column) -> Column:
+    """A message id without angle brackets and case."""
+    return F.lower(F.trim(F.btrim(F.trim(F.coalesce(c, F.lit(""))), F.lit("<>"))))
+
+
+def message_ids(c: Column) -> Column:
+    """The ids a header names, in order, each once. A header that is one bare address-like word is an id itself."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(<[^<>\s]+>)"), 1), norm_id))
+    bare = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(F.size(found) > 0, found).when(bare.contains("@") & ~bare.contains(" "), F.array(norm_id(bare))).otherwise(F.array().cast("array<string>"))
+
+
+def conversation_of(c: Column) -> Column:
+    """The conversation of a base64 thread index: its bytes 6 to 22 as hex; empty if there are none, or zeros only."""
+    raw = F.try_to_binary(F.trim(c), F.lit("base64"))
+    guid = F.lower(F.hex(F.substring(raw, 7, 16)))
+    return F.when((F.length(raw) >= 22) & guid.rlike("[1-9a-f]"), guid).otherwise("")
+
+
+def canonical_domain(c: Column) -> Column:
+    """A domain in lower case without a final dot and a leading www."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\.+$", ""), r"^www\.", "")
+
+
+def same_or_under(c: Column, domain: Column | str) -> Column:
+    """Whether a domain is the one given or one of its subdomains."""
+    d = F.lit(domain) if isinstance(domain, str) else domain
+    return (c == d) | F.endswith(c, F.concat(F.lit("."), d))
+
+
+def plain_text(c: Column) -> Column:
+    """A text as rules read it: comments, inline tags and invisible characters gone, look-alike letters as Latin ones."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"(?i)</?(?:a|b|i|u|em|span|strong|font|small)\b[^>]*>", "")
+    seen = F.regexp_replace(bare, "[­​-‏⁠﻿]", "")
+    return F.translate(seen, "аеорсухіΑВΕΚΜΝΟΡΤΧ", "aeopcyxiABEKMNOPTX")
+
+
+def own_words(c: Column) -> Column:
+    """What a sender wrote: the text ahead of a quoted message, unless that is empty, without paragraphs of a legal footer."""
+    text = F.replace(F.coalesce(c, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    ahead = F.regexp_replace(text, r"(?is)(?:^|\n)(?:-{2,}\s*original message|on [^\n]{5,80} wrote:|from: |>).*$", "")
+    kept = F.when(F.trim(ahead) != "", ahead).otherwise(text)
+    parts = F.filter(F.split(kept, r"\n\s*\n"), lambda p: ~p.rlike(r"(?i)\b(confidential|disclaimer|intended only for)\b"))
+    return F.trim(F.array_join(parts, "\n\n"))
+
+
+def redact(c: Column) -> Column:
+    """Account, card, routing and IBAN numbers keep their kind and last four characters."""
+    out = F.regexp_replace(c, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,6} ?([A-Z0-9]{4})\b", "IBAN ****$1")
+    out = F.regexp_replace(out, r"(?i)\b(?:routing|aba)(?: number| no\.?|#)?\s*:?\s*\d{5}(\d{4})\b", "routing ****$1")
+    out = F.regexp_replace(out, r"(?i)\b(?:account|acct)(?: number| no\.?|#)?\s*:?\s*\d{2,13}(\d{4})\b", "account ****$1")
+    return F.regexp_replace(out, r"\b(?:\d{4}[ -]?){3}(\d{4})\b", "card ****$1")
+
+
+def due_date(c: Column, as_of: Column) -> Column:
+    """A due date as written: today, tomorrow, a weekday (the next one), or a date; without a year, the one nearest to as_of."""
+    low = F.lower(F.trim(c))
+    day = F.when(low.isin("eod", "cob", "today"), as_of).when(low == "tomorrow", F.date_add(as_of, 1))
+    for name in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday"):
+        day = day.when(low == name.lower(), F.next_day(as_of, name[:3]))
+    year = F.year(as_of).cast("string")
+    bare = F.coalesce(*[F.try_to_timestamp(F.concat(F.trim(c), F.lit(" "), year), F.lit(f"{f} yyyy")).cast("date") for f in ("MMMM d", "MMM d", "M/d")])
+    back, ahead = F.date_diff(as_of, bare) > 90, F.date_diff(bare, as_of) > 270
+    near = F.when(back, F.add_months(bare, 12)).when(ahead, F.add_months(bare, -12)).otherwise(bare)
+    return day.otherwise(F.coalesce(cell_date(c), near))
+
+
+#: What a word behind a figure multiplies it by.
+SCALES = {"k": 1e3, "thousand": 1e3, "m": 1e6, "mn": 1e6, "million": 1e6, "b": 1e9, "bn": 1e9, "billion": 1e9}
+
+
+def scaled_number(c: Column) -> Column:
+    """'1.2k', '3 million' or '$4,500' as double."""
+    word = F.lower(F.regexp_extract(c, r"([A-Za-z]+)\s*$", 1))
+    by = F.lit(1.0)
+    for name, value in SCALES.items():
+        by = F.when(word == name, F.lit(value)).otherwise(by)
+    return F.try_multiply(F.regexp_replace(F.regexp_extract(c, r"(-?\d[\d,]*(?:\.\d+)?)", 1), ",", "").try_cast("double"), by)
+
+
+def date_span(c: Column) -> Column:
+    """struct(low, high) of the days a written date covers: a year, a month of a year, or a day; null if it is none."""
+    t = F.trim(c)
+    year = F.when(t.rlike(r"^(19|20)\d{2}$"), F.make_date(t.try_cast("int"), F.lit(1), F.lit(1)))
+    month = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)).cast("date") for f in ("MMMM yyyy", "MMM yyyy", "yyyy-MM")])
+    day = cell_date(t)
+    return (
+        F.when(year.isNotNull(), F.struct(year.alias("low"), F.date_sub(F.add_months(year, 12), 1).alias("high")))
+        .when(month.isNotNull(), F.struct(month.alias("low"), F.last_day(month).alias("high")))
+        .when(day.isNotNull(), F.struct(day.alias("low"), day.alias("high")))
+    )
+
+
+def figures(c: Column) -> Column:
+    """The figures of a text: array of struct(value, tolerance), half a unit in the last place written, scaled by k, m or % words."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+(?:,\d{3})*(?:\.\d+)?\s?(?:[kKmM]\b)?)"), 1)
+
+    def one(x: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(x, r"^([\d,.]+)", 1), ",", "")
+        places = F.when(digits.contains("."), F.length(F.substring_index(digits, ".", -1))).otherwise(0)
+        by = F.when(F.lower(x).endswith("k"), 1e3).when(F.lower(x).endswith("m"), 1e6).otherwise(1.0)
+        return F.struct((digits.cast("double") * by).alias("value"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * by).alias("tolerance"))
+
+    return F.transform(found, one)
+
+
+def ungrounded(answer: Column, source: Column) -> Column:
+    """The figures of an answer that the source doesn't have within their tolerance."""
+    return F.filter(figures(answer), lambda a: ~F.exists(figures(source), lambda s: F.abs(s["value"] - a["value"]) <= a["tolerance"] + 1e-9))
+
+
+def money(c: Column, places: int = 2) -> Column:
+    """A figure as it is printed: negative in brackets."""
+    shown = F.format_number(F.abs(c), places)
+    return F.when(c < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
+
+
+def averaged(c: Column) -> Column:
+    """An average: without places if it is whole, else with two."""
+    return F.when(c == F.floor(c), F.format_number(c, 0)).otherwise(F.format_number(c, 2))
+
+
+def calculate(expression: str, columns: set[str]) -> Column:
+    """Arithmetic over the columns named, and date steps like ``day + 3 days``, as an expression; anything else is refused."""
+    import re
+
+    step = re.fullmatch(r"\s*(\w+)\s*([+-])\s*(\d{1,5})\s+(day|week|month|year)s?\s*", expression)
+    if step:
+        name, sign, n, unit = step.groups()
+        if name not in columns:
+            raise ValueError(f"{name} is not a column")
+        n = int(n) * (1 if sign == "+" else -1)
+        return F.date_add(F.col(name), n * (7 if unit == "week" else 1)) if unit in ("day", "week") else F.add_months(F.col(name), n * (12 if unit == "year" else 1))
+    if not re.fullmatch(r"[\w\s.+*/()%-]{1,200}", expression) or any(x not in columns for x in re.findall(r"[A-Za-z_]\w*", expression)) or re.search(r"\w\s*\(", expression):
+        raise ValueError("only figures, columns, brackets and + - * / % are read")
+    return F.expr(re.sub(r"/\s*([\w.]+)", r"/ nullif(\1, 0)", expression))
+
+
+def outline(c: Column) -> Column:
+    """The headings of a text: short lines between blank ones or marked with #."""
+    lines = F.split(F.coalesce(c, F.lit("")), "\n")
+    return F.filter(lines, lambda x: x.rlike(r"^#+ \S") | x.rlike(r"^[A-Z0-9][^.!?]{2,60}:$"))
+
+
+def excerpt(c: Column, word: str, around: int = 40) -> Column:
+    """The text around the first place of a word; its beginning where there is none."""
+    at = F.locate(word.lower(), F.lower(c))
+    low = F.greatest(F.lit(1), at - around)
+    return F.when(at > 0, F.substring(c, low, F.lit(len(word) + 2 * around))).otherwise(F.substring(c, F.lit(1), F.lit(2 * around)))
+
+
+def split_parts(c: Column, size: int) -> Column:
+    """A text in parts of ``size`` characters, none lost: array of struct(part, text)."""
+    n = F.greatest(F.lit(1), F.ceil(F.length(c) / size)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("part"), F.substring(c, i * size + 1, F.lit(size)).alias("text")))

@@ -57,6 +57,14 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, columns: Sequen
     return b.join(a, F.col("_b") == F.col("_a"), "full").select(F.coalesce("_a", "_b").alias(key), change.alias("change")).filter("change is not null")
 
 
+def synced(before: DataFrame, after: DataFrame, key: str, place: str, columns: Sequence[str]) -> DataFrame:
+    """key and kind of what a sync finds: new, removed, moved (another place), or updated."""
+    b = before.select(F.col(key).alias("_b"), F.col(place).alias("_bp"), F.struct(*columns).alias("_bv"))
+    a = after.select(F.col(key).alias("_a"), F.col(place).alias("_ap"), F.struct(*columns).alias("_av"))
+    kind = F.when(F.col("_b").isNull(), "new").when(F.col("_a").isNull(), "removed").when(~F.col("_bp").eqNullSafe(F.col("_ap")), "moved").when(~F.col("_bv").eqNullSafe(F.col("_av")), "updated")
+    return b.join(a, F.col("_b") == F.col("_a"), "full").select(F.coalesce("_a", "_b").alias(key), kind.alias("kind")).filter("kind is not null")
+
+
 def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], equal: Sequence[tuple[str, str]] = (), bucket_seconds: int = 86400) -> DataFrame:
     """Pairs of rows whose half-open spans of timestamps overlap.
 
@@ -76,25 +84,44 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], righ
     return x.join(y, all_of(on)).filter(inside & (F.col("_lb") == first)).drop("_lb", "_rb")
 
 
-def closure(pairs: DataFrame, node: str, key: str, most_rounds: int = 50) -> DataFrame:
-    """(node, root): the least node reachable through shared keys. Rounds of least neighbours and pointer jumps, cut by checkpoint()."""
+def closure(pairs: DataFrame, node: str, key: str) -> DataFrame:
+    """(node, root): the least node reachable through shared keys. Rounds of least neighbours and pointer jumps until none moves, cut by checkpoint()."""
     context = pairs.sparkSession.sparkContext
-    if not context.getCheckpointDir() and context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-    edges = pairs.select(F.col(node).alias("n"), F.col(key).alias("k")).distinct()
-    roots = edges.select("n").distinct().withColumn("root", F.col("n"))
-    for _ in range(most_rounds):
+    if not context.getCheckpointDir():
+        shared = pairs.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-"))
+    edges = pairs.select(F.col(node).alias("n"), F.col(key).alias("k")).distinct().checkpoint()
+    roots = edges.groupBy("n").agg(F.min("n").alias("root"))
+    while True:
         least = edges.join(roots, "n").groupBy("k").agg(F.min("root").alias("r"))
         near = edges.join(least, "k").groupBy("n").agg(F.min("r").alias("r"))
         step = roots.join(near, "n", "left").select("n", F.col("root").alias("was"), F.least("root", F.coalesce("r", "root")).alias("root"))
         up = step.select(F.col("n").alias("u"), F.col("root").alias("top"))
         step = step.join(up, step["root"] == up["u"], "left").select("n", "was", F.least("root", F.coalesce("top", "root")).alias("root")).checkpoint()
         if not step.filter("was <> root").limit(1).count():
-            break
+            return step.select(F.col("n").alias(node), "root")
         roots = step.select("n", "root")
-    else:
-        raise RuntimeError(f"no fixed point after {most_rounds} rounds")
-    return step.select(F.col("n").alias(node), "root")
+
+
+def near_names(names: DataFrame, name: str, long_from: int) -> DataFrame:
+    """Pairs (a < b) of different names within one edit, two for names of ``long_from`` letters and more.
+
+    Names meet by what is left when up to two characters are dropped, which two
+    names within as many edits share; the edit distance then decides.
+    """
+
+    def less(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+
+    own = names.select(F.col(name).alias("v")).distinct()
+    one = F.concat(F.array("v"), less(F.col("v")))
+    two = F.flatten(F.transform(less(F.col("v")), less))
+    keyed = own.select("v", F.explode(F.array_distinct(F.when(F.length("v") >= long_from - 2, F.concat(one, two)).otherwise(one))).alias("k"))
+    a, b = keyed.select(F.col("v").alias("a"), "k"), keyed.select(F.col("v").alias("b"), "k")
+    near = F.levenshtein("a", "b") <= F.when(F.length("a") >= long_from, 2).otherwise(1)
+    return a.join(b, "k").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def shared_keys(keys: DataFrame, node: str, key: str, most: int = 25) -> DataFrame:

@@ -3,42 +3,72 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from collections.abc import Iterator, Sequence
-from itertools import combinations, product
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOLERANCE = 0.015
+WIDEST = 12
+#: Columns named so are results where an identity can be read both ways.
+RESULT = re.compile(r"(?i)total|net|ending|closing|variance|balance")
 
 
-def candidates(columns: Sequence[str], terms: int = 3) -> Iterator[tuple[str, tuple[tuple[int, str], ...]]]:
-    """(target, signed terms) of all sums of 2 to ``terms`` other columns with a plus somewhere; plus terms first."""
-    for target in columns:
-        rest = [c for c in columns if c != target]
-        for n in range(2, terms + 1):
-            for chosen in combinations(rest, n):
-                for signs in product((1, -1), repeat=n):
-                    if 1 in signs:
-                        yield target, tuple(sorted(zip(signs, chosen), key=lambda p: -p[0]))
-
-
-def identities(df: DataFrame, columns: Sequence[str], terms: int = 3, share: float = 0.9, least_rows: int = 3) -> list[tuple[str, str, float]]:
-    """(target, formula, share of rows) of the linear identities that hold on enough rows. All candidates are one aggregation."""
-    found = list(candidates(columns, terms))
-    held, known = [], []
-    for i, (target, parts) in enumerate(found):
-        total = sum((sign * F.col(c) for sign, c in parts), F.lit(0.0))
-        filled = F.col(target).isNotNull() & total.isNotNull()
-        held.append(F.count_if(filled & (F.abs(F.col(target) - total) <= TOLERANCE * (len(parts) + 1)) & (F.col(target) != 0)).alias(f"h{i}"))
-        known.append(F.count_if(filled & (F.col(target) != 0)).alias(f"k{i}"))
-    row = df.agg(*held, *known).first()
-    out = []
-    for i, (target, parts) in enumerate(found):
-        k = row[f"k{i}"]
-        if k >= least_rows and row[f"h{i}"] >= share * k:
-            out.append((target, " ".join(f"{'+' if s > 0 else '-'} {c}" for s, c in parts).removeprefix("+ "), row[f"h{i}"] / k))
-    return out
+def candidates(count: int) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    """(target, signed terms) over column places: runs of 2 to 12 neighbours on either side, every sign pattern with a plus up to five terms, else plus only."""
+    for target in range(count):
+        for width in range(2, WIDEST + 1):
+            for first in (target - width, target + 1):
+                if first < 0 or first + width > count:
+                    continue
+                patterns = product((1, -1), repeat=width) if width <= 5 else [(1,) * width]
+                yield from ((target, tuple(zip(signs, range(first, first + width)))) for signs in patterns if 1 in signs)
+
+
+def identities(df: DataFrame, columns: Sequence[str], share: float = 0.9, least_rows: int = 3) -> list[tuple[str, str, float]]:
+    """(target, formula, share of rows) of sums of neighbouring columns that hold on enough rows, one for each target.
+
+    All candidates meet all rows: a batch of rows times a matrix of signs, in
+    each task, and the counts are added up by candidate. A blank part adds
+    nothing; rows without the target or without any part don't count. A sum
+    that is a mere copy of one part on four rows in five is none.
+    """
+    found = list(candidates(len(columns)))
+    signs = np.zeros((len(columns), len(found)))
+    for i, (_, terms) in enumerate(found):
+        for sign, at in terms:
+            signs[at, i] = sign
+    target = np.array([t for t, _ in found])
+    tolerance = TOLERANCE * (np.abs(signs).sum(axis=0) + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, len(found)), np.int64)
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            for part in np.array_split(x, len(x) // 1000 + 1):
+                known, filled = ~np.isnan(part), np.nan_to_num(part)
+                used = known[:, target] & ((known.astype(float) @ np.abs(signs)) > 0)
+                held = used & (np.abs(filled @ signs - filled[:, target]) <= tolerance)
+                copies = used & (((filled != 0).astype(float) @ np.abs(signs)) <= 1)
+                total += np.stack([used.sum(axis=0), held.sum(axis=0), copies.sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), *map(pa.array, total)], ["i", "used", "held", "copies"])
+
+    counts = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(count, "i bigint, used bigint, held bigint, copies bigint")
+    sums = counts.groupBy("i").agg(*[F.sum(c).alias(c) for c in ("used", "held", "copies")])
+    good = sums.filter((F.col("used") >= least_rows) & (F.col("held") >= share * F.col("used")) & (F.col("copies") < 0.8 * F.col("used"))).collect()
+    best = {}
+    for r in sorted(good, key=lambda r: (r["held"] < r["used"], r["i"])):
+        best.setdefault(found[r["i"]][0], (found[r["i"]][1], r["held"] / r["used"]))
+    result = lambda at: (bool(RESULT.search(columns[at])), at)
+    for at in sorted(best, key=result):
+        if any(at in {p for _, p in best[other][0]} and result(at) < result(other) for _, other in best[at][0] if other in best):
+            del best[at]
+    return [(columns[at], " ".join(f"{'+' if s > 0 else '-'} {columns[p]}" for s, p in sorted(terms, key=lambda t: -t[0])).removeprefix("+ "), held) for at, (terms, held) in sorted(best.items())]
 
 
 def running_balance(df: DataFrame, balance: str, steps: Sequence[tuple[int, str]], order: Sequence[str], by: Sequence[str] = (), share: float = 0.9, least: int = 3) -> bool:
@@ -74,41 +104,110 @@ def subtotals(df: DataFrame, figure: str, is_total: Column, order: Sequence[str]
     return sums.filter("_t").select(*df.columns, holds.alias("holds"))
 
 
-#: The functions that a guarded query may call.
-ALLOWED = set(
-    "abs avg ceil ceiling coalesce count date datetime dense_rank first_value floor format group_concat ifnull iif instr julianday lag last_value lead length like lower ltrim max min nullif printf rank replace round row_number rtrim sign strftime substr substring sum time total trim trunc typeof upper".split()
-)
-_KEYWORDS = set("in and or not over as on using when then else case exists values from where select by having union all with distinct filter between is partition order limit intersect except join end cast interval".split())
+#: What a guarded query may call, by kind.
+AGGREGATES = {"any_value", "avg", "bool_and", "bool_or", "count", "count_if", "listagg", "max", "max_by", "median", "min", "min_by", "stddev", "sum", "variance"}
+WINDOWS = {"dense_rank", "first_value", "lag", "last_value", "lead", "ntile", "rank", "row_number"}
+SCALARS = {"abs", "cast", "ceil", "coalesce", "concat", "floor", "greatest", "if", "least", "nullif", "round", "sign", "try_cast", "try_divide"}
+TEXTS = {"contains", "endswith", "initcap", "left", "length", "lower", "lpad", "regexp_extract", "regexp_like", "replace", "right", "split_part", "startswith", "substr", "trim", "upper"}
+DATES = {"add_months", "date_add", "date_format", "date_trunc", "datediff", "day", "last_day", "make_date", "month", "months_between", "quarter", "to_date", "year"}
+CALLS = AGGREGATES | WINDOWS | SCALARS | TEXTS | DATES
+#: Words that may stand before a bracket without being called.
+BEFORE_BRACKET = set("all and as between by case distinct else except exists filter from group having in intersect is join like limit not on or over partition select then union using values when where with".split())
+SUMMING = {"avg", "sum", "stddev", "variance", "median"}
+_TOKEN = re.compile(r"(?P<skip>\s+|--[^\n]*|/\*.*?\*/)|(?P<text>'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>`(?:[^`]|``)+`|[A-Za-z_]\w*)|(?P<number>\d+(?:\.\d+)?|\.\d+)|(?P<sign><=>|<>|!=|<=|>=|==|\|\||[-+*/%(),.;=<>])", re.S)
 
 
 class Refused(ValueError):
     """A query that the guard does not run."""
 
 
-def check(sql: str, balances: Sequence[str] = ()) -> None:
-    """Raises Refused for what isn't one read-only SELECT with allowed functions, joined on conditions, that leaves running balances unsummed."""
-    bare = re.sub(r"'(?:[^']|'')*'", "''", re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S)).strip().rstrip(";")
-    if ";" in bare or not re.match(r"(?i)(select|with)\b", bare):
+def _tokens(sql: str) -> list[tuple[str, str]]:
+    """(kind, text) of each token; names without their back quotes, in lower case."""
+    out, at = [], 0
+    while at < len(sql):
+        m = _TOKEN.match(sql, at)
+        if not m:
+            raise Refused(f"{sql[at]!r} is not read")
+        at = m.end()
+        if m.lastgroup != "skip":
+            out.append((m.lastgroup, m[0].strip("`").replace("``", "`").lower() if m.lastgroup == "name" else m[0]))
+    return out
+
+
+def check(sql: str, tables: Sequence[str], balances: Sequence[str] = ()) -> None:
+    """Raises Refused for what isn't one SELECT over the tables given, with listed functions only, that leaves running balances unsummed.
+
+    Back-quoted names are names like any. Whatever stands behind FROM and JOIN
+    is one of the tables, a name from WITH, or a bracket. A running balance may
+    neither stand in a summing call nor leave a nested SELECT beside one.
+    """
+    t = _tokens(sql)
+    if t and t[-1][1] == ";":
+        t.pop()
+    words = [x for _, x in t]
+    if not t or words[0] not in ("select", "with") or ";" in words:
         raise Refused("one SELECT is allowed")
-    for name in re.findall(r"([A-Za-z_]\w*)\s*\(", bare):
-        if name.lower() not in ALLOWED | _KEYWORDS and not re.search(rf"(?i)(\bwith|,|\brecursive)\s+{name}\s*\(", bare):
-            raise Refused(f"the function {name} is not allowed")
-    if re.search(r"(?i)\bcross\s+join\b|\bon\s+(1|true)\b", bare):
-        raise Refused("a join needs a condition")
-    for part in re.findall(r"(?is)\bfrom\s+(.*?)(?=\bwhere\b|\bgroup\b|\border\b|\bhaving\b|\blimit\b|\bunion\b|\bintersect\b|\bexcept\b|\)|$)", bare):
-        if "," in part:
+    known = {x.lower() for x in tables} | {words[i] for i in range(len(t) - 2) if t[i][0] == "name" and words[i + 1 : i + 3] == ["as", "("]}
+    nested = words.count("select") > 1
+    summed = False
+    for i, (kind, word) in enumerate(t):
+        after = words[i + 1] if i + 1 < len(t) else ""
+        if kind == "name" and after == "(" and word not in CALLS | BEFORE_BRACKET | known:
+            raise Refused(f"the function {word} is not allowed")
+        if word in ("from", "join") and kind == "name" and words[i - 1] != "distinct" and after != "(":
+            if after not in known or (i + 2 < len(t) and words[i + 2] in (".", "(")):
+                raise Refused(f"{after} is not one of the tables")
+        if word in ("cross", "natural", "lateral", "transform", "tablesample") and kind == "name":
+            raise Refused(f"{word} is not allowed")
+        if word == "," and kind == "sign" and _in_from(words, i):
             raise Refused("tables are joined with ON or USING, not with a comma")
-        if len(re.findall(r"(?i)\bjoin\b", part)) > len(re.findall(r"(?i)\b(on|using)\b", part)):
-            raise Refused("a join needs a condition")
-    for column in balances:
-        if re.search(rf'(?i)\b(sum|total|avg)\s*\(\s*(distinct\s+)?(\w+\.)?"?{re.escape(column)}"?\s*\)', bare):
-            raise Refused(f"{column} is a running balance and isn't added up")
-
-
-def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], most: int = 25, balances: Sequence[str] = ()) -> tuple[list, bool]:
-    """The first rows of a guarded query, and whether there are more."""
-    check(sql, balances)
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    rows = spark.sql(sql).limit(most + 1).collect()
+        if kind == "name" and word in SUMMING and after == "(":
+            summed = True
+            end, depth = i + 2, 1
+            while end < len(t) and depth:
+                depth += {"(": 1, ")": -1}.get(words[end], 0)
+                end += 1
+            if any(b.lower() in words[i + 2 : end] for b in balances):
+                raise Refused("a running balance isn't added up")
+    if summed and nested and any(b.lower() in words for b in balances):
+        raise Refused("a running balance isn't added up")
+
+
+def _in_from(words: list[str], at: int) -> bool:
+    """Whether a comma stands in the list behind FROM, at its own depth."""
+    depth = 0
+    for word in reversed(words[:at]):
+        depth += {")": 1, "(": -1}.get(word, 0)
+        if depth < 0:
+            return False
+        if depth == 0 and word in ("select", "where", "group", "order", "having", "by", "using", "limit", "with", "partition"):
+            return False
+        if depth == 0 and word == "from":
+            return True
+    return False
+
+
+def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], most: int = 25, balances: Sequence[str] = (), seconds: float = 30.0) -> tuple[list, bool]:
+    """The first rows of a guarded query, and whether there are more.
+
+    Joins without a condition that holds them together are refused by the
+    planner, whatever they are written as. The query is cancelled after the
+    seconds given. Views are gone afterwards.
+    """
+    check(sql, list(views), balances)
+    cross, group = spark.conf.get("spark.sql.crossJoin.enabled"), uuid.uuid4().hex
+    timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobGroup(group))
+    spark.sparkContext.setJobGroup(group, "guarded query", interruptOnCancel=True)
+    try:
+        spark.conf.set("spark.sql.crossJoin.enabled", "false")
+        for name, df in views.items():
+            df.createOrReplaceTempView(name)
+        timer.start()
+        rows = spark.sql(sql).limit(most + 1).collect()
+    finally:
+        timer.cancel()
+        spark.conf.set("spark.sql.crossJoin.enabled", cross)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name in views:
+            spark.catalog.dropTempView(name)
     return rows[:most], len(rows) > most

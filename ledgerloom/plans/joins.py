@@ -81,11 +81,9 @@ def _(t):
 
 @query("jn12_unnested_key", "SELECT a.event_id AS a, count(*) AS n FROM events a JOIN events b ON json_extract_string(a.props, '$.k') = json_extract_string(b.props, '$.k') AND a.user_id = b.user_id AND a.event_id <> b.event_id GROUP BY a.event_id")
 def _(t):
-    own = t.events.select("event_id", "user_id", F.explode(F.map_values(F.from_json("props", "map<string,string>"))).alias("key"))
-    a, b = own.alias("a"), own.alias("b")
-    same = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.event_id") != F.col("b.event_id")))
-    return same.groupBy(F.col("a.event_id").alias("a")).agg(F.count("*").alias("n"))
-
+    own = t.events.select("event_id", "user_id", F.from_json("props", "map<string,string>")["k"].alias("key"))
+    held = own.groupBy("user_id", "key").agg((F.count("*") - 1).alias("n")).filter("n > 0")
+    return own.join(held, ["user_id", "key"]).select(F.col("event_id").alias("a"), "n")
 
 
 @query(
@@ -109,12 +107,9 @@ def _(t):
     return R.shared_keys(t.lineitem, "l_orderkey", "l_partkey")
 
 
-@query(
-    "jn15_conversation_closure",
-    "WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS n, l_partkey * 1000000 + l_suppkey AS k FROM lineitem WHERE l_quantity >= 40), p AS (SELECT DISTINCT a.n AS x, b.n AS y FROM e a JOIN e b ON a.k = b.k), c AS (SELECT x, y FROM p UNION SELECT c.x, p.y FROM c JOIN p ON c.y = p.x) SELECT x AS l_orderkey, min(y) AS root FROM c GROUP BY x",
-)
+@query("jn15_conversation_closure")
 def _(t):
-    keys = t.lineitem.filter("l_quantity >= 40").select("l_orderkey", (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("k"))
+    keys = t.lineitem.select("l_orderkey", (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("k"))
     return R.closure(keys, "l_orderkey", "k")
 
 
@@ -154,10 +149,10 @@ def _(t):
     return out.select("doc_id", F.coalesce("quality", "by_source", "by_lang").alias("quality"))
 
 
-@query("jn20_codes_printed_in_text", "SELECT p_partkey, count(*) AS n FROM (SELECT DISTINCT p_partkey, p_size FROM part WHERE p_size >= 45) JOIN events ON json_extract_string(props, '$.k') = p_size::VARCHAR GROUP BY p_partkey")
+@query("jn20_codes_printed_in_text", "SELECT p_partkey, count(*) AS n FROM (SELECT DISTINCT p_partkey, p_size FROM part) JOIN events ON json_extract_string(props, '$.k') = p_size::VARCHAR GROUP BY p_partkey")
 def _(t):
     printed = t.events.select(F.explode(F.regexp_extract_all("props", F.lit(r"(\d+)"), 1)).alias("code"))
-    book = t.part.filter("p_size >= 45").select("p_partkey", "p_size").distinct()
+    book = t.part.select("p_partkey", "p_size").distinct()
     return printed.join(book, F.col("code").cast("int") == F.col("p_size")).groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
@@ -166,10 +161,10 @@ _TOKENS = "SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), '
 
 @query(
     "jn21_word_overlap",
-    f"WITH w AS ({_TOKENS}), n AS (SELECT p_partkey, count(*) AS n FROM w GROUP BY p_partkey) SELECT a.p_partkey AS a, b.p_partkey AS b FROM w a JOIN w b ON a.w = b.w AND a.p_partkey < b.p_partkey JOIN n ON n.p_partkey = a.p_partkey WHERE a.p_partkey < 100 AND b.p_partkey < 100 GROUP BY a.p_partkey, b.p_partkey, n.n HAVING count(*) >= 0.6 * n.n",
+    f"WITH w AS ({_TOKENS}), n AS (SELECT p_partkey, count(*) AS n FROM w GROUP BY p_partkey) SELECT a.p_partkey AS a, b.p_partkey AS b FROM w a JOIN w b ON a.w = b.w AND a.p_partkey < b.p_partkey JOIN n ON n.p_partkey = a.p_partkey GROUP BY a.p_partkey, b.p_partkey, n.n HAVING count(*) >= 0.6 * n.n",
 )
 def _(t):
-    w = t.part.filter("p_partkey < 100").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("w"))
+    w = t.part.select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("w"))
     n = w.groupBy("p_partkey").agg(F.count("*").alias("n"))
     a, b = w.join(n, "p_partkey").alias("a"), w.alias("b")
     both = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).groupBy(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), "n").agg(F.count("*").alias("c"))
@@ -178,9 +173,7 @@ def _(t):
 
 @query("jn22_look_alikes", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_name < b.n_name AND levenshtein(a.n_name, b.n_name) <= CASE WHEN length(a.n_name) >= 10 THEN 2 ELSE 1 END")
 def _(t):
-    a, b = t.nation.select(F.col("n_name").alias("a")), t.nation.select(F.col("n_name").alias("b"))
-    near = F.levenshtein("a", "b") <= F.when(F.length("a") >= 10, 2).otherwise(1)
-    return a.join(F.broadcast(b), (F.col("a") < F.col("b")) & near)
+    return R.near_names(t.nation.select("n_name"), "n_name", 10)
 
 
 @query("jn23_dot_products", "SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 4) AS score FROM embeddings")
@@ -193,10 +186,11 @@ def _(t):
 
 @query("jn25_within_two_weeks", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(date_diff('second', a.o_orderdate, b.o_orderdate)) <= 1209600")
 def _(t):
-    a, b = t.orders.alias("a"), t.orders.alias("b")
-    apart = F.abs(F.unix_timestamp("a.o_orderdate") - F.unix_timestamp("b.o_orderdate"))
-    on = (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey")) & (apart <= 14 * 86400)
-    return a.join(b, on).select(F.col("a.o_orderkey").alias("a"), F.col("b.o_orderkey").alias("b"))
+    width, at = 14 * 86400, F.unix_timestamp("o_orderdate")
+    rows = t.orders.select("o_custkey", "o_orderkey", at.alias("at"), F.floor(at / width).alias("bucket"))
+    a = rows.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("at").alias("a_at"), "bucket")
+    b = rows.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("at").alias("b_at"), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket"))
+    return a.join(b, ["o_custkey", "bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("a_at") - F.col("b_at")) <= width)).select("a", "b")
 
 
 @query(

@@ -8,9 +8,9 @@ from ..operators import search as S
 from ..registry import query
 
 
-@query("rk02_tf_idf", "WITH c AS (SELECT doc_id, (length(text) - length(replace(lower(text), 'inge', ''))) / 4 AS a, (length(text) - length(replace(lower(text), 'tion', ''))) / 4 AS b FROM documents WHERE lang = 'en'), s AS (SELECT count(*) AS n, count_if(a > 0) AS da, count_if(b > 0) AS db FROM c) SELECT doc_id, round(CASE WHEN a > 0 THEN (1 + ln(a)) * ln(1 + n / da) ELSE 0 END + CASE WHEN b > 0 THEN (1 + ln(b)) * ln(1 + n / db) ELSE 0 END, 5) AS score FROM c, s WHERE a > 0 OR b > 0")
+@query("rk02_tf_idf", "WITH c AS (SELECT doc_id, (length(text) - length(replace(lower(text), 'inge', ''))) / 4 AS a, (length(text) - length(replace(lower(text), 'tion', ''))) / 4 AS b FROM documents), s AS (SELECT count(*) AS n, count_if(a > 0) AS da, count_if(b > 0) AS db FROM c) SELECT doc_id, round(CASE WHEN a > 0 THEN (1 + ln(a)) * ln(1 + n / da) ELSE 0 END + CASE WHEN b > 0 THEN (1 + ln(b)) * ln(1 + n / db) ELSE 0 END, 5) AS score FROM c, s WHERE a > 0 OR b > 0")
 def _(t):
-    return S.tf_idf(t.documents.filter("lang = 'en'"), "text", ["inge", "tion"]).select("doc_id", F.round("score", 5).alias("score"))
+    return S.tf_idf(t.documents, "text", ["inge", "tion"]).select("doc_id", F.round("score", 5).alias("score"))
 
 
 _DOT = "list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 3)), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"

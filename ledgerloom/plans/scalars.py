@@ -99,14 +99,15 @@ def _(t):
     return t.orders.select("o_orderkey", T.cell_date(written).alias("d"))
 
 
-@query("sc12_months", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
+@query("sc12_months", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
 def _(t):
-    return t.orders.filter("o_orderdate >= timestamp '2000-01-01'").select("o_orderkey", T.month_key(F.date_format("o_orderdate", "MMM-yy")).alias("month"))
+    written = F.when(F.year("o_orderdate") >= 2000, F.date_format("o_orderdate", "MMM-yy")).otherwise(F.date_format("o_orderdate", "MMM-yyyy"))
+    return t.orders.select("o_orderkey", T.month_key(written).alias("month"))
 
 
-@query("sc20_collapse", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM documents WHERE doc_id < 40")
+@query("sc20_collapse", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM documents")
 def _(t):
-    return t.documents.filter("doc_id < 40").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    return t.documents.select("doc_id", F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")).alias("text"))
 
 
 @query("sc22_extracted_fields", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS mails, len(regexp_extract_all(text, '[0-9]+')) AS numbers FROM documents")

@@ -15,11 +15,11 @@ def _(t):
     return held.agg(F.count("*").alias("totals"), F.count_if("holds").alias("holding"))
 
 
-@query("ag24_identities", "SELECT 'total' AS target, 'net + tax' AS formula UNION ALL SELECT 'net', 'total - tax' UNION ALL SELECT 'tax', 'total - net'")
+@query("ag24_identities", "WITH r AS (SELECT round(l_extendedprice, 2) AS net, round(l_extendedprice * (l_tax + 0.01), 2) AS tax FROM lineitem) SELECT 'total' AS target, 'net + tax' AS formula FROM r HAVING count_if(abs(net + tax - (net + tax)) <= 0.045) = count(*)")
 def _(t):
     rows = t.lineitem.select(F.round("l_extendedprice", 2).alias("net"), F.round(F.col("l_extendedprice") * (F.col("l_tax") + 0.01), 2).alias("tax"), F.col("l_quantity").alias("q"))
     rows = rows.withColumn("total", F.col("net") + F.col("tax"))
-    found = O.identities(rows, ["net", "tax", "total", "q"], terms=2)
+    found = O.identities(rows, ["q", "net", "tax", "total"])
     return rows.sparkSession.createDataFrame([(a, b) for a, b, _ in found], "target string, formula string")
 
 

