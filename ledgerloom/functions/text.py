@@ -91,8 +91,8 @@ def skeleton(c: Column) -> Column:
 
 def html_text(c: Column) -> Column:
     """Text of a page: comments, scripts, styles and tags dropped, white space collapsed."""
-    bare = F.regexp_replace(c, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    bare = F.regexp_replace(c, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"[ \t\n\r\f]+", " "))
 
 
 def fold(c: Column) -> Column:

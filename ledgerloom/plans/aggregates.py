@@ -34,7 +34,8 @@ def _(t):
 
 @query("ag05_history_count", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) - 1 AS others FROM orders WHERE o_orderstatus <> 'P'")
 def _(t):
-    return t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", (F.count("*").over(W.partitionBy("o_custkey")) - 1).alias("others"))
+    own = t.orders.filter("o_orderstatus <> 'P'")
+    return own.join(own.groupBy("o_custkey").agg((F.count("*") - 1).alias("others")), "o_custkey").select("o_orderkey", "others")
 
 
 @query("ag06_rare_keys", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(*) <= 25")
@@ -146,7 +147,8 @@ def _(t):
 
 @query("ag29_best_reason", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
 def _(t):
-    return t.events.withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))).filter("r = 1").select("user_id", "event_id", "value")
+    best = t.events.groupBy("user_id").agg(F.min(F.struct(-F.col("value"), "event_id", "value")).alias("b"))
+    return best.select("user_id", "b.event_id", "b.value")
 
 
 @query("ag30_learned_weights", "SELECT source, least(1.6, greatest(0.5, 1 + 0.15 * (sum(toxic) - count_if(toxic = 0)))) AS weight FROM labels JOIN documents USING (doc_id) GROUP BY source")

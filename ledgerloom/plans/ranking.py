@@ -29,7 +29,10 @@ def _(t):
     return t.embeddings.groupBy("label").agg(F.round(F.max(S.dot(F.col("embedding"), q)), 4).alias("score"))
 
 
-@query("rk01_keyword_search")
+_HAS = lambda c, t: f"regexp_matches({c}, '(?i)(^|[^\\w]){t}(s|es)?([^\\w]|$)')"
+
+
+@query("rk01_keyword_search", f"WITH h AS (SELECT doc_id, coalesce(source, '') AS h, coalesce(text, '') AS r, 3 * contains(lower(coalesce(source, '')), 'then')::INT + contains(lower(coalesce(text, '')), 'then')::INT + 3 * contains(lower(coalesce(source, '')), 'on')::INT + contains(lower(coalesce(text, '')), 'on')::INT AS hits FROM documents), f AS (SELECT * FROM h WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 80), w AS (SELECT doc_id, hits, CASE WHEN {_HAS('h', 'then')} THEN 4 WHEN {_HAS('r', 'then')} THEN 1 ELSE 0 END + CASE WHEN {_HAS('h', 'on')} THEN 4 WHEN {_HAS('r', 'on')} THEN 1 ELSE 0 END AS whole FROM f) SELECT doc_id, hits, whole FROM w WHERE whole > 0 OR (SELECT max(whole) FROM w) = 0 ORDER BY whole DESC, hits DESC, doc_id LIMIT 20")
 def _(t):
     return S.keyword_search(t.documents, {"source": 3, "text": 1}, ["then", "on"], ["source"], [F.asc("doc_id")]).select("doc_id", "hits", "whole")
 

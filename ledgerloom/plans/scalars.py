@@ -130,6 +130,6 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", T.sqlite_min(F.col("l_tax"), F.col("l_discount")).alias("low"), T.sqlite_max(F.col("l_tax"), F.col("l_discount")).alias("high"))
 
 
-@query("src10_html_text")
+@query("src10_html_text", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages")
 def _(t):
     return t.pages.select("page_id", T.html_text(F.col("html")).alias("text"))

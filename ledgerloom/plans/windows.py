@@ -9,7 +9,7 @@ from ..registry import query
 
 @query("wn01_latest_row", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def _(t):
-    return R.latest(t.events, ["user_id"], [F.desc("value"), F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
+    return t.events.groupBy("user_id").agg(F.max_by("event_id", F.struct("value", "ts", "event_id")).alias("event_id"))
 
 
 @query(
@@ -17,8 +17,8 @@ def _(t):
     "WITH s AS (SELECT user_id, max(event_id) AS sid FROM events GROUP BY user_id), o AS (SELECT user_id, event_type, max(event_id) AS oid FROM events GROUP BY user_id, event_type) SELECT o.user_id, event_type, CASE WHEN oid >= sid THEN oid ELSE sid END AS winner FROM o JOIN s ON o.user_id = s.user_id",
 )
 def _(t):
-    series = R.latest(t.events, ["user_id"], [F.desc("event_id")]).select("user_id", F.col("event_id").alias("sid"))
-    single = R.latest(t.events, ["user_id", "event_type"], [F.desc("event_id")]).select("user_id", "event_type", F.col("event_id").alias("oid"))
+    series = t.events.groupBy("user_id").agg(F.max("event_id").alias("sid"))
+    single = t.events.groupBy("user_id", "event_type").agg(F.max("event_id").alias("oid"))
     return single.join(series, "user_id").select("user_id", "event_type", F.when(F.col("oid") >= F.col("sid"), F.col("oid")).otherwise(F.col("sid")).alias("winner"))
 
 
@@ -55,7 +55,8 @@ def _(t):
 @query("wn07_rank_and_count", "SELECT user_id, event_id, r, n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r <= 7")
 def _(t):
     r = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
-    return t.events.select("user_id", "event_id", r.alias("r"), F.count("*").over(W.partitionBy("user_id")).alias("n")).filter("r <= 7")
+    top = t.events.select("user_id", "event_id", r.alias("r")).filter("r <= 7")
+    return top.join(t.events.groupBy("user_id").agg(F.count("*").alias("n")), "user_id").select("user_id", "event_id", "r", "n")
 
 
 @query("wn08_fill_down", "SELECT event_id, last_value(CASE WHEN value > 80 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS label FROM events")
@@ -66,7 +67,7 @@ def _(t):
 
 @query("wn09_keep_first", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
 def _(t):
-    return R.latest(t.documents, ["text"], [F.asc("doc_id")]).select("text", "doc_id")
+    return t.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
 
 @query("wn10_round_robin", "SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY depth, source, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS depth FROM documents) WHERE depth <= 5) WHERE used <= 50000")
