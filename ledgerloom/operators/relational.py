@@ -134,6 +134,48 @@ def shared_keys(keys: DataFrame, node: str, key: str, most: int = 25) -> DataFra
     return pairs.groupBy(F.col("a.n").alias("a"), F.col("b.n").alias("b")).agg(F.count("*").alias("shared"))
 
 
+def nearest_of_other_kinds(df: DataFrame, id_col: str, key: str, kind: str, kinds: Sequence[str], value: str, most: int = 3) -> DataFrame:
+    """(a, b): with each row, the ``most`` rows of its key nearest in value among those of another kind; ties go to the lesser id.
+
+    Windows carry the last ``most`` rows of each kind up and down the values,
+    so a key's pairs are never made. Rows without a value take no part.
+    """
+    own = df.filter(F.col(value).isNotNull()).select(F.col(id_col).alias("i"), F.col(key).alias("g"), F.col(kind).alias("t"), F.col(value).alias("v"))
+    found = []
+    for name, along in (("_below", F.col("v")), ("_above", -F.col("v"))):
+        same = Window.partitionBy("g", "t").orderBy(along, F.desc("i"))
+        passed = Window.partitionBy("g").orderBy(along).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        at = F.struct("v", "i")
+        own = own.withColumn(name, F.struct(along.alias("o"), (-F.col("i")).alias("n"), F.array_compact(F.array(at, *[F.lag(at, k).over(same) for k in range(1, most)])).alias("rows")))
+        for k, one in enumerate(kinds):
+            found.append((f"{name}{k}", one))
+            own = own.withColumn(f"{name}{k}", F.max(F.when(F.col("t") == one, F.col(name))).over(passed)["rows"])
+    none = F.array().cast("array<struct<v:double,i:bigint>>")
+    near = F.array_distinct(F.concat(*[F.when(F.col("t") == one, none).otherwise(F.coalesce(c, none)) for c, one in found]))
+    ranked = F.array_sort(F.transform(near, lambda x: F.struct(F.abs(x["v"] - F.col("v")).alias("d"), x["i"].alias("i"))))
+    return own.select(F.col("i").alias("a"), F.explode(F.slice(ranked, 1, most)).alias("b")).select("a", F.col("b.i").alias("b"))
+
+
+def medians(df: DataFrame, by: Sequence[str], value: str, bins: int = 1024) -> DataFrame:
+    """``by`` and ``middle``: the exact median of each group's finite values, nulls left out.
+
+    Equal values are counted first. Counts of bins between a group's least and
+    greatest value tell which bins hold the middle, and only these are put in
+    order, so no task orders a whole group.
+    """
+    held = df.filter(F.col(value).isNotNull()).groupBy(F.struct(*by).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    span = held.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("all"))
+    share = F.coalesce((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0))
+    binned = held.join(span, "g").select("g", "v", "n", "all", F.least(F.floor(share * bins), F.lit(bins - 1)).alias("bin"))
+    first, second = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    counted = binned.groupBy("g", "bin").agg(F.sum("n").alias("c"), F.first("all").alias("all"))
+    upto = F.sum("c").over(Window.partitionBy("g").orderBy("bin"))
+    middle = counted.withColumn("upto", upto).filter((F.col("upto") - F.col("c") < second) & (F.col("upto") >= first)).select("g", "bin", (F.col("upto") - F.col("c")).alias("before"))
+    inside = binned.join(middle, ["g", "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("g", "bin").orderBy("v")))
+    of = inside.filter((F.col("upto") - F.col("n") < second) & (F.col("upto") >= first))
+    return of.groupBy("g").agg(F.avg("v").alias("middle")).select("g.*", "middle")
+
+
 def fill_down(df: DataFrame, col: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """A blank takes the last value above it."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

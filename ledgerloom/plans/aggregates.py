@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import relational as R
 from ..registry import query
 
 
@@ -176,7 +177,7 @@ def _(t):
 
 @query("ag36_middle", "SELECT event_type, round(median(value), 4) AS middle FROM events GROUP BY event_type")
 def _(t):
-    return t.events.groupBy("event_type").agg(F.round(F.median("value"), 4).alias("middle"))
+    return R.medians(t.events, ["event_type"], "value").select("event_type", F.round("middle", 4).alias("middle"))
 
 
 @query("ag_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

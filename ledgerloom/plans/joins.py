@@ -198,15 +198,13 @@ def _(t):
     "WITH p AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.o_totalprice - b.o_totalprice), b.o_orderkey) AS r FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND a.o_orderpriority <> b.o_orderpriority) SELECT a, b FROM p WHERE r <= 3",
 )
 def _(t):
-    a, b = t.orders.alias("a"), t.orders.alias("b")
-    pairs = a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") != F.col("b.o_orderkey")) & (F.col("a.o_orderpriority") != F.col("b.o_orderpriority")))
-    pairs = pairs.select(F.col("a.o_orderkey").alias("a"), F.col("b.o_orderkey").alias("b"), F.abs(F.col("a.o_totalprice") - F.col("b.o_totalprice")).alias("d"))
-    return pairs.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).filter("r <= 3").select("a", "b")
+    return R.nearest_of_other_kinds(t.orders, "o_orderkey", "o_custkey", "o_orderpriority", _PRIORITY, "o_totalprice")
 
 
 @query("jn27_same_message_in_time", "SELECT a.event_id AS a, min(b.event_id) AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id AND abs(date_diff('second', a.ts, b.ts)) <= 3600 GROUP BY a.event_id")
 def _(t):
-    a, b = t.events.alias("a"), t.events.alias("b")
-    near = F.abs(F.unix_timestamp("a.ts") - F.unix_timestamp("b.ts")) <= 3600
-    on = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.event_type") == F.col("b.event_type")) & (F.col("a.event_id") < F.col("b.event_id")) & near
-    return a.join(b, on).groupBy(F.col("a.event_id").alias("a")).agg(F.min("b.event_id").alias("b"))
+    rows = t.events.select("user_id", "event_type", "event_id", F.unix_timestamp("ts").alias("at"), F.floor(F.unix_timestamp("ts") / 3600).alias("hour"))
+    a = rows.select("user_id", "event_type", F.col("event_id").alias("a"), F.col("at").alias("a_at"), "hour")
+    b = rows.select("user_id", "event_type", F.col("event_id").alias("b"), F.col("at").alias("b_at"), F.explode(F.array(F.col("hour") - 1, "hour", F.col("hour") + 1)).alias("hour"))
+    near = (F.col("a") < F.col("b")) & (F.abs(F.col("a_at") - F.col("b_at")) <= 3600)
+    return a.join(b, ["user_id", "event_type", "hour"]).filter(near).groupBy("a").agg(F.min("b").alias("b"))

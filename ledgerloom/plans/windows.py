@@ -73,8 +73,11 @@ def _(t):
 @query("wn10_round_robin", "SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY depth, source, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS depth FROM documents) WHERE depth <= 5) WHERE used <= 50000")
 def _(t):
     deep = t.documents.select("doc_id", "source", "n_chars", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("depth")).filter("depth <= 5")
-    used = F.sum("n_chars").over(W.orderBy("depth", "source", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    return deep.withColumn("used", used).filter("used <= 50000").select("doc_id")
+    rounds = deep.groupBy("depth").agg(F.sum("n_chars").alias("whole"))
+    earlier = rounds.alias("r").join(rounds.alias("e"), F.col("e.depth") < F.col("r.depth"), "left").groupBy(F.col("r.depth").alias("depth")).agg(F.coalesce(F.sum("e.whole"), F.lit(0)).alias("before"))
+    within = F.sum("n_chars").over(W.partitionBy("depth").orderBy("source", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    open_rounds = deep.join(earlier.filter("before <= 50000"), "depth")
+    return open_rounds.withColumn("used", F.col("before") + within).filter("used <= 50000").select("doc_id")
 
 
 for _name, _order, _cols in (

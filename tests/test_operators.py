@@ -241,3 +241,27 @@ def test_hybrid_searches_the_whole_tables(spark, sf):
     got = [r["doc_id"] for r in QUERIES["rk04_hybrid"](spark, sf).collect()]
     assert got and len(set(got)) == len(got)
     assert all(i in near or "then" in texts[i] or "on" in texts[i] for i in got)
+
+
+def test_medians_of_ties_nulls_and_skewed_values(spark):
+    import random
+    import statistics
+
+    deal = random.Random(5)
+    groups = {"a": [1.0], "b": [2.0, 5.0], "c": [7.0] * 50 + [1e9, -3.0], None: [deal.expovariate(1) ** 6 for _ in range(501)], "d": [deal.choice([0.0, 1.0, 4.0]) for _ in range(400)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    got = {r["g"]: r["middle"] for r in R.medians(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", bins=16).collect()}
+    assert got == pytest.approx({g: statistics.median(vs) for g, vs in groups.items()})
+
+
+def test_nearest_of_other_kinds_with_tied_values(spark):
+    import random
+
+    deal = random.Random(6)
+    rows = [(i, i % 3, deal.choice("xyz"), float(deal.randrange(12))) for i in range(120)] + [(500, 0, "x", None), (501, 9, "x", 1.0)]
+    got = R.nearest_of_other_kinds(spark.createDataFrame(rows, "id long, k long, t string, v double"), "id", "k", "t", ["x", "y", "z"], "v", most=2)
+    want = set()
+    for i, k, t, v in rows:
+        other = [(abs(v - w), j) for j, h, u, w in rows if h == k and u != t and v is not None and w is not None]
+        want |= {(i, j) for _, j in sorted(other)[:2]}
+    assert {tuple(r) for r in got.collect()} == want
