@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontam, jaccard, kdtree, licenses, mixing, packing, periodic, quality_model, quality_rules, secrets, toxicity, warc
+from . import decontam, jaccard, kdtree, language_model, licenses, mixing, packing, periodic, quality_model, quality_rules, secrets, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,6 +77,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), ids.alias("item_ids"), F.array_min(F.transform("leaks", lambda m: m["distance"])).alias("least_distance"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_model.held_out("doc_id", 5, 1)
+    keys = {"doc_id": F.col("doc_id"), "held_out": out}
+    return language_model.score_texts(_read(spark, sf_dir, "documents"), F.col("text"), ~out, keys)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every tenth document, by its hash, the words from a place on are first replaced by repeats of the words there."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -110,7 +116,7 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"cluster_inertia": of(inertia, "bigint"), "inertia": F.lit(sum(inertia)).cast("long"), "centroid_sha256": of(shas, "string")})
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_toxicity, op4_mixing, op5_secret_scans, op6_ngram_jaccard_join, op7_warc, op8_token_packing, op9_quality_classifier, op10_decontamination, op12_periodic_runs, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scans, op3_toxicity, op4_mixing, op5_secret_scans, op6_ngram_jaccard_join, op7_warc, op8_token_packing, op9_quality_classifier, op10_decontamination, op11_language_model, op12_periodic_runs, op13_centroid_clustering)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
