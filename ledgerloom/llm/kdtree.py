@@ -203,8 +203,8 @@ class Clusters:
     """Clustering of ``vectors`` (an array column of integers, see ``integers``) by rounds from the first centroids in ``start`` order."""
 
     def __init__(self, table: DataFrame, id_col: Column, vectors: Column, start: Column, k: int = 16, rounds: int = 3, dim: int = 64, block: int = 8192, leaf: int = 32):
-        if k < 1 or dim < 1:
-            raise ValueError("k and dim are 1 at least")
+        if k < 1 or dim < 1 or leaf < 2:
+            raise ValueError("k and dim are 1 at least, and a leaf has room for two vectors")
         self.dim, self.leaf, self.spark = dim, leaf, table.sparkSession
         rows = table.select(id_col.alias("_id"), vectors.alias("_vector"), start.alias("_start")).filter(F.col("_vector").isNotNull())
         self.id_type = rows.schema["_id"].dataType.simpleString()

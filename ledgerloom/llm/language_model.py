@@ -49,10 +49,10 @@ class Settings:
     table: int = 1 << 18
     vocabulary: int = 2048
     longest: int = 64
-    classes: int = 48
-    hidden: int = 16
+    classes: int = 20
+    hidden: int = 12
     window: int = 24
-    lanes: int = 192
+    lanes: int = 512  # in training; in scoring twice as many
     rounds: int = 4
     rate: float = 0.01
     clip: float = 1.0
@@ -178,6 +178,12 @@ class Weights:
     def arrays(self) -> list[np.ndarray]:
         return [getattr(self, f.name) for f in fields(self)]
 
+    def bound(self) -> None:
+        """Keeps the output's logits within 75 of 0, as states are within 1."""
+        for weight, shift in ((self.to_class, self.of_class), (self.to_word, self.of_word)):
+            np.clip(weight, -50 / len(self.state), 50 / len(self.state), out=weight)
+            np.clip(shift, -25, 25, out=shift)
+
     @classmethod
     def flat(cls, like: Weights, values: np.ndarray) -> Weights:
         out, at = [], 0
@@ -275,35 +281,41 @@ class Network:
     def output(self, after: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Natural log probability of each target; with learn, the gradients of its mean's negative."""
         w, of = self.w, self.class_of[target]
+        order = np.argsort(of.astype(np.int16), kind="stable")  # tokens of a class stand together
+        of, target, here = of[order], target[order], after[order]
+        cuts = np.searchsorted(of, np.arange(len(self.bounds)))
         rows, scale = np.arange(len(target)), np.float32(1 / max(1, len(target)))
-        z = after @ w.to_class + w.of_class
-        z -= z.max(1, keepdims=True)
-        picked = z[rows, of]
-        np.exp(z, out=z)
-        total = z.sum(1)
-        logp = picked - np.log(total)
+
+        def softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """The log probability of the column picked in each row; with learn, z becomes the gradient. Weights are bounded, so that no exponential overflows."""
+            picked = z[rows[: len(z)], at]
+            np.exp(z, out=z)
+            total = z @ np.ones(z.shape[1], z.dtype)
+            if learn:
+                z *= (scale / total)[:, None]
+                z[rows[: len(z)], at] -= scale
+            return picked - np.log(total)
+
+        z = here @ w.to_class
+        z += w.of_class
+        told = softmax(z, of)
         g: dict[str, np.ndarray] = {}
         if learn:
-            z *= (scale / total)[:, None]
-            z[rows, of] -= scale
-            g = {"to_class": after.T @ z, "of_class": z.sum(0), "after": z @ w.to_class.T, "to_word": np.zeros_like(w.to_word), "of_word": np.zeros_like(w.of_word)}
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(len(self.bounds)))
+            back = z @ w.to_class.T
+            g = {"to_class": here.T @ z, "of_class": z.sum(0), "to_word": np.zeros_like(w.to_word), "of_word": np.zeros_like(w.of_word)}
         for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.bounds) > 1)).tolist():
-            at, i, j = order[cuts[c] : cuts[c + 1]], self.bounds[c], self.bounds[c + 1]
-            here, word = after[at], target[at] - i
-            z = here @ w.to_word[i:j].T + w.of_word[i:j]
-            z -= z.max(1, keepdims=True)
-            mine = np.arange(len(at))
-            picked = z[mine, word]
-            np.exp(z, out=z)
-            total = z.sum(1)
-            logp[at] += picked - np.log(total)
+            a, b, i, j = cuts[c], cuts[c + 1], self.bounds[c], self.bounds[c + 1]
+            z = here[a:b] @ w.to_word[i:j].T
+            z += w.of_word[i:j]
+            told[a:b] += softmax(z, target[a:b] - i)
             if learn:
-                z *= (scale / total)[:, None]
-                z[mine, word] -= scale
-                g["to_word"][i:j], g["of_word"][i:j] = z.T @ here, z.sum(0)
-                g["after"][at] += z @ w.to_word[i:j]
+                g["to_word"][i:j], g["of_word"][i:j] = z.T @ here[a:b], z.sum(0)
+                back[a:b] += z @ w.to_word[i:j]
+        logp = np.empty_like(told)
+        logp[order] = told
+        if learn:
+            g["after"] = np.empty_like(back)
+            g["after"][order] = back
         return logp, g
 
     def gradients(self, lanes: Lanes, at: slice, active: np.ndarray, h: np.ndarray) -> tuple[Weights, np.ndarray, np.ndarray]:
@@ -336,7 +348,8 @@ class Network:
 
     def log_probabilities(self, ids: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text, the state carried through its windows."""
-        lanes, h, out = Lanes(ids, self.s.lanes), np.zeros((max(1, min(self.s.lanes, len(ids))), self.s.hidden), np.float32), np.zeros(len(ids))
+        lanes, out = Lanes(ids, 2 * self.s.lanes), np.zeros(len(ids))
+        h = np.zeros((len(ids) and int(lanes.active[0]), self.s.hidden), np.float32)
         for at, active in lanes.windows(self.s.window):
             t = self.states(lanes, at, active, h)
             logp, _ = self.output(t["after"], lanes.target[at], False)
@@ -365,6 +378,7 @@ def learn(weights: Weights, bounds: np.ndarray, pools: Iterator[list[np.ndarray]
                 m += np.float32(0.1) * (x - m)
                 v += np.float32(0.001) * (x * x - v)
                 a -= rate * m / (np.sqrt(v) + np.float32(1e-8))
+            w.bound()
         tokens += total
     return w, tokens
 
