@@ -37,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .store import Scratch
 from .text import FOLD, chunks
@@ -53,10 +54,10 @@ class Settings:
     hidden: int = 12
     window: int = 24
     lanes: int = 512  # in training; in scoring twice as many
-    rounds: int = 4
+    rounds: int = 2
     rate: float = 0.01
     clip: float = 1.0
-    pool: int = 1 << 19  # tokens laid out in lanes at once
+    pool: int = 3 << 20  # tokens laid out in lanes at once, about 60 bytes each: many, as the longest text sets the number of steps
     seed: int = 17
 
 
@@ -234,14 +235,13 @@ class Lanes:
             load[k] += length[i]
         rank = np.empty(len(load), np.int64)
         rank[np.argsort(-load, kind="stable")] = np.arange(len(load))
-        self.text = np.repeat(np.arange(len(ids)), length)
-        starts = np.cumsum(length) - length
-        inside = np.arange(length.sum()) - np.repeat(starts, length)
-        step, lane = np.repeat(place, length) + inside, np.repeat(rank[lane], length)
-        target = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-        before = np.where(inside == 0, END, np.concatenate([[END], target[:-1]])[: len(target)])
-        order = np.argsort(step * len(load) + lane, kind="stable")
-        self.text, self.target, self.before, self.keep = self.text[order], target[order], before[order], (inside[order] > 0).astype(np.float32)
+        text = np.repeat(np.arange(len(ids), dtype=np.int32), length)
+        inside = np.arange(length.sum()) - (np.cumsum(length) - length)[text]
+        step = inside + place[text]
+        order = np.argsort(step * len(load) + rank[lane][text], kind="stable")
+        target = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+        before = np.where(inside == 0, END, np.concatenate([[END], target[:-1]])[: len(target)]).astype(np.int32)
+        self.text, self.target, self.before, self.keep = text[order], target[order], before[order], (inside[order] > 0).astype(np.float32)
         self.active = np.bincount(step) if len(step) else np.zeros(0, np.int64)
 
     def windows(self, steps: int) -> Iterator[tuple[slice, np.ndarray]]:
@@ -365,7 +365,7 @@ def learn(weights: Weights, bounds: np.ndarray, pools: Iterator[list[np.ndarray]
     net, step, tokens = Network(w, bounds, s), 0, 0
     for ids in pools:
         total = sum(map(len, ids))
-        lanes = Lanes(ids, int(np.clip(total // (8 * s.window), 8, s.lanes)))
+        lanes = Lanes(ids, int(np.clip(total // (64 * s.window), 16, s.lanes)))
         h = np.zeros((len(ids) and int(lanes.active[0]), s.hidden), np.float32)
         for at, active in lanes.windows(s.window):
             g, h, _ = net.gradients(lanes, at, active, h)
@@ -425,6 +425,15 @@ def train(encoded: DataFrame, words: Words, s: Settings) -> tuple[Weights, np.nd
     return weights, bounds
 
 
+def _told(net: Network, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with a log10 probability in place of the token numbers."""
+    told, at = net.log_probabilities([np.frombuffer(v.as_buffer(), "<u2") for b in batches for v in b["ids"]]), 0
+    for b in batches:
+        names = [n for n in b.schema.names if n != "ids"]
+        yield pa.RecordBatch.from_arrays([*[b[n] for n in names], pa.array(told[at : at + b.num_rows])], [*names, "told"])
+        at += b.num_rows
+
+
 def _added(a: tuple, b: tuple) -> tuple:
     return a[0] + b[0], a[1] + b[1]
 
@@ -463,14 +472,19 @@ def score_texts(docs: DataFrame, text: Column, training: Column, keys: dict[str,
     )
     model = spark.sparkContext.broadcast(weights)
 
-    def score(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        net = Network(model.value, bounds, s)
+    def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, held, tokens = Network(model.value, bounds, s), [], 0
         for batch in it:
-            out = [net.log_probabilities(ids) for ids in _pools(iter([batch]), s)]
-            yield pa.array(np.concatenate(out) if out else np.zeros(0))
+            held.append(batch)
+            tokens += batch["ids"].nbytes // 2
+            if tokens >= s.pool:
+                yield from _told(net, held)
+                held, tokens = [], 0
+        yield from _told(net, held)
 
     sums = lambda own, more: F.col(own) + F.coalesce(more, F.lit(0))
-    scored = rows.select(*[f"key{i}" for i in range(len(keys))], "row", "n_tokens", "known", "base", "others", F.arrow_udf(score, "double")("ids").alias("told"))
+    asked = rows.select(*[f"key{i}" for i in range(len(keys))], "row", "n_tokens", "known", "base", "others", "ids")
+    scored = asked.mapInArrow(score, StructType([*asked.drop("ids").schema.fields, StructField("told", DoubleType())]))
     return scored.join(met, "row", "left").select(
         *[F.col(f"key{i}").alias(name) for i, name in enumerate(keys)],
         "n_tokens", sums("known", "met_known").alias("n_known"), F.lit(words.tokens).cast("long").alias("train_tokens"), sums("base", "met_base").alias("base_score"),
