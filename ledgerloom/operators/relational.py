@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -84,25 +85,58 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], righ
     return x.join(y, all_of(on)).filter(inside & (F.col("_lb") == first)).drop("_lb", "_rb")
 
 
-def closure(pairs: DataFrame, node: str, key: str) -> DataFrame:
-    """(node, root): the least node reachable through shared keys. Rounds of least neighbours and pointer jumps until none moves, cut by checkpoint()."""
-    context = pairs.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = pairs.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again, which cuts its lineage and tells the planner its size."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-"))
-    edges = pairs.select(F.col(node).alias("n"), F.col(key).alias("k")).distinct().checkpoint()
-    roots = edges.groupBy("n").agg(F.min("n").alias("root"))
-    while True:
-        least = edges.join(roots, "n").groupBy("k").agg(F.min("root").alias("r"))
-        near = edges.join(least, "k").groupBy("n").agg(F.min("r").alias("r"))
-        step = roots.join(near, "n", "left").select("n", F.col("root").alias("was"), F.least("root", F.coalesce("r", "root")).alias("root"))
-        up = step.select(F.col("n").alias("u"), F.col("root").alias("top"))
-        step = step.join(up, step["root"] == up["u"], "left").select("n", "was", F.least("root", F.coalesce("top", "root")).alias("root")).checkpoint()
-        if not step.filter("was <> root").limit(1).count():
-            return step.select(F.col("n").alias(node), "root")
-        roots = step.select("n", "root")
+        top = tempfile.mkdtemp(prefix="ledgerloom-")
+    path = f"{top.rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(n, root) of every node of the edges (a, b), root being the same for all nodes of a component, and how many rounds it took.
+
+    In a round every node joins the neighbour, or itself, that is first in an
+    order drawn anew; what has joined one node is one node from then on. Half of
+    the nodes of a path remain, fewer of other graphs, so that rounds grow with
+    the logarithm of the largest component, whatever its shape, and the rounds
+    together cost a few passes over the edges. Components that are one node are done.
+    """
+    live = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    live = stored(live)
+    joined = []
+    while not live.isEmpty():
+        order = lambda c, turn=len(joined): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("n"))
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = stored(both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("n"), F.least("m", order("a"))["n"].alias("to")))
+        of = lambda c, to=to: to.select(F.col("n").alias(c), F.col("to").alias(f"_{c}"))
+        moved = live.join(of("a"), "a").join(of("b"), "b").filter("_a <> _b")
+        live = stored(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        joined.append(to)
+    if not joined:
+        return edges.select(F.col("a").alias("n"), F.col("b").alias("root")), 0
+    roots = joined[-1].withColumnRenamed("to", "root")
+    for i, to in enumerate(reversed(joined[:-1])):  # the last rounds have the fewest nodes
+        roots = to.join(roots.select(F.col("n").alias("to"), "root"), "to", "left").select("n", F.coalesce("root", "to").alias("root"))
+        if i % 4 == 3:
+            roots = stored(roots)
+    return roots, len(joined)
+
+
+def closure(pairs: DataFrame, node: str, key: str) -> DataFrame:
+    """(node, root): the least node reachable through shared keys, for every node. Nodes of a key meet its least node."""
+    own = pairs.select(F.col(node).alias("n"), F.col(key).alias("k")).distinct()
+    least = own.groupBy("k").agg(F.min("n").alias("b"))
+    edges = stored(own.join(least, "k").select(F.col("n").alias("a"), "b").distinct())
+    roots, _ = contracted(edges)
+    of = edges.select(F.col("a").alias("n")).distinct().join(roots, "n", "left").withColumn("root", F.coalesce("root", "n"))
+    top = of.groupBy("root").agg(F.min("n").alias("top"))
+    return of.join(top, "root").select(F.col("n").alias(node), F.col("top").alias("root"))
 
 
 def near_names(names: DataFrame, name: str, long_from: int) -> DataFrame:

@@ -1,16 +1,14 @@
-"""Operators on figures of tables: discovery of identities and running balances, subtotal checks, and guarded SQL."""
+"""Operators on figures of tables: discovery of identities and running balances, and subtotal checks."""
 
 from __future__ import annotations
 
 import re
-import threading
-import uuid
 from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE = 0.015
@@ -102,112 +100,3 @@ def subtotals(df: DataFrame, figure: str, is_total: Column, order: Sequence[str]
     near = lambda c, n: F.abs(F.col(figure) - F.col(c)) <= 0.5 * 10.0**-places * (n + 1) + 1e-9
     holds = (near("_group", F.col("_parts")) & (F.col("_parts") > 0)) | near("_all", F.col("_n")) | near("_totals", F.col("_n"))
     return sums.filter("_t").select(*df.columns, holds.alias("holds"))
-
-
-#: What a guarded query may call, by kind.
-AGGREGATES = {"any_value", "avg", "bool_and", "bool_or", "count", "count_if", "listagg", "max", "max_by", "median", "min", "min_by", "stddev", "sum", "variance"}
-WINDOWS = {"dense_rank", "first_value", "lag", "last_value", "lead", "ntile", "rank", "row_number"}
-SCALARS = {"abs", "cast", "ceil", "coalesce", "concat", "floor", "greatest", "if", "least", "nullif", "round", "sign", "try_cast", "try_divide"}
-TEXTS = {"contains", "endswith", "initcap", "left", "length", "lower", "lpad", "regexp_extract", "regexp_like", "replace", "right", "split_part", "startswith", "substr", "trim", "upper"}
-DATES = {"add_months", "date_add", "date_format", "date_trunc", "datediff", "day", "last_day", "make_date", "month", "months_between", "quarter", "to_date", "year"}
-CALLS = AGGREGATES | WINDOWS | SCALARS | TEXTS | DATES
-#: Words that may stand before a bracket without being called.
-BEFORE_BRACKET = set("all and as between by case distinct else except exists filter from group having in intersect is join like limit not on or over partition select then union using values when where with".split())
-SUMMING = {"avg", "sum", "stddev", "variance", "median"}
-_TOKEN = re.compile(r"(?P<skip>\s+|--[^\n]*|/\*.*?\*/)|(?P<text>'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<name>`(?:[^`]|``)+`|[A-Za-z_]\w*)|(?P<number>\d+(?:\.\d+)?|\.\d+)|(?P<sign><=>|<>|!=|<=|>=|==|\|\||[-+*/%(),.;=<>])", re.S)
-
-
-class Refused(ValueError):
-    """A query that the guard does not run."""
-
-
-def _tokens(sql: str) -> list[tuple[str, str]]:
-    """(kind, text) of each token; names without their back quotes, in lower case."""
-    out, at = [], 0
-    while at < len(sql):
-        m = _TOKEN.match(sql, at)
-        if not m:
-            raise Refused(f"{sql[at]!r} is not read")
-        at = m.end()
-        if m.lastgroup != "skip":
-            out.append((m.lastgroup, m[0].strip("`").replace("``", "`").lower() if m.lastgroup == "name" else m[0]))
-    return out
-
-
-def check(sql: str, tables: Sequence[str], balances: Sequence[str] = ()) -> None:
-    """Raises Refused for what isn't one SELECT over the tables given, with listed functions only, that leaves running balances unsummed.
-
-    Back-quoted names are names like any. Whatever stands behind FROM and JOIN
-    is one of the tables, a name from WITH, or a bracket. A running balance may
-    neither stand in a summing call nor leave a nested SELECT beside one.
-    """
-    t = _tokens(sql)
-    if t and t[-1][1] == ";":
-        t.pop()
-    words = [x for _, x in t]
-    if not t or words[0] not in ("select", "with") or ";" in words:
-        raise Refused("one SELECT is allowed")
-    known = {x.lower() for x in tables} | {words[i] for i in range(len(t) - 2) if t[i][0] == "name" and words[i + 1 : i + 3] == ["as", "("]}
-    nested = words.count("select") > 1
-    summed = False
-    for i, (kind, word) in enumerate(t):
-        after = words[i + 1] if i + 1 < len(t) else ""
-        if kind == "name" and after == "(" and word not in CALLS | BEFORE_BRACKET | known:
-            raise Refused(f"the function {word} is not allowed")
-        if word in ("from", "join") and kind == "name" and words[i - 1] != "distinct" and after != "(":
-            if after not in known or (i + 2 < len(t) and words[i + 2] in (".", "(")):
-                raise Refused(f"{after} is not one of the tables")
-        if word in ("cross", "natural", "lateral", "transform", "tablesample") and kind == "name":
-            raise Refused(f"{word} is not allowed")
-        if word == "," and kind == "sign" and _in_from(words, i):
-            raise Refused("tables are joined with ON or USING, not with a comma")
-        if kind == "name" and word in SUMMING and after == "(":
-            summed = True
-            end, depth = i + 2, 1
-            while end < len(t) and depth:
-                depth += {"(": 1, ")": -1}.get(words[end], 0)
-                end += 1
-            if any(b.lower() in words[i + 2 : end] for b in balances):
-                raise Refused("a running balance isn't added up")
-    if summed and nested and any(b.lower() in words for b in balances):
-        raise Refused("a running balance isn't added up")
-
-
-def _in_from(words: list[str], at: int) -> bool:
-    """Whether a comma stands in the list behind FROM, at its own depth."""
-    depth = 0
-    for word in reversed(words[:at]):
-        depth += {")": 1, "(": -1}.get(word, 0)
-        if depth < 0:
-            return False
-        if depth == 0 and word in ("select", "where", "group", "order", "having", "by", "using", "limit", "with", "partition"):
-            return False
-        if depth == 0 and word == "from":
-            return True
-    return False
-
-
-def run(spark: SparkSession, sql: str, views: dict[str, DataFrame], most: int = 25, balances: Sequence[str] = (), seconds: float = 30.0) -> tuple[list, bool]:
-    """The first rows of a guarded query, and whether there are more.
-
-    Joins without a condition that holds them together are refused by the
-    planner, whatever they are written as. The query is cancelled after the
-    seconds given. Views are gone afterwards.
-    """
-    check(sql, list(views), balances)
-    cross, group = spark.conf.get("spark.sql.crossJoin.enabled"), uuid.uuid4().hex
-    timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobGroup(group))
-    spark.sparkContext.setJobGroup(group, "guarded query", interruptOnCancel=True)
-    try:
-        spark.conf.set("spark.sql.crossJoin.enabled", "false")
-        for name, df in views.items():
-            df.createOrReplaceTempView(name)
-        timer.start()
-        rows = spark.sql(sql).limit(most + 1).collect()
-    finally:
-        timer.cancel()
-        spark.conf.set("spark.sql.crossJoin.enabled", cross)
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-        for name in views:
-            spark.catalog.dropTempView(name)
-    return rows[:most], len(rows) > most

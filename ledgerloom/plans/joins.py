@@ -107,7 +107,11 @@ def _(t):
     return R.shared_keys(t.lineitem, "l_orderkey", "l_partkey")
 
 
-@query("jn15_conversation_closure")
+@query(
+    "jn15_conversation_closure",
+    "WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey AS n, l_partkey AS p, l_suppkey AS s FROM lineitem), m AS (SELECT n, min(n) OVER (PARTITION BY p, s) AS t FROM k), e AS (SELECT n AS a, t AS b FROM m UNION SELECT t, n FROM m), "
+    "r(l_orderkey, root) USING KEY (l_orderkey) AS (SELECT DISTINCT n, n FROM k UNION SELECT e.b, min(r.root) FROM r JOIN e ON e.a = r.l_orderkey JOIN recurring.r AS o ON o.l_orderkey = e.b WHERE r.root < o.root GROUP BY e.b) SELECT l_orderkey, root FROM r",
+)
 def _(t):
     keys = t.lineitem.select("l_orderkey", (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("k"))
     return R.closure(keys, "l_orderkey", "k")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import tables as O
+from ..operators.guard import Refused, guarded
 from ..registry import query
 
 
@@ -41,11 +42,30 @@ def _(t):
     return parts.select("o_orderkey", F.regexp_extract("c", r"^([^:]+):", 1).alias("label"), F.trim(F.regexp_extract("c", r":(.*)$", 1)).alias("value"))
 
 
-@query("ud03_guarded_sql", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag ORDER BY l_returnflag")
+_GUARDED = (
+    "WITH late AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS net, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey) "
+    "SELECT o.o_orderpriority, count(*) AS orders, sum(late.n) AS lines, round(avg(late.net), 2) AS net FROM orders AS o JOIN late ON o.o_orderkey = late.l_orderkey "
+    "WHERE EXISTS (SELECT 1 FROM customer AS c WHERE c.c_custkey = o.o_custkey AND c.c_acctbal > 0) GROUP BY o.o_orderpriority HAVING count(*) > 1"
+)
+
+
+@query("ud03_guarded_sql", _GUARDED)
+def _(t):
+    return guarded(t.spark, _GUARDED, {n: getattr(t, n) for n in ("lineitem", "orders", "customer")})
+
+
+@query("jn24_guarded_references", "SELECT l_orderkey, max(l_quantity) AS top, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_orderkey HAVING count(*) > 3 UNION ALL SELECT o_orderkey, 0, 0 FROM orders LEFT ANTI JOIN lineitem ON o_orderkey = l_orderkey".replace("LEFT ANTI", "ANTI"))
 def _(t):
-    sql = "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag ORDER BY l_returnflag"
-    rows, _ = O.run(t.spark, sql, {"lineitem": t.lineitem})
-    return t.spark.createDataFrame(rows, "l_returnflag string, n bigint")
+    """References to other tables and joins without a condition are refused; what is left runs as written."""
+    views = {"lineitem": t.lineitem, "orders": t.orders}
+    for sql in ("SELECT * FROM lineitem, orders", "SELECT * FROM (customer)", "SELECT o_orderkey FROM orders UNION ALL TABLE customer"):
+        try:
+            guarded(t.spark, sql, views)
+        except Refused:
+            continue
+        raise AssertionError(f"not refused: {sql}")
+    sql = "SELECT l_orderkey, max(l_quantity) AS top, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_orderkey HAVING count(*) > 3 UNION ALL SELECT o_orderkey, 0, 0 FROM orders LEFT ANTI JOIN lineitem ON o_orderkey = l_orderkey"
+    return guarded(t.spark, sql, views)
 
 
 @query("src21_snapshot_changes", "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
