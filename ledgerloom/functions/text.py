@@ -203,14 +203,14 @@ def date_span(c: Column) -> Column:
 
 
 def figures(c: Column) -> Column:
-    """The figures of a text: array of struct(value, tolerance), half a unit in the last place written, scaled by k, m or % words."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+(?:,\d{3})*(?:\.\d+)?\s?(?:[kKmM]\b)?)"), 1)
+    """The figures of a text: array of struct(value, tolerance, percent), the tolerance half a unit in the last place written, both scaled by k and m."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+(?:,\d{3})*(?:\.\d+)?\s?(?:[kKmM]\b|%)?)"), 1)
 
     def one(x: Column) -> Column:
         digits = F.regexp_replace(F.regexp_extract(x, r"^([\d,.]+)", 1), ",", "")
         places = F.when(digits.contains("."), F.length(F.substring_index(digits, ".", -1))).otherwise(0)
         by = F.when(F.lower(x).endswith("k"), 1e3).when(F.lower(x).endswith("m"), 1e6).otherwise(1.0)
-        return F.struct((digits.cast("double") * by).alias("value"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * by).alias("tolerance"))
+        return F.struct((digits.cast("double") * by).alias("value"), (F.lit(0.5) * F.pow(F.lit(10.0), -places) * by).alias("tolerance"), F.endswith(x, F.lit("%")).alias("percent"))
 
     return F.transform(found, one)
 

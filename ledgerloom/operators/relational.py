@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -85,17 +85,21 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], righ
     return x.join(y, all_of(on)).filter(inside & (F.col("_lb") == first)).drop("_lb", "_rb")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The table, written to the shared folder and read again, which cuts its lineage and tells the planner its size."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below the folder that all executors reach; on one machine a temporary one where none is set."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
         top = tempfile.mkdtemp(prefix="ledgerloom-")
-    path = f"{top.rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/ledgerloom/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again, which cuts its lineage and tells the planner its size."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def contracted(edges: DataFrame) -> tuple[DataFrame, int]:

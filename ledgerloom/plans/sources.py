@@ -6,6 +6,7 @@ from ..functions import text as T
 from ..operators import calendar as C
 from ..operators import relational as R
 from ..registry import query
+from ..streaming import arrivals as A
 from ..sources import sinks, text_tables
 
 
@@ -41,9 +42,18 @@ def _(t):
     return found.select("batch", F.col("main").isNotNull().alias("has_main"), F.size("sidecars").cast("long").alias("sidecars"))
 
 
-@query("src19_settled_files", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-10'")
+@query(
+    "src19_settled_files",
+    "WITH l AS (SELECT user_id || '/' || event_type AS path, day(ts) // 2 AS length, date_trunc('month', ts) AS modified, ts AS seen FROM events), "
+    "m AS (SELECT *, coalesce((length IS DISTINCT FROM lag(length) OVER w OR modified IS DISTINCT FROM lag(modified) OVER w)::INT, 1) AS n FROM l WINDOW w AS (PARTITION BY path ORDER BY seen, length, modified)), "
+    "g AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY seen, length, modified) AS g FROM m), "
+    "i AS (SELECT *, min(seen) OVER (PARTITION BY path, g) AS since FROM g) "
+    "SELECT path, length, modified, min(seen) AS seen FROM i WHERE epoch_us(seen) - epoch_us(since) >= 7200000000 GROUP BY path, length, modified, g",
+)
 def _(t):
-    return t.events.filter(F.col("ts") < F.lit("2024-01-10").cast("timestamp")).select("event_id")
+    """Every event is a look at a file of its user and type, which grows every other day; two hours of rest are asked for."""
+    path, grown = F.concat(F.col("user_id"), F.lit("/"), F.col("event_type")), F.floor(F.dayofmonth("ts") / 2)
+    return A.stood_still(t.events.select(path.alias("path"), grown.alias("length"), F.date_trunc("month", "ts").alias("modified"), F.col("ts").alias("seen")), 7200)
 
 
 @query("src21_sync_kinds", "WITH b AS (SELECT o_orderkey AS id, 'in' AS folder, o_orderstatus AS s FROM orders WHERE o_orderkey % 7 <> 0), a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'done' ELSE 'in' END AS folder, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 11 <> 0) SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'removed' WHEN a.folder <> b.folder THEN 'moved' ELSE 'updated' END AS kind FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.folder <> b.folder OR a.s <> b.s")
@@ -69,9 +79,13 @@ def _(t):
 
 @query("sm04_refiled_after_invoice", "WITH m AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderdate AS sent, o_orderstatus = 'F' AS invoice FROM orders), f AS (SELECT k, min(sent) AS first FROM m WHERE invoice GROUP BY k) SELECT id FROM m JOIN f USING (k) WHERE NOT invoice AND sent >= first")
 def _(t):
-    invoice = F.col("o_orderstatus") == "F"
-    first = t.orders.filter(invoice).groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
-    return t.orders.filter(~invoice).join(first, "o_custkey").filter(F.col("o_orderdate") >= F.col("first")).select(F.col("o_orderkey").alias("id"))
+    """The orders arrive in three batches, invoices mostly last."""
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("sent"), (F.col("o_orderstatus") == "F").alias("invoice"))
+    batch = F.when(F.col("invoice"), F.pmod(F.xxhash64("id"), F.lit(2)) + 1).otherwise(F.pmod(F.xxhash64("id"), F.lit(3)))
+    filing = A.Refiling(t.spark, R.shared_folder(t.spark))
+    for k in range(3):
+        filing(rows.filter(batch == k), k)
+    return filing.filed().select("id")
 
 
 @query("ex38_bulk_deletes", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
