@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..operators import formulas
 from ..operators import calendar as C
 from ..registry import query
 
@@ -95,13 +96,23 @@ def _(t):
     return t.spark.sql("SELECT o_orderkey, fold(concat('INV', o_orderkey)) AS folded, invoice_key(concat('No. ', o_orderkey, '-A')) AS key FROM _ud01_orders")
 
 
-@query("ud08_precedents", "WITH c AS (SELECT l_linenumber, l_orderkey FROM lineitem GROUP BY 1, 2), e AS (SELECT l_orderkey AS s, l_linenumber AS a, l_linenumber - 1 AS b FROM c WHERE l_linenumber > 1) SELECT s, a AS cell, b AS precedent, 1 AS depth FROM e UNION ALL SELECT x.s, x.a, y.b, 2 FROM e x JOIN e y ON x.s = y.s AND x.b = y.a")
+@query(
+    "ud08_precedents",
+    "WITH n AS (SELECT DISTINCT l_orderkey AS k, l_linenumber::INT AS r FROM lineitem), m AS (SELECT k, max(r) AS r FROM n GROUP BY k), "
+    "a AS (SELECT k, 'Lines' AS s, r, 2 AS c, 'Lines' AS ps, r AS pr, 1 AS pc FROM n), "
+    "t AS (SELECT k, 'Sum Up' AS s, 1 AS r, 1 AS c, 'Lines' AS ps, n.r AS pr, 2 AS pc FROM n UNION ALL SELECT k, 'Sum Up', 1, 1, 'Lines', 1, 1 FROM n WHERE r = 1 UNION ALL SELECT k, 'Sum Up', 2, 1, 'Sum Up', 1, 1 FROM m), "
+    "e AS (FROM a UNION ALL FROM t), x AS (SELECT *, 1 AS d FROM e UNION ALL SELECT x.k, x.s, x.r, x.c, y.ps, y.pr, y.pc, 2 FROM e x JOIN e y ON x.k = y.k AND x.ps = y.s AND x.pr = y.r AND x.pc = y.c) "
+    "SELECT k AS book, s || '!' || chr(64 + c) || r AS cell, ps || '!' || chr(64 + pc) || pr AS precedent, min(d)::INT AS depth FROM x GROUP BY ALL",
+)
 def _(t):
-    cells = t.lineitem.select(F.col("l_orderkey").alias("s"), F.col("l_linenumber").cast("long").alias("cell")).distinct()
-    formulas = cells.withColumn("formula", F.when(F.col("cell") > 1, F.concat(F.lit("=A"), F.col("cell") - 1, F.lit("*2"))))
-    edges = formulas.select("s", "cell", F.explode(F.regexp_extract_all("formula", F.lit(r"A(\d+)"), 1)).alias("p")).select("s", "cell", F.col("p").cast("long").alias("precedent"))
-    two = edges.join(edges.select("s", F.col("cell").alias("precedent"), F.col("precedent").alias("next")), ["s", "precedent"]).select("s", "cell", F.col("next").alias("precedent"))
-    return edges.withColumn("depth", F.lit(1)).unionByName(two.withColumn("depth", F.lit(2)))
+    """A book for each order: its lines with a doubled figure beside each, and another sheet that sums these up."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").cast("int").alias("row")).distinct()
+    cell = lambda frame, sheet, row, col, formula: frame.select("book", F.lit(sheet).alias("sheet"), row.alias("row"), F.lit(col).alias("col"), formula.cast("string").alias("formula"))
+    books = lines.select("book").distinct()
+    cells = cell(lines, "Lines", F.col("row"), 1, F.lit(None)).unionByName(cell(lines, "Lines", F.col("row"), 2, F.concat(F.lit("=$A"), "row", F.lit('*2&"A7"'))))
+    cells = cells.unionByName(cell(books, "Sum Up", F.lit(1), 1, F.lit("=SUM('lines'!$B$1:B$65536) + LOG10(Lines!A1) + '[old.xlsx]Lines'!A2"))).unionByName(cell(books, "Sum Up", F.lit(2), 1, F.lit("=ROUND(A1, 2)")))
+    name = lambda sheet, row, col: F.concat(F.col(sheet), F.lit("!"), formulas.column_letters(F.col(col)), F.col(row))
+    return formulas.precedents(cells).select("book", name("sheet", "row", "col").alias("cell"), name("p_sheet", "p_row", "p_col").alias("precedent"), "depth")
 
 
 @query("ex19_refused_rules", "SELECT o_orderkey, o_orderkey % 4 >= 2 AS refused FROM orders")

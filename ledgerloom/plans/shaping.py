@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import calendar as C
+from ..operators import zones
 from ..registry import query
 
 
@@ -74,3 +75,37 @@ def _(t):
 def _(t):
     rows = t.lineitem.select("l_orderkey", F.col("l_shipdate").cast("timestamp").alias("ends"))
     return C.all_over(rows, "l_orderkey", F.lit("1997-01-01").cast("timestamp"))
+
+
+_EAST = """BEGIN:VTIMEZONE
+TZID:Customized Time Zone
+BEGIN:STANDARD
+DTSTART:16011104T020000
+RRULE:FREQ=YEARLY;BYDAY=1SU;BYMONTH=11
+TZOFFSETFROM:-0400
+TZOFFSETTO:-0500
+END:STANDARD
+BEGIN:DAYLIGHT
+DTSTART:16010311T020000
+RRULE:FREQ=YEARLY;BYDAY=2SU;BYMONTH=3
+TZOFFSETFROM:-0500
+TZOFFSETTO:-0400
+END:DAYLIGHT
+END:VTIMEZONE
+"""
+
+
+@query(
+    "ex20_meetings_in_zones",
+    "WITH o AS (SELECT o_orderkey AS file, o_custkey % 4 AS k, date_trunc('day', o_orderdate) + INTERVAL 34 YEAR + INTERVAL 10 HOUR + to_minutes(o_orderkey % 60) AS w FROM orders) "
+    "SELECT file, CASE k WHEN 0 THEN timezone('UTC', timezone('America/New_York', w)) WHEN 1 THEN timezone('UTC', timezone('Europe/Berlin', w)) WHEN 2 THEN w ELSE w + INTERVAL 330 MINUTE END AS starts, "
+    "CASE k WHEN 0 THEN timezone('UTC', timezone('America/New_York', w)) WHEN 1 THEN timezone('UTC', timezone('Europe/Berlin', w)) WHEN 2 THEN w ELSE w + INTERVAL 330 MINUTE END + INTERVAL 90 MINUTE AS ends FROM o",
+)
+def _(t):
+    """A calendar file for each order, in a zone that the file defines, a Windows zone, UTC, or an offset in the zone's name."""
+    at = F.timestamp_seconds(F.unix_seconds(F.add_months(F.to_date("o_orderdate"), 34 * 12).cast("timestamp")) + 36000 + F.col("o_orderkey") % 60 * 60)
+    k = F.col("o_custkey") % 4
+    zone = F.when(k == 0, ";TZID=Customized Time Zone:").when(k == 1, ";TZID=W. Europe Standard Time:").when(k == 2, ":").otherwise(';TZID="(UTC-05:30) Nowhere":')
+    starts = F.concat(F.lit("DTSTART"), zone, F.date_format(at, "yyyyMMdd'T'HHmmss"), F.when(k == 2, "Z").otherwise(""))
+    text = F.concat(F.lit(f"BEGIN:VCALENDAR\n{_EAST}BEGIN:VEVENT\nUID:x\n"), starts, F.lit("\nDURATION:PT1H30M\nEND:VEVENT\nEND:VCALENDAR"))
+    return zones.meetings(t.orders.select(F.col("o_orderkey").alias("file"), text.alias("text")), "file", "text", 2020, 2070).select("file", "starts", "ends")
