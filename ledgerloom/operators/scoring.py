@@ -32,17 +32,23 @@ RULES = {
 }
 
 
+def says(text: Column, phrase: str) -> Column:
+    """Whether a text has a phrase as whole words, whatever its case: "first" doesn't say irs."""
+    return F.coalesce(text.rlike(rf"(?i)(?<!\w)\Q{phrase}\E(?!\w)"), F.lit(False))
+
+
 def classify(text: Column, name: Column, is_file: Column) -> Column:
     """struct(kind, confidence): the class with the most points, null without any.
 
     Points are the weight, 25 more where the file's name has one of the words,
-    and 5 for each word found beyond three, up to four times.
+    and 5 for each word found beyond three, up to four times. Words count as whole
+    words; in a file's name _ and digits part words too.
     """
-    low, file = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    file = F.regexp_replace(F.coalesce(name, F.lit("")), r"[_\d]+", " ")
     hits = []
     for order, (kind, (weight, words)) in enumerate(RULES.items()):
-        found = sum(((low.contains(w) | file.contains(w)).cast("int") for w in words), F.lit(0))
-        named = sum((file.contains(w).cast("int") for w in words), F.lit(0)) > 0
+        found = sum(((says(text, w) | says(file, w)).cast("int") for w in words), F.lit(0))
+        named = sum((says(file, w).cast("int") for w in words), F.lit(0)) > 0
         points = weight + F.when(named, 25).otherwise(0) + 5 * F.least(F.lit(4), F.greatest(F.lit(0), found - 3))
         hits.append(F.when(found > 0, F.struct(points.alias("points"), F.lit(-order).alias("at"), F.lit(kind).alias("kind"))))
     best = F.array_max(F.array_compact(F.array(*hits)))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
-from ..operators import formulas
+from ..functions import evidence, wildcards
+from ..operators import formulas, versions
 from ..operators import calendar as C
 from ..registry import query
 
@@ -60,6 +61,36 @@ def _(t):
     return t.documents.filter(F.col("text").ilike("%É_T%")).select("doc_id")
 
 
+_HOSTILE = "%a%a%a%a%a%a%a%a%a%a%a%a%a%a%a%a%a%a%a%a%q__z%"
+
+
+@query(
+    "sc14_wildcards",
+    f"SELECT doc_id, text ILIKE '%É_T%' AS folded, text ILIKE '{_HOSTILE}' AS hostile, text ILIKE '_%e%a%t__%' AS several, regexp_matches(coalesce(text, ''), '[A-C][^a-m]') AS sets, text ILIKE '%100!%%' ESCAPE '!' AS escaped FROM documents",
+)
+def _(t):
+    x = F.col("text")
+    return t.documents.select(
+        "doc_id", wildcards.like(x, "%É_T%").alias("folded"), wildcards.like(x, _HOSTILE).alias("hostile"), wildcards.like(x, "_%e%a%t__%").alias("several"),
+        wildcards.glob(F.coalesce(x, F.lit("")), "*[A-C][^a-m]*").alias("sets"), wildcards.like(x, "%100!%%", "!").alias("escaped"),
+    )
+
+
+@query(
+    "sc18_evidence",
+    "WITH d AS (SELECT doc_id, text, regexp_extract_all(strip_accents(lower(text)), '\\b(?:is|or|de|der)\\b') AS h, list_transform(string_split_regex(strip_accents(lower(text)), '\\b(?:is|or|de|der)\\b'), lambda x: length(x)) AS c FROM documents WHERE regexp_matches(text, '^[ -~À-ÿ\\s]*$')) "
+    "SELECT doc_id, len(h) AS n, h[1] AS phrase, c[1]::INT + 1 AS start, translate(substr(text, c[1] + 1, length(h[1])), 'eo', 'ео') AS quoted, c[1]::INT + 1 + list_sum(c[2:len(c) - 1])::INT + list_sum(list_transform(h[1:len(h) - 1], lambda x: length(x)))::INT AS last FROM d WHERE len(h) > 1",
+)
+def _(t):
+    """Texts in Latin letters, disguised by an invisible character in front and by look-alikes of e and o."""
+    plain = t.documents.filter(F.col("text").rlike(r"^[ -~À-ÿ\s]*$"))
+    disguised = plain.select("doc_id", F.concat(F.lit("\u200b"), F.translate("text", "eo", "\u0435\u043e")).alias("text"))
+    read = disguised.withColumn("m", evidence.normalised(F.col("text")))
+    found = read.select("doc_id", evidence.evidence(F.col("text"), F.col("m"), ["is", "or", "de", "der"]).alias("e")).filter(F.size("e") > 1)
+    first = F.col("e")[0]
+    return found.select("doc_id", F.size("e").cast("long").alias("n"), first["phrase"].alias("phrase"), first["start"].alias("start"), first["quoted"].alias("quoted"), F.element_at("e", -1)["start"].alias("last"))
+
+
 @query("sc15_code_columns", "SELECT 'p_partkey' AS \"column\", true AS codes UNION ALL SELECT 'p_brand', false UNION ALL SELECT 'p_size', false")
 def _(t):
     def codes(c):
@@ -82,10 +113,22 @@ def _(t):
     return t.supplier.select("s_suppkey", zone.alias("zone"), F.date_format(F.from_utc_timestamp(F.lit("2024-01-15 12:00:00").cast("timestamp"), zone), "yyyy-MM-dd HH:mm").alias("local"))
 
 
-@query("st03_trimmed_difference", "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS f FROM lineitem) SELECT k, n, greatest(0, count(*) FILTER (WHERE f = 'R') - count(*) FILTER (WHERE f <> 'R')) AS added FROM l GROUP BY k, n HAVING count(*) FILTER (WHERE f = 'R') > count(*) FILTER (WHERE f <> 'R')")
+@query(
+    "st03_trimmed_difference",
+    "WITH l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, l_returnflag AS f, l_quantity FROM lineitem), "
+    "v AS (SELECT k, list(f ORDER BY i) AS o, coalesce(list(CASE WHEN l_quantity < 10 THEN 'x' ELSE f END ORDER BY i) FILTER (WHERE l_quantity < 40), []) AS n FROM l GROUP BY k), "
+    "p AS (SELECT *, len(list_filter(range(1, 1 + least(len(o), len(n))), lambda j: o[1:j] = n[1:j])) AS s FROM v), "
+    "e AS (SELECT *, len(list_filter(range(1, 1 + least(len(o), len(n)) - s), lambda j: o[len(o) - j + 1:len(o)] = n[len(n) - j + 1:len(n)])) AS e FROM p), "
+    "m AS (SELECT k, o[s + 1:len(o) - e] AS o, n[s + 1:len(n) - e] AS n FROM e), "
+    "r AS (SELECT k, unnest(range(len(o))) AS i, 'Removed' AS c, o AS x, n AS y FROM m UNION ALL SELECT k, unnest(range(len(n))), 'Added', n, o FROM m) "
+    "SELECT k AS file, i AS at, c AS change, x[i + 1] AS line FROM r WHERE len(list_filter(x[1:i + 1], lambda z: z = x[i + 1])) > len(list_filter(y, lambda z: z = x[i + 1]))",
+)
 def _(t):
-    signed = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(-1)).alias("added"))
-    return signed.filter("added > 0")
+    """A file of flags for each order; its new version lacks the large quantities and has other flags for the small ones."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    old = t.lineitem.select(F.col("l_orderkey").alias("file"), (F.row_number().over(w) - 1).cast("long").alias("at"), F.col("l_returnflag").alias("line"), "l_quantity")
+    new = old.filter("l_quantity < 40").withColumn("at", (F.row_number().over(W.partitionBy("file").orderBy("at")) - 1).cast("long")).withColumn("line", F.when(F.col("l_quantity") < 10, "x").otherwise(F.col("line")))
+    return versions.line_changes(old.drop("l_quantity"), new.drop("l_quantity"))
 
 
 @query("ud01_registered_functions", "SELECT o_orderkey, 'inv' || o_orderkey AS folded, regexp_replace(lower('No. ' || o_orderkey || '-A'), '^(invoice|inv|no|number)[\\s.:#-]*', '').replace('-', '') AS key FROM orders")

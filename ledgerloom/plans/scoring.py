@@ -7,16 +7,17 @@ from ..operators import scoring as S
 from ..registry import query
 
 _KINDS = list(S.RULES)
-_TEXT = ["invoice amount due remit to bill to", "please approve", "bank statement", "new bank details", "hello there", "trial balance and lead sheet", "fyi", "newsletter unsubscribe", "payslip", "agenda"]
-_NAME = ["", "invoice.pdf", "policy number.txt"]
+_TEXT = ["invoice amount due remit to bill to", "please approve", "bank statement", "new bank details", "hello there", "trial balance and lead sheet", "fyi", "newsletter unsubscribe", "payslip", "agenda", "The first of each machine: reach the auditorium swiftly", "IRS: Form 1099, ACH", "pay-roll or (payroll)?"]
+_NAME = ["", "invoice_2024.pdf", "policy number.txt", "Invoices-each.pdf"]
 
 
 def _sql_rules() -> str:
+    """Texts are held as their words with a space on each side, so that phrases are found between spaces."""
     parts = []
     for i, (kind, (weight, words)) in enumerate(S.RULES.items()):
-        found = " + ".join(f"(contains(x, '{w}') OR contains(f, '{w}'))::INT" for w in words)
-        named = " OR ".join(f"contains(f, '{w}')" for w in words)
-        parts.append(f"SELECT id, '{kind}' AS kind, {i} AS place, {weight} + CASE WHEN {named} THEN 25 ELSE 0 END + 5 * least(4, greatest(0, n - 3)) AS points FROM (SELECT *, {found} AS n FROM m) WHERE n > 0")
+        found = " + ".join(f"(contains(wx, ' {w} ') OR contains(wf, ' {w} '))::INT" for w in words)
+        named = " OR ".join(f"contains(wf, ' {w} ')" for w in words)
+        parts.append(f"SELECT id, '{kind}' AS kind, {i} AS place, {weight} + CASE WHEN {named} THEN 25 ELSE 0 END + 5 * least(4, greatest(0, n - 3)) AS points FROM (SELECT *, {found} AS n FROM spaced) WHERE n > 0")
     return " UNION ALL ".join(parts)
 
 
@@ -28,7 +29,7 @@ def _picked(values, key):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
 
-_MESSAGES = f"m AS (SELECT o_orderkey AS id, {_pick(_TEXT, 'o_orderkey')} || CASE WHEN o_custkey % 4 = 0 THEN ' due date net 30' ELSE '' END AS x, {_pick(_NAME, 'o_custkey')} AS f FROM orders)"
+_MESSAGES = f"m AS (SELECT o_orderkey AS id, {_pick(_TEXT, 'o_orderkey')} || CASE WHEN o_custkey % 4 = 0 THEN ' due date net 30' ELSE '' END AS x, {_pick(_NAME, 'o_custkey')} AS f FROM orders), spaced AS (SELECT *, ' ' || array_to_string(regexp_extract_all(lower(x), '[a-z0-9]+'), ' ') || ' ' AS wx, ' ' || array_to_string(regexp_extract_all(lower(f), '[a-z]+'), ' ') || ' ' AS wf FROM m)"
 
 
 @query("rk07_classes", f"WITH {_MESSAGES}, p AS ({_sql_rules()}), b AS (SELECT id, max(points) AS points, arg_min(kind, place - 100 * points) AS kind FROM p GROUP BY id) SELECT id, kind, round(CASE WHEN f <> '' THEN least(0.98, 0.35 + points / 180) ELSE least(0.9, 0.3 + points / 180) END, 4) AS confidence FROM b JOIN m USING (id)")
@@ -39,9 +40,18 @@ def _(t):
     return t.orders.select(F.col("o_orderkey").alias("id"), c.alias("c")).filter("c is not null").select("id", "c.kind", F.round("c.confidence", 4).alias("confidence"))
 
 
-@query("rk08_rule_weights", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {w}, {len(words)}::BIGINT)" for k, (w, words) in S.RULES.items()) + ") AS v(kind, weight, words)")
+@query(
+    "rk08_rule_weights",
+    f"WITH {_MESSAGES}, p AS ({_sql_rules()}), b AS (SELECT id, arg_min(kind, place - 100 * points) AS kind FROM p GROUP BY id) SELECT v.kind, weight, words, count(id) AS messages FROM (VALUES "
+    + ", ".join(f"('{k}', {w}, {len(words)}::BIGINT)" for k, (w, words) in S.RULES.items()) + ") AS v(kind, weight, words) LEFT JOIN b ON b.kind = v.kind GROUP BY ALL",
+)
 def _(t):
-    return t.spark.createDataFrame([(k, w, len(words)) for k, (w, words) in S.RULES.items()], "kind string, weight int, words bigint")
+    """The classes with their weights, and how many messages each of them gets."""
+    text = F.concat(_picked(_TEXT, F.col("o_orderkey")), F.when(F.col("o_custkey") % 4 == 0, " due date net 30").otherwise(""))
+    name = _picked(_NAME, F.col("o_custkey"))
+    counts = t.orders.select(S.classify(text, name, name != "")["kind"].alias("_kind")).groupBy("_kind").agg(F.count("*").alias("_n"))
+    rules = t.spark.createDataFrame([(k, w, len(words)) for k, (w, words) in S.RULES.items()], "kind string, weight int, words bigint")
+    return rules.join(counts, F.col("kind") == F.col("_kind"), "left").select("kind", "weight", "words", F.coalesce("_n", F.lit(0)).alias("messages"))
 
 
 _CLASS_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {p}" for k, p in S.CLASS_POINTS.items()) + " ELSE 0 END"

@@ -27,19 +27,29 @@ def _(t):
     return t.nation.select("n_nationkey", text_tables.stray_quotes(line, ",").alias("stray"))
 
 
-@query("src09_html_tables", "SELECT n_nationkey, 0 AS \"table\", r AS \"row\", c AS col, CASE WHEN r = 0 THEN ['Key', 'Name'][c + 1] WHEN c = 0 THEN n_nationkey::VARCHAR ELSE n_name || ' & co' END AS text FROM nation, (SELECT unnest([0, 0, 1, 1]) AS r, unnest([0, 1, 0, 1]) AS c)")
+@query(
+    "src09_html_tables",
+    "WITH c(tab, r, c, rs, cs, what) AS (VALUES (0, 0, 0, 1, 1, 'Key'), (0, 0, 1, 1, 2, 'Name'), (0, 1, 0, 2, 1, 'key'), (0, 1, 1, 1, 1, 'name'), (0, 1, 2, 1, 1, ''), (0, 2, 0, 1, 1, 'last'), (1, 0, 0, 1, 1, 'inner'), (1, 0, 1, 1, 1, 'key'), (2, 0, 0, 1, 1, 'open')) "
+    "SELECT n_nationkey, tab AS \"table\", r AS \"row\", c AS col, rs AS rowspan, cs AS colspan, CASE what WHEN 'key' THEN n_nationkey::VARCHAR WHEN 'name' THEN n_name || ' & co' ELSE what END AS text FROM nation, c",
+)
 def _(t):
-    html = F.concat(F.lit("<p>x</p><table><tr><th>Key<th>Name</th></tr><tr><td> "), "n_nationkey", F.lit("</td><td><b>"), "n_name", F.lit("</b>\n&amp; co</td></tr></table>"))
-    return text_tables.html_cells(t.nation.select("n_nationkey", F.regexp_replace(html, "<th>Key", "<th>Key</th>").alias("html")), "n_nationkey", "html")
+    """Cells and rows left open, spans, a table in a cell, and a page that ends in a cell."""
+    html = F.concat(
+        F.lit("<p>x</p><table><tr><th>Key<th colspan=2>Name<tr><td rowspan='2'> "), "n_nationkey", F.lit("</td><td><b>"), "n_name", F.lit("</b>\n&amp; co<td><table><td>inner<td>"), "n_nationkey",
+        F.lit("</table></td></tr><tr><td>last</tr></table><p>between</p><table><tr><td>open"),
+    )
+    return text_tables.html_cells(t.nation.select("n_nationkey", html.alias("html")), "n_nationkey", "html")
 
 
-@query("src18_batches", "SELECT 'f' || (o_orderkey % 1000) AS batch, true AS has_main, count(*) - 1 AS sidecars FROM orders GROUP BY 1")
+@query(
+    "src18_batches",
+    "WITH f AS (SELECT DISTINCT 'in/' || o_custkey % 7 || '/f' || o_orderkey % 100 AS b, o_orderkey % 3 AS k FROM orders), n AS (SELECT b, count(*) AS n, max(k) AS k FROM f GROUP BY b) SELECT b AS batch, b || CASE k WHEN 0 THEN '.meta.json' WHEN 1 THEN '.txt' ELSE '.pdf' END AS main, n - 1 AS sidecars FROM n",
+)
 def _(t):
-    kind = F.when(F.col("o_orderkey") % 2 == 0, ".pdf").otherwise(".meta.json")
-    files = t.orders.select(F.concat(F.lit("in/f"), F.col("o_orderkey") % 1000, kind).alias("path"), (F.col("o_orderkey") + 100).alias("length"))
-    distinct = files.withColumn("path", F.concat(F.regexp_replace("path", r"f(\d+)", F.concat(F.lit("d"), "length", F.lit("/f$1")))))
-    found = text_tables.batches(distinct)
-    return found.select("batch", F.col("main").isNotNull().alias("has_main"), F.size("sidecars").cast("long").alias("sidecars"))
+    """Equal stems in different folders are different batches."""
+    kind = F.element_at(F.array(F.lit(".meta.json"), F.lit(".txt"), F.lit(".pdf")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    files = t.orders.select(F.concat(F.lit("in/"), F.col("o_custkey") % 7, F.lit("/f"), F.col("o_orderkey") % 100, kind).alias("path"), (F.col("o_orderkey") % 3).alias("length")).distinct()
+    return text_tables.batches(files).select("batch", "main", F.size("sidecars").cast("long").alias("sidecars"))
 
 
 @query(

@@ -44,30 +44,57 @@ def delimited(spark: SparkSession, path: str, schema: str, header: bool = True)
 
 
 class _Cells(HTMLParser):
+    """The cells of a page's tables as pages have them: cells, rows and tables may be left open, and tables may stand in cells."""
+
     def __init__(self):
         super().__init__()
-        self.out, self.table, self.row, self.col, self.text = [], -1, -1, -1, None
+        self.out, self.count, self.open = [], 0, []  # open: of each table not yet closed, its number, row, column, cell
+
+    def _end_cell(self):
+        at = self.open[-1]
+        if at["text"] is not None:
+            self.out.append((at["table"], at["row"], at["col"], at["rows"], at["cols"], " ".join("".join(at["text"]).split())))
+            at["col"], at["text"] = at["col"] + at["cols"], None
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            self.table, self.row = self.table + 1, -1
-        elif tag == "tr":
-            self.row, self.col = self.row + 1, -1
-        elif tag in ("td", "th") and self.table >= 0:
-            self.col, self.text = self.col + 1, []
+            self.open.append({"table": self.count, "row": -1, "col": 0, "rows": 1, "cols": 1, "text": None})
+            self.count += 1
+        elif self.open and tag in ("tr", "td", "th"):
+            self._end_cell()
+            at = self.open[-1]
+            if tag == "tr" or at["row"] < 0:
+                at["row"], at["col"] = at["row"] + 1, 0
+            if tag != "tr":
+                span = {k: int(v) for k, v in attrs if k in ("rowspan", "colspan") and v and v.strip().isdecimal() and len(v) < 5}
+                at["text"], at["rows"], at["cols"] = [], max(1, span.get("rowspan", 1)), max(1, min(1000, span.get("colspan", 1)))
+        elif tag in ("br", "p", "div", "li"):
+            self.handle_data(" ")
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.text is not None:
-            self.out.append((self.table, self.row, self.col, " ".join("".join(self.text).split())))
-            self.text = None
+        if self.open and tag in ("td", "th", "tr", "table"):
+            self._end_cell()
+            if tag == "table":
+                self.open.pop()
 
     def handle_data(self, data):
-        if self.text is not None:
-            self.text.append(data)
+        if self.open and self.open[-1]["text"] is not None:
+            self.open[-1]["text"].append(data)
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._end_cell()
+            self.open.pop()
 
 
 def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, table, row, col, text) of every table cell of pages, by Arrow batches."""
+    """(key, table, row, col, rowspan, colspan, text) of every table cell of pages, by Arrow batches.
+
+    A cell ends where the next cell, row or table's end begins, if it isn't closed.
+    A table inside a cell is a table of its own; columns count what cells before
+    in the row span.
+    """
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,16 +103,17 @@ def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
             for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 reader = _Cells()
                 reader.feed(page or "")
+                reader.close()
                 out += [(k, *cell) for cell in reader.out]
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), *[pa.array(c, pa.int32()) for c in columns[1:4]], pa.array(columns[4], pa.string())], ["key", "table", "row", "col", "text"])
+            columns = list(zip(*out)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), *[pa.array(c, pa.int32()) for c in columns[1:6]], pa.array(columns[6], pa.string())], ["key", "table", "row", "col", "rowspan", "colspan", "text"])
 
-    return pages.select(key, html).mapInArrow(run, f"key {kind}, table int, row int, col int, text string").withColumnRenamed("key", key)
+    return pages.select(key, html).mapInArrow(run, f"key {kind}, table int, row int, col int, rowspan int, colspan int, text string").withColumnRenamed("key", key)
 
 
 def batches(files: DataFrame) -> DataFrame:
-    """(batch, main, sidecars) of a drop folder's files (path, modificationTime, length): files of one stem belong together, the largest is the main one."""
-    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"(\.meta)?\.[A-Za-z0-9]+$", "")
+    """(batch, main, sidecars) of a drop folder's files (path, modificationTime, length): files of one folder and stem belong together, the largest is the main one. batch is the path without its suffix."""
+    stem = F.regexp_replace(F.col("path"), r"(\.meta)?\.[A-Za-z0-9]+$", "")
     groups = files.groupBy(stem.alias("batch")).agg(F.max(F.struct("length", "path")).alias("m"), F.array_sort(F.collect_list("path")).alias("all"))
     return groups.select("batch", F.col("m.path").alias("main"), F.array_except("all", F.array("m.path")).alias("sidecars"))
 
