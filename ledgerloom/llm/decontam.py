@@ -261,15 +261,15 @@ class Matcher:
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block: int) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
-    """Items with a word, by id, a block at a time on the driver."""
+    """Items with a word, by id, a block at a time on the driver; items of one id are in one block, whatever its size."""
     held = []
-    for r in items.select(id_col, text_col).orderBy(id_col).toLocalIterator():
+    for r in items.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).orderBy(F.col(f"`{id_col}`")).toLocalIterator():
         words = next(chunks(pa.array([r[1]], pa.string()), PLAIN))
-        if len(words.starts):
-            held.append((r[0], words.word_hashes(), words.ends - words.starts))
-        if len(held) == block:
+        if len(held) >= block and r[0] != held[-1][0]:
             yield held
             held = []
+        if len(words.starts):
+            held.append((r[0], words.word_hashes(), words.ends - words.starts))
     if held:
         yield held
 
@@ -288,7 +288,7 @@ def matches(text: Column, items: list[tuple[int, np.ndarray, np.ndarray]], spark
 def find_leaks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", as_col: str = "leaks", item_id: str = "item_id", item_text: str = "text", settings: Settings = Settings(), block: int = 20_000
 ) -> DataFrame:
-    """The rows with the items that contaminate them beside, by item id within each block."""
+    """The rows with the items that contaminate them beside, by item id."""
     found = [matches(F.col(f"`{text_col}`"), part, docs.sparkSession, settings) for part in item_blocks(items, item_id, item_text, block)]
     return docs.withColumn(as_col, F.concat(*found) if found else F.array().cast(KIND))
 

@@ -309,3 +309,29 @@ def test_model_beats_the_unigram_on_held_out_texts(spark):
     tokens = sum(r.n_tokens for r in held)
     assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.1
     assert re.fullmatch(r"\d+", str(rows[0].train_tokens))
+
+
+# ---------------------------------------------------------------- bounds of earlier operators
+
+
+def test_a_long_labelled_text_does_not_displace_the_others_of_its_label(spark):
+    """The text that is first by hash and doesn't fit is passed over; the rest is learnt."""
+    from ledgerloom.llm import toxicity
+
+    first = spark.range(400).orderBy(F.xxhash64("id"), "id").first()[0]
+    rows = [(i, "bad words here " * 3 if i % 2 else "good words there " * 3, i % 2) for i in range(400) if i != first] + [(first, "long " * 6000, first % 2)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, y int")
+    labels = frame.select("doc_id", F.col("y").alias("toxic"), F.lit(0).alias("quality"))
+    net = toxicity.train(frame.withColumn("lang", F.lit("en")), labels, max_words=8000)
+    got = {r["doc_id"]: r["s"] for r in frame.select("doc_id", toxicity.score(net, F.col("text"), spark).alias("s")).collect()}
+    assert all((got[i] > 0.5) == bool(y) for i, _, y in rows if i != first)
+
+
+def test_items_of_one_id_count_once_over_blocks(spark):
+    from ledgerloom.llm import decontam
+
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(3, "never seen at all"), (4, " ".join(words[5:20])), (4, " ".join(words[30:50])), (9, " ".join(words[20:32])), (None, " ".join(words[40:55])), (None, " ".join(words[0:12]))], "item_id bigint, text string")
+    found = [[m["item_id"] for m in decontam.find_leaks(docs, items, block=block).first()["leaks"]] for block in (1, 2, 3, 100)]
+    assert all(sorted(f, key=str) == [4, 9, None] for f in found)
