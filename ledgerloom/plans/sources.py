@@ -49,7 +49,7 @@ def _(t):
     """Equal stems in different folders are different batches."""
     kind = F.element_at(F.array(F.lit(".meta.json"), F.lit(".txt"), F.lit(".pdf")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     files = t.orders.select(F.concat(F.lit("in/"), F.col("o_custkey") % 7, F.lit("/f"), F.col("o_orderkey") % 100, kind).alias("path"), (F.col("o_orderkey") % 3).alias("length")).distinct()
-    return text_tables.batches(files).select("batch", "main", F.size("sidecars").cast("long").alias("sidecars"))
+    return text_tables.batches(files).select(F.concat("folder", F.lit("/"), "batch").alias("batch"), "main", F.size("sidecars").cast("long").alias("sidecars"))
 
 
 @query(

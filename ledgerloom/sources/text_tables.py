@@ -112,10 +112,11 @@ def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def batches(files: DataFrame) -> DataFrame:
-    """(batch, main, sidecars) of a drop folder's files (path, modificationTime, length): files of one folder and stem belong together, the largest is the main one. batch is the path without its suffix."""
-    stem = F.regexp_replace(F.col("path"), r"(\.meta)?\.[A-Za-z0-9]+$", "")
-    groups = files.groupBy(stem.alias("batch")).agg(F.max(F.struct("length", "path")).alias("m"), F.array_sort(F.collect_list("path")).alias("all"))
-    return groups.select("batch", F.col("m.path").alias("main"), F.array_except("all", F.array("m.path")).alias("sidecars"))
+    """(folder, batch, main, sidecars) of a drop folder's files (path, modificationTime, length): files of one folder and stem belong together, the largest is the main one."""
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"(\.meta)?\.[A-Za-z0-9]+$", "")
+    folder = F.regexp_replace(F.col("path"), "/?[^/]*$", "")
+    groups = files.groupBy(folder.alias("folder"), stem.alias("batch")).agg(F.max(F.struct("length", "path")).alias("m"), F.array_sort(F.collect_list("path")).alias("all"))
+    return groups.select("folder", "batch", F.col("m.path").alias("main"), F.array_except("all", F.array("m.path")).alias("sidecars"))
 
 
 def drop_folder(spark: SparkSession, path: str, settled_before: str | None = None, stream: bool = False, files_per_trigger: int = 100) -> DataFrame:
