@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import held as H
 from ..operators import scoring as S
 from ..operators import signals as G
 from ..registry import query
@@ -74,3 +75,34 @@ def _(t):
     signals = F.col("found.signal")
     out = G.found(mail, people, nations.select(F.col("home").alias("domain"))).select("id", signals.alias("signals"), S.fraud(signals, F.create_map(F.lit("x"), F.lit(1.0)), F.lit("")).alias("f"))
     return out.select("id", F.array_join("signals", " ").alias("signals"), "f.score", "f.level")
+
+
+_EX11 = f"""
+WITH c AS (SELECT DISTINCT conv_id FROM conversations),
+g AS (SELECT conv_id, CASE WHEN conv_id % 4 = 3 AND conv_id - 1 IN (FROM c) THEN conv_id - 1 ELSE conv_id END AS thread FROM c),
+m AS (SELECT conv_id * 1000 + turn AS id, thread, conv_id % 9 = 2 AND turn = 1 AS held, turn % 3 <> 0 AS cites, coalesce(text, '') AS said FROM conversations JOIN g USING (conv_id)),
+h AS (SELECT DISTINCT thread FROM m WHERE held)
+SELECT id, cites AND NOT held AND thread IN (FROM h) AS quotes_held,
+       md5(CASE WHEN NOT cites THEN said WHEN held OR thread NOT IN (FROM h) THEN said || chr(10) || chr(10) || 'On Monday, a colleague wrote:' || chr(10) || '> ' || said
+                ELSE ltrim(rtrim(said, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) || '{H.LEFT_OUT}', chr(10)) END) AS read_md5
+FROM m
+"""
+
+
+@query("ex11_quotes_of_held", _EX11)
+def _(t):
+    """Turns of conversations as mail that answers the turn before. Conversations 3, 7, 11 .. answer the end of the one before, and some hold a held mail; the threads come in two batches, answers first."""
+    turns = t.conversations
+    own = F.concat(F.lit("<"), F.col("conv_id"), F.lit("."), F.col("turn"), F.lit("@x>"))
+    before = F.concat(F.lit("<"), F.col("conv_id"), F.lit("."), F.col("turn") - 1, F.lit("@x>"))
+    said = F.coalesce("text", F.lit(""))
+    body = F.when(F.col("turn") % 3 != 0, F.concat(said, F.lit("\n\nOn Monday, a colleague wrote:\n> "), said)).otherwise(said)
+    mail = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), own.alias("message_id"), F.when(F.col("turn") > 0, before).alias("in_reply_to"), F.lit(None).cast("string").alias("refs"), body.alias("body"), ((F.col("conv_id") % 9 == 2) & (F.col("turn") == 1)).alias("held"))
+    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    joined = ends.filter("conv_id % 4 = 3").select("conv_id", (F.col("conv_id") - 1).alias("_c")).join(ends.select(F.col("conv_id").alias("_c"), "last"), "_c")
+    across = joined.select((F.col("conv_id") * 1000).alias("id"), F.lit(None).cast("string").alias("message_id"), F.lit(None).cast("string").alias("in_reply_to"), F.concat(F.lit("<"), "_c", F.lit("."), "last", F.lit("@x>")).alias("refs"))
+    heads = mail.select("id", "message_id", "in_reply_to", "refs").unionByName(across)
+    late = F.col("id") % 1000 % 2 == 0
+    first = H.merged(t.spark.createDataFrame([], H.NODES), H.edges(heads.filter(~late)))
+    threads = H.merged(first, H.edges(heads.filter(late)))
+    return H.readable(mail, threads).select("id", "quotes_held", F.md5(F.encode("read", "utf-8")).alias("read_md5"))

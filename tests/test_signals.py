@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import held as H
 from ledgerloom.operators import signals as G
 
 PEOPLE = "name string, address string"
@@ -81,3 +82,43 @@ def test_senders_who_pretend(spark):
 def test_very_long_sentences_end(spark, text):
     out = spark.range(1).select(F.lit(text).alias("t")).select(G.sentences(F.col("t")).alias("s"))
     assert len(out.select(*[G._first(F.col("s"), k).alias(k) for k in G.ASKS]).collect()) == 1
+
+
+def test_threads_merge_by_batch_and_quotes_are_cut(spark):
+    schema = "id bigint, message_id string, in_reply_to string, refs string, body string, held boolean"
+    quote = "Fine.\r\n\r\nOn Mon, 3 May, Bo wrote:\r\n> pay here"
+    batches = [
+        [(1, "<a@x>", None, None, "pay here", True), (2, "<B@x>", "<A@x>", None, quote, False), (9, None, "", None, quote, False), (None, "<q@x>", "<a@x>", None, quote, None)],
+        [(4, "<d@x>", "<c@x>", None, quote, False), (5, "<e@x>", None, "<d@x> <z@x>", "No quotation.", None), (6, "<z@x>", None, None, "> pay here", False)],
+        [(3, "<c@x>", "<b@x>", None, quote, False), (7, "<f@x>", "<gone@x>", None, quote, False)],
+        [(8, "<g@x>", "<gone@x>", None, None, True)],
+        [],
+    ]
+    at = spark.createDataFrame([], H.NODES)
+    near = []
+    for i, batch in enumerate(batches):
+        at = H.merged(at, H.edges(spark.createDataFrame(batch, schema)))
+        mail = spark.createDataFrame([r for b in batches[: i + 1] for r in b], schema)
+        near.append({r["id"] for r in H.readable(mail, at).collect() if r["quotes_held"]})
+    assert near == [{2}, {2}, {2, 3, 4, 6}, {2, 3, 4, 6, 7}, {2, 3, 4, 6, 7}]
+    read = {r["id"]: r["read"] for r in H.readable(mail.withColumn("read", F.lit("x")), at).collect()}
+    assert read[4] == "Fine.\n\n" + H.LEFT_OUT and read[6] == H.LEFT_OUT
+    assert (read[1], read[5], read[8], read[9], read[None]) == ("pay here", "No quotation.", None, quote, quote)
+
+
+def test_merged_threads_are_those_of_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+    pairs = [(f"m{draw.randrange(400)}", f"m{draw.randrange(400)}") for _ in range(330)] + [(f"p{i}", f"p{i + 1}") for i in range(300)]
+    draw.shuffle(pairs)
+    at = spark.createDataFrame([], H.NODES)
+    for part in (pairs[:200], pairs[200:500], pairs[500:]):
+        at = H.merged(at, spark.createDataFrame(part, "a string, b string"))
+    group = {}
+    for a, b in pairs:
+        both = group.get(a, {a}) | group.get(b, {b})
+        group.update(dict.fromkeys(both, both))
+    rows = at.collect()
+    assert len(rows) == len(group) and all(r["root"] in group[r["n"]] for r in rows)
+    assert len({r["root"] for r in rows}) == len({id(g) for g in group.values()})
