@@ -16,11 +16,18 @@ def sender_domain(c: Column) -> Column:
     return F.lower(F.substring_index(F.regexp_replace(F.trim(c), r"[>\s]+$", ""), "@", -1))
 
 
+#: Words that mark a version in a file's name.
+VERSION_WORDS = ("final", "draft", "updated", "revised", "latest", "clean", "redline", "signed", "new", "old")
+
+
 def file_stem(c: Column) -> Column:
-    """A file name without extension and version marks."""
-    name = F.regexp_replace(F.lower(c), r"\.[a-z0-9]{1,5}$", "")
-    name = F.regexp_replace(name, r"(?:[\s_-]*(?:\(\d+\)|\bv\d+|(?<=_)v\d+|rev\d+|final|draft|copy))+$", "")
-    return F.trim(F.regexp_replace(name, r"[\s_-]+", " "))
+    """A file name without extension and version marks, wherever they stand: numbered versions, words, counters, copies and dates that can be ones."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(c), r"\.[a-z0-9]{1,5}$", ""), r"[\s_]+", " ")
+    name = F.regexp_replace(F.trim(name), "^(?:copy of )+", "")
+    day, month = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])"
+    dates = rf"(?:{day}([-./]){month}|{month}([-./]){day})[-./](?:\d\d)?\d\d|(?:19|20)\d\d([-.]?)(?:0[1-9]|1[0-2])\3(?:0[1-9]|[12]\d|3[01])"
+    marks = rf"\b(?:v|ver|version|rev|revision) ?\.? ?\d+(?:\.\d+)*\b|\b(?:{'|'.join(VERSION_WORDS)}|copy)\b|\(\d+\)|\b(?:{dates})\b"
+    return F.trim(F.regexp_replace(F.regexp_replace(name, rf"[ -]{{0,3}}(?:{marks})", " "), r"[\s_-]+", " "))
 
 
 def parse_amount(c: Column) -> Column:

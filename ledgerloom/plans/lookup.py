@@ -100,11 +100,11 @@ def _(t):
     return t.orders.groupBy(F.trunc("o_orderdate", "month").alias("month"), F.col("o_orderstatus").alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("ag33_ordered_union", "SELECT user_id, list_distinct(list(event_type)) IS NOT NULL AS any, arg_min(event_type, (ts, event_id)) AS first FROM events GROUP BY user_id")
+@query("ag33_ordered_union", "WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS place FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY place) AS types, arg_min(event_type, place) AS first FROM f GROUP BY user_id")
 def _(t):
     firsts = t.events.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("at"))
     ordered = firsts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_type"))).alias("x"))
-    return ordered.select("user_id", (F.size("x") > 0).alias("any"), F.col("x")[0]["event_type"].alias("first"))
+    return ordered.select("user_id", F.array_join(F.col("x.event_type"), ",").alias("types"), F.col("x")[0]["event_type"].alias("first"))
 
 
 @query("ag37_cautious_totals", "WITH r AS (SELECT l_suppkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS r FROM lineitem) SELECT l_suppkey, round(sum(v) FILTER (WHERE r <= 50), 2) AS total, greatest(0, count(*) - 50)::BIGINT AS left_out, count(*) <= 50 AS exact FROM r GROUP BY l_suppkey")

@@ -173,3 +173,25 @@ def _(t):
 def _(t):
     mark = F.element_at(F.array(F.lit("_v3.pdf"), F.lit(" - Copy.docx"), F.lit(" final (2).xlsx")), (F.col("s_suppkey") % 3 + 1).cast("int"))
     return t.supplier.select("s_suppkey", T.file_stem(F.concat(F.lit("Report_"), F.col("s_nationkey") % 3, F.lit(" Summary"), mark)).alias("stem"))
+
+
+@query(
+    "sc05_dated_stems",
+    "SELECT p_partkey, CASE p_partkey % 7 WHEN 5 THEN 'list 2024 13 45 ' || p_size WHEN 6 THEN 'renewal ' || p_size ELSE 'list ' || p_size END AS stem FROM part",
+)
+def _(t):
+    """Names whose marks stand ahead, inside and behind; what only looks like a date, and words that only hold a mark, stay."""
+    size, date = F.col("p_size").cast("string"), F.date_format(F.expr("date_add(DATE '2019-01-01', cast(p_partkey % 3000 as int))"), "yyyyMMdd")
+    name = F.element_at(
+        F.array(
+            F.concat(F.lit("Copy of LIST_"), size, F.lit(".xlsx")),
+            F.concat(F.lit("List v2.1 "), size, F.lit(" - Copy (3).xlsx")),
+            F.concat(date, F.lit("_List_"), size, F.lit("_updated.csv")),
+            F.concat(F.lit("LATEST list "), size, F.lit(" 31.12.24 signed.pdf")),
+            F.concat(F.lit("list-"), size, F.lit("-revision 12.txt")),
+            F.concat(F.lit("list 2024-13-45 "), size, F.lit(" final.txt")),
+            F.concat(F.lit("Renewal "), size, F.lit(" rev. 3.doc")),
+        ),
+        (F.col("p_partkey") % 7 + 1).cast("int"),
+    )
+    return t.part.select("p_partkey", T.file_stem(name).alias("stem"))

@@ -134,7 +134,7 @@ def test_drop_folder_as_table_and_stream(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "written, out",
-    [("Order_v2 FINAL (1).xlsx", "order"), ("Budget.csv", "budget")],
+    [("Order_v2 FINAL (1).xlsx", "order"), ("Budget.csv", "budget"), ("Copy of copy of Plan 3.1.2024.doc", "plan"), ("Plan 20240230 12-31-24.txt", "plan"), ("Plan 2024-13-01.txt", "plan 2024 13 01"), ("v2 final.txt", ""), ("Finally new_york.txt", "finally york"), (None, None), ("-" * 50_000 + " " * 50_000 + "x", "x")],
 )
 def test_file_stems(spark, written, out):
     assert spark.createDataFrame([(written,)], "c string").select(T.file_stem(F.col("c"))).first()[0] == out
