@@ -129,9 +129,10 @@ def _(t):
     return t.events.select("event_id", F.date_format(F.from_utc_timestamp("ts", "-05:00"), "yyyy-MM-dd HH:mm").alias("local"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"))
 
 
-@query("sc29_look_alikes", "SELECT c_custkey, 'rnicro' || c_nationkey || '.example' AS domain, 'micro.example' AS like FROM customer WHERE c_nationkey % 25 IN (0)")
+@query("sc29_look_alikes", "SELECT c_custkey, CASE c_nationkey % 3 WHEN 0 THEN 'rnicro' ELSE 'mlcro' END || c_nationkey || '.example' AS domain, 'micro.example' AS like FROM customer WHERE c_nationkey % 3 <> 2")
 def _(t):
-    asked = t.customer.filter("c_nationkey % 25 = 0").select("c_custkey", F.concat(F.lit("rnicro"), "c_nationkey", F.lit(".example")).alias("domain"))
+    name = F.when(F.col("c_nationkey") % 3 == 0, "rnicro").when(F.col("c_nationkey") % 3 == 1, "mlcro").otherwise("unlike")
+    asked = t.customer.select("c_custkey", F.concat(name, "c_nationkey", F.lit(".example")).alias("domain"))
     known = t.spark.createDataFrame([("micro.example",), ("other.example",)], "like string")
     return L.look_alikes(asked, "domain", known, "like").select("c_custkey", "domain", "like")
 

@@ -83,10 +83,10 @@ def _(t):
     return t.orders.select(F.col("o_orderkey").alias("id"), S.folder(_picked(_KINDS, F.col("o_orderkey")), level, held).alias("folder"))
 
 
-@query("ag30_signal_weights", "WITH e AS (SELECT unnest(['pressure', CASE WHEN o_custkey % 3 = 0 THEN 'bank_change' ELSE 'first_contact' END, 'reported']) AS signal, o_orderkey % 2 = 0 AS fraud FROM orders WHERE o_custkey < 40), n AS (SELECT signal, sum(CASE WHEN fraud THEN 1 ELSE -1 END) AS n FROM e WHERE signal <> 'reported' GROUP BY signal) SELECT signal, round(greatest(CASE WHEN signal = 'bank_change' THEN 1.0 ELSE 0.5 END, least(1.6, 1 + 0.15 * n)), 2) AS weight FROM n")
+@query("ag30_signal_weights", "WITH e AS (SELECT unnest(['pressure', CASE WHEN o_custkey % 3 = 0 THEN 'bank_change' ELSE 'first_contact' END, 'reported']) AS signal, o_orderkey % 2 = 0 AS fraud FROM orders), n AS (SELECT signal, sum(CASE WHEN fraud THEN 1 ELSE -1 END) AS n FROM e WHERE signal <> 'reported' GROUP BY signal) SELECT signal, round(greatest(CASE WHEN signal = 'bank_change' THEN 1.0 ELSE 0.5 END, least(1.6, 1 + 0.15 * n)), 2) AS weight FROM n")
 def _(t):
     signals = F.array(F.lit("pressure"), F.when(F.col("o_custkey") % 3 == 0, "bank_change").otherwise("first_contact"), F.lit("reported"))
-    return S.learned_weights(t.orders.filter("o_custkey < 40").select(signals.alias("signals"), (F.col("o_orderkey") % 2 == 0).alias("fraud")))
+    return S.learned_weights(t.orders.select(signals.alias("signals"), (F.col("o_orderkey") % 2 == 0).alias("fraud")))
 
 
 @query("ex07_rescored_senders", "WITH v AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 97 = 0) SELECT o_orderkey AS id, CASE WHEN v.o_custkey IS NULL THEN 10 ELSE 70 END AS score FROM orders o LEFT JOIN v USING (o_custkey)")
@@ -138,12 +138,12 @@ def _(t):
     return t.orders.select(F.col("o_orderkey").alias("id"), S.due_priority(rank, F.date_diff(F.to_date("o_orderdate"), F.lit("1996-05-15").cast("date"))).alias("priority"))
 
 
-@query("rk13_cost_codes", "WITH m AS (SELECT o_orderkey AS id, o_custkey AS sender, CASE WHEN o_orderkey % 3 = 0 THEN 'charge to c' || (o_orderkey % 50 + 1) ELSE 'for a red widget part' END AS x FROM orders), codes AS (SELECT 'c' || p_partkey AS code, p_name AS d FROM part WHERE p_partkey <= 60), last AS (SELECT l_suppkey AS sender, arg_max('c' || l_partkey, l_orderkey * 10 + l_linenumber) AS code FROM (SELECT DISTINCT l_suppkey, l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 7 = 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber ORDER BY l_partkey) = 1) GROUP BY l_suppkey), p AS (SELECT id, min(code) AS c FROM m JOIN codes ON list_contains(regexp_extract_all(x, '\\w+'), code) GROUP BY id), n AS (SELECT id, code, len(list_intersect(list_distinct(regexp_extract_all(x, '\\w+')), list_distinct(regexp_extract_all(lower(d), '\\w+')))) AS n FROM m, codes), b AS (SELECT id, arg_min(code, -n * 1000000 + rank) AS c FROM (SELECT *, row_number() OVER (ORDER BY code) AS rank FROM n WHERE n >= 2) GROUP BY id) SELECT m.id, coalesce(p.c, last.code, b.c) AS code, CASE WHEN p.c IS NOT NULL THEN 'printed' WHEN last.code IS NOT NULL THEN 'confirmed' WHEN b.c IS NOT NULL THEN 'described' END AS why FROM m LEFT JOIN p USING (id) LEFT JOIN last USING (sender) LEFT JOIN b USING (id)")
+@query("rk13_cost_codes", "WITH m AS (SELECT o_orderkey AS id, o_custkey AS sender, CASE WHEN o_orderkey % 3 = 0 THEN 'charge to c' || (o_orderkey % 50 + 1) ELSE 'for a red widget part' END AS x FROM orders), codes AS (SELECT 'c' || p_size AS code, min(p_name) AS d FROM part GROUP BY p_size), last AS (SELECT l_suppkey AS sender, arg_max('c' || l_partkey, l_orderkey * 10 + l_linenumber) AS code FROM (SELECT DISTINCT l_suppkey, l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber ORDER BY l_partkey) = 1) GROUP BY l_suppkey), p AS (SELECT id, min(code) AS c FROM m JOIN codes ON list_contains(regexp_extract_all(x, '\\w+'), code) GROUP BY id), n AS (SELECT id, code, len(list_intersect(list_distinct(regexp_extract_all(x, '\\w+')), list_distinct(regexp_extract_all(lower(d), '\\w+')))) AS n FROM m, codes), b AS (SELECT id, arg_min(code, -n * 1000000 + rank) AS c FROM (SELECT *, row_number() OVER (ORDER BY code) AS rank FROM n WHERE n >= 2) GROUP BY id) SELECT m.id, coalesce(p.c, last.code, b.c) AS code, CASE WHEN p.c IS NOT NULL THEN 'printed' WHEN last.code IS NOT NULL THEN 'confirmed' WHEN b.c IS NOT NULL THEN 'described' END AS why FROM m LEFT JOIN p USING (id) LEFT JOIN last USING (sender) LEFT JOIN b USING (id)")
 def _(t):
     said = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("charge to c"), F.col("o_orderkey") % 50 + 1)).otherwise("for a red widget part")
     mail = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("sender"), said.alias("text"))
-    codes = t.part.filter("p_partkey <= 60").select(F.concat(F.lit("c"), "p_partkey").alias("code"), F.col("p_name").alias("description"))
-    used = t.lineitem.filter("l_orderkey % 7 = 0").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    codes = t.part.groupBy("p_size").agg(F.min("p_name").alias("description")).select(F.concat(F.lit("c"), "p_size").alias("code"), "description")
+    used = t.lineitem.groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     confirmed = used.select(F.col("l_suppkey").alias("sender"), F.concat(F.lit("c"), "p").alias("code"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
     return S.cost_codes(mail, codes, confirmed)
 
