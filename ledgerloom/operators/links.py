@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .relational import stored
+
+# Kinds of pictures, and words that stand before one sender's own numbers.
+PICTURES = "png jpg jpeg gif bmp emz wmz ico svg".split()
+SENDERS_OWN = "INVOICE INV IN BILL NO NR".split()
 
 
 def extracted(text: Column) -> Column:
@@ -19,7 +25,7 @@ def extracted(text: Column) -> Column:
 def real_file(name: Column, size: Column) -> Column:
     """A file someone sent: not tiny (lists may be), no small picture, no part of the message itself."""
     big = (size >= 1024) | F.lower(name).rlike(r"\.(csv|txt)$")
-    picture = F.lower(name).rlike(r"\.(png|jpe?g|gif|bmp|ico|svg)$") & (size < 200_000)
+    picture = F.substring_index(F.lower(name), ".", -1).isin(PICTURES) & name.contains(".") & (size < 200_000)
     return big & ~picture & ~F.lower(name).rlike(r"^(winmail|smime|message|att\d+)\b")
 
 
@@ -34,7 +40,7 @@ def link_keys(mail: DataFrame) -> DataFrame:
     said = F.transform(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"([A-Za-z]*[-#\s]?\d[\dA-Za-z-]*)"), 1), T.number_key)
 
     def scoped(kind: str, key: Column) -> Column:
-        plain = F.regexp_replace(key, r"^(INVOICE|INV|BILL|NO|NR)(?=\d+$)", "")
+        plain = F.regexp_replace(key, rf"^({'|'.join(SENDERS_OWN)})(?=\d+$)", "")
         digits = key.rlike(r"^\d+$")
         if kind == "invoice":
             return F.when(plain.rlike(r"^\d{1,4}$"), F.concat(domain, F.lit("|"), plain)).when(digits, F.concat(domain, F.lit("|"), key)).otherwise(key)
@@ -51,48 +57,75 @@ def link_keys(mail: DataFrame) -> DataFrame:
     return mail.select("id", F.explode(F.array_distinct(every)).alias("k")).select("id", "k.kind", "k.value")
 
 
+def _depths(replies: DataFrame) -> DataFrame:
+    """(c, id, depth) of replies (c, id, up): how many messages of its conversation each answers, one inside the other.
+
+    Pointers double, so rounds grow with the logarithm of the depth; messages
+    that have met the top of their tree leave. A round in which none does leaves
+    only circles of answers and what hangs on them, which count as 0.
+    """
+    live, done = stored(replies.withColumn("depth", F.col("up").isNotNull().cast("long"))), []
+    while True:
+        done.append(live.filter("up is null").select("c", "id", "depth"))
+        held = live.filter("up is not null")
+        if held.isEmpty() or (len(done) > 1 and done[-1].isEmpty()):
+            return reduce(DataFrame.unionByName, [*done, held.withColumn("depth", F.lit(0).cast("long")).drop("up")])
+        tops = reduce(DataFrame.unionByName, done).withColumn("up", F.lit(None).cast(dict(live.dtypes)["up"]))
+        above = held.unionByName(tops).select("c", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        live = stored(held.join(above, ["c", "up"]).select("c", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")))
+
+
 def newcomers(mail: DataFrame) -> DataFrame:
-    """mail (conversation, id, arrival, message_id, in_reply_to, party, to_parties) with ``newcomer``.
-
-    A conversation starts with its first stored message that answers none of it.
-    Its party and addressees take part; so do those of each later accepted
-    message, in order of reply depth, then arrival. A message of another party
-    is a newcomer, as is one that claims the id of another party's message, and
-    whom it writes to doesn't count. Acceptance rests on earlier acceptance, so
-    each conversation is walked by itself; only its keys reach the walk, and a
-    conversation is limited by how many people can answer each other.
+    """mail (conversation, id, arrival, message_id, in_reply_to, party, to_parties) with ``newcomer``, for every row; id is unique.
+
+    A conversation starts with its first stored message that answers none of it,
+    of those stored at one moment the one that another party answered. Its
+    party and addressees take part; so do those of each later accepted message,
+    in order of reply depth, then arrival. A message is accepted where its
+    party, or a domain it is under (an address is only itself), took part
+    before it. Null to_parties are addressees that aren't known: whoever comes
+    later may be one. Others are newcomers, as are messages without a party and
+    those that claim the id of another party's message; whom a newcomer writes
+    to doesn't count. Without a conversation a message is no newcomer.
+
+    Acceptance rests on earlier acceptance only, so it is the least fixed point
+    of "a party takes part from the first accepted message that names it": each
+    round carries the parties whose first place has moved forward, and rounds
+    grow with the longest chain of introductions, not with a conversation's size.
     """
-    import pandas as pd
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["arrival", "id"])
-        owner, forged = {}, set()
-        for r in rows.itertuples():
-            if r.message_id is not None and owner.setdefault(r.message_id, r).party != r.party:
-                forged.add(r.id)
-        depth = {}
-        for r in rows.itertuples():
-            path, at = [], r
-            while at is not None and at.id not in depth and at.id not in path:
-                path.append(at.id)
-                at = owner.get(at.in_reply_to)
-            base = depth.get(at.id, -1) if at is not None else -1
-            for steps, i in enumerate(reversed(path), 1):
-                depth[i] = base + steps
-        roots = [r for r in rows.itertuples() if r.id not in forged and owner.get(r.in_reply_to) is None] or list(rows.itertuples())
-        seen, marked = {roots[0].party, *roots[0].to_parties}, set(forged)
-        for r in sorted(rows.itertuples(), key=lambda r: (depth[r.id], r.arrival, r.id)):
-            if r.id == roots[0].id or r.id in forged:
-                continue
-            if not r.party or not any(r.party == p or r.party.endswith(f".{p}") for p in seen if p):
-                marked.add(r.id)
-            else:
-                seen |= {r.party, *r.to_parties}
-        return pd.DataFrame({"conversation": rows["conversation"], "id": rows["id"], "newcomer": rows["id"].isin(marked)})
-
-    kinds = dict(mail.dtypes)
-    keys = mail.select("conversation", "id", "arrival", "message_id", "in_reply_to", "party", "to_parties")
-    return keys.groupBy("conversation").applyInPandas(walk, f"conversation {kinds['conversation']}, id {kinds['id']}, newcomer boolean")
+    kept = mail.select("conversation", "id", "arrival", "message_id", "in_reply_to", "party", "to_parties")
+    own = kept.filter("conversation is not null").select(F.col("conversation").alias("c"), "id", "arrival", "message_id", "in_reply_to", F.coalesce("party", F.lit("")).alias("party"), F.col("to_parties").alias("to"))
+    owners = own.filter("message_id is not null").groupBy("c", "message_id").agg(F.min_by(F.struct("id", "party"), F.struct("arrival", "id")).alias("o"))
+    claimed = owners.select("c", "message_id", F.col("o.party").alias("_first"))
+    parents = owners.select("c", F.col("message_id").alias("in_reply_to"), F.col("o.id").alias("up"))
+    answers = own.filter("in_reply_to is not null").groupBy("c", F.col("in_reply_to").alias("message_id")).agg(F.min("party").alias("_lo"), F.max("party").alias("_hi"))
+    told = own.join(claimed, ["c", "message_id"], "left").join(parents, ["c", "in_reply_to"], "left").join(answers, ["c", "message_id"], "left")
+    answered = F.coalesce((F.col("_lo") != F.col("party")) | (F.col("_hi") != F.col("party")), F.lit(False))
+    told = stored(told.select("c", "id", "arrival", "party", "to", "up", F.coalesce(F.col("_first") != F.col("party"), F.lit(False)).alias("forged"), answered.alias("answered")))
+    starts = told.groupBy("c").agg(F.min_by("id", F.struct(F.col("forged") | F.col("up").isNotNull(), "arrival", ~F.col("answered"), "id")).alias("root"))
+    names = F.concat(F.array("party"), F.coalesce("to", F.array(F.lit("*"))))
+    placed = told.join(_depths(told.select("c", "id", "up")), ["c", "id"]).join(starts, "c").withColumn("is_root", F.col("id") == F.col("root"))
+    at = F.struct(F.when(F.col("is_root"), -1).otherwise(F.col("depth")).alias("depth"), "arrival", "id")
+    placed = stored(placed.select("c", "id", "party", F.filter(names, lambda n: n != "").alias("names"), at.alias("at"), "forged", "is_root"))
+
+    labels = F.split("party", r"\.")
+    under = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parties = placed.filter("party <> ''").select("c", "party").distinct()
+    parties = stored(parties.select("c", "party", F.explode(F.concat(F.when(F.col("party").contains("@"), F.array("party")).otherwise(under), F.array(F.lit("*")))).alias("name")))
+    sends = placed.filter("party <> '' and not forged and not is_root")
+    named = lambda rows: rows.select("c", F.explode("names").alias("name"), "at").groupBy("c", "name").agg(F.min("at").alias("at"))
+    met = lambda found: found.join(parties, ["c", "name"]).groupBy("c", "party").agg(F.min("at").alias("since"))
+    since = stored(met(named(placed.filter("is_root"))))
+    moved = since.withColumn("until", F.lit(None).cast(since.schema["since"].dataType))
+    while not moved.isEmpty():
+        fresh = sends.join(moved, ["c", "party"]).filter("at > since and (until is null or at <= until)")
+        found = met(named(fresh)).join(since.withColumnRenamed("since", "until"), ["c", "party"], "left")
+        moved = stored(found.filter("until is null or since < until").select("c", "party", "since", "until"))
+        since = stored(since.unionByName(moved.drop("until")).groupBy("c", "party").agg(F.min("since").alias("since")))
+    judged = placed.join(since, ["c", "party"], "left")
+    new = F.col("forged") | (~F.col("is_root") & ~F.coalesce(F.col("at") > F.col("since"), F.lit(False)))
+    verdicts = judged.select(F.col("c").alias("conversation"), "id", new.alias("newcomer"))
+    return verdicts.unionByName(kept.filter("conversation is null").select("conversation", "id", F.lit(False).alias("newcomer")))
 
 
 def duplicate_invoices(mail: DataFrame) -> DataFrame:

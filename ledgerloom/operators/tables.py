@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 TOLERANCE = 0.015
 WIDEST = 12
-#: Columns named so are results where an identity can be read both ways.
-RESULT = re.compile(r"(?i)total|net|ending|closing|variance|balance")
+# Columns named so are results where an identity can be read both ways.
+RESULT_WORDS = "total net ending end closing variance change difference balance".split()
+RESULT = re.compile(rf"(?i)(?<![a-z])({'|'.join(RESULT_WORDS)})(?![a-z])")
 
 
 def candidates(count: int) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:

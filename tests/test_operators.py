@@ -96,6 +96,66 @@ def test_forged_ids_and_whom_newcomers_write_to(spark):
     assert {r["id"] for r in L.newcomers(mail).collect() if r["newcomer"]} == {"c", "d", "e"}
 
 
+def _walked(rows):
+    """Newcomers of one conversation, message by message."""
+    rows = sorted(rows, key=lambda r: (r[2], r[1]))
+    owner, forged = {}, set()
+    for r in rows:
+        if r[3] is not None and owner.setdefault(r[3], r)[5] != r[5]:
+            forged.add(r[1])
+    up = {r[1]: owner.get(r[4]) for r in rows}
+
+    def depth(r):
+        steps, seen = 0, {r[1]}
+        while up[r[1]] is not None:
+            r, steps = up[r[1]], steps + 1
+            if r[1] in seen:
+                return 0
+            seen.add(r[1])
+        return steps
+
+    starts = [r for r in rows if r[1] not in forged and up[r[1]] is None] or rows
+    answered = lambda r: r[3] is not None and any(o[4] == r[3] and o[5] != r[5] for o in rows)
+    root = min(starts, key=lambda r: (r[2], not answered(r), r[1]))
+    parties = {root[5], *(root[6] or [])} - {""}
+    anyone, new = root[6] is None, set(forged)
+    for r in sorted(rows, key=lambda r: (depth(r), r[2], r[1])):
+        if r[1] == root[1] or r[1] in forged:
+            continue
+        near = r[5] in parties or ("@" not in r[5] and any("@" not in p and r[5].endswith("." + p) for p in parties))
+        if not r[5] or not (near or anyone):
+            new.add(r[1])
+        else:
+            parties |= {r[5], *(r[6] or [])} - {""}
+            anyone = anyone or r[6] is None
+    return new
+
+
+def test_newcomers_by_rounds_are_those_of_a_walk(spark):
+    import random
+
+    from ledgerloom.operators import links as L
+
+    rng, rows = random.Random(5), []
+    names = ["a.example", "b.example", "mail.a.example", "x.mail.a.example", "xa.example", "c.example", "d.example", "e@free.example", "free.example", ""]
+    for c in range(120):
+        n = rng.choice([1, 2, 3, 8, 25])
+        for i in range(n):
+            up = rng.choice([None, f"m{c}-{max(0, i - 1)}", f"m{c}-{max(0, i - 1)}", f"m{c}-{rng.randrange(n)}", "gone"])
+            own = rng.choice([f"m{c}-{i}"] * 8 + [f"m{c}-{rng.randrange(n)}", None])
+            to = None if rng.random() < 0.02 else rng.sample(names, rng.choice([0, 0, 1, 2]))
+            rows.append((c, f"{c}-{i:02}", rng.choice([i, i, i // 2, n - i]), own, up, rng.choice(names), to))
+    # a long chain of answers, each of which brings in the next party
+    rows += [(500, f"{i:03}", 12 - i, f"k{i}", f"k{i - 1}" if i else None, f"p{i}.example", [f"p{i + 1}.example"]) for i in range(12)]
+    rows += [(501, "y", 0, "y", "z", "y.example", ["z.example"]), (501, "z", 0, "z", "y", "z.example", [])]
+    mail = spark.createDataFrame([*rows, (None, "alone", 0, None, None, "q.example", [])], "conversation int, id string, arrival int, message_id string, in_reply_to string, party string, to_parties array<string>")
+    got = L.newcomers(mail).collect()
+    assert len(got) == len(rows) + 1
+    want = set().union(*[_walked([r for r in rows if r[0] == c]) for c in {r[0] for r in rows}])
+    assert {r["id"] for r in got if r["newcomer"]} == want and 100 < len(want) < len(rows) - 100
+    assert L.newcomers(mail.limit(0)).count() == 0
+
+
 def test_sinks_can_run_again(spark, tmp_path):
     from ledgerloom.sources import sinks, text_tables
 
