@@ -16,6 +16,9 @@ def sender_domain(c: Column) -> Column:
     return F.lower(F.substring_index(F.regexp_replace(F.trim(c), r"[>\s]+$", ""), "@", -1))
 
 
+#: Mail services where an address stands for itself, not for its domain.
+FREEMAIL = ("aol.com", "gmail.com", "gmx.com", "hotmail.com", "icloud.com", "live.com", "outlook.com", "proton.me", "yahoo.com")
+
 #: Words that mark a version in a file's name.
 VERSION_WORDS = ("final", "draft", "updated", "revised", "latest", "clean", "redline", "signed", "new", "old")
 

@@ -128,18 +128,64 @@ def newcomers(mail: DataFrame) -> DataFrame:
     return verdicts.unionByName(kept.filter("conversation is null").select("conversation", "id", F.lit(False).alias("newcomer")))
 
 
-def duplicate_invoices(mail: DataFrame) -> DataFrame:
-    """(id, others): messages that hold an invoice, and how many others hold it too.
+def side_names(sender: Column) -> Column:
+    """What an address is known by: itself, and its domain unless that is a free mail service; none without an address."""
+    address = F.lower(F.trim(F.coalesce(sender, F.lit(""))))
+    domain = T.sender_domain(address)
+    names = F.when(domain.isin(*T.FREEMAIL), F.array(address)).otherwise(F.array(address, domain))
+    return F.when(address.contains("@"), names).otherwise(F.array().cast("array<string>"))
+
 
-    Held mail counts for none. Talk (a reply without a file) in the same
-    conversation is no second holder. Counts by invoice and conversation are
-    joined, never pairs.
+def sides(sender: Column, reply_to: Column, to: Column) -> Column:
+    """Who may answer for a message: its sender, where answers go, whom it went to, and others of their domains.
+
+    Where answers go to another domain, the sender is a service that wrote for
+    that company and counts by its address alone.
+    """
+    address = F.lower(F.trim(F.coalesce(sender, F.lit(""))))
+    answers = F.lower(F.trim(F.coalesce(reply_to, F.lit(""))))
+    service = answers.contains("@") & (T.sender_domain(answers) != T.sender_domain(address))
+    own = F.when(service, F.filter(F.array(address), lambda x: x.contains("@"))).otherwise(side_names(address))
+    went = F.flatten(F.transform(F.coalesce(to, F.array().cast("array<string>")), side_names))
+    return F.array_distinct(F.concat(own, side_names(answers), went))
+
+
+def duplicate_invoices(mail: DataFrame) -> DataFrame:
+    """(id, others): messages that hold an invoice number that others hold too, and how many count as its copies.
+
+    mail: (id, invoice, conversation, sent, held, cautioned, replying, file,
+    names, sides), one row for each message and number; ``file`` says that it
+    brings an invoice's file, ``names`` and ``sides`` are those above. A reply
+    without a file is talk. Talk of the same conversation is never a copy. Held
+    mail is none either, unless the message itself is held or cautioned. A
+    message that answers nothing isn't a copy of the replies its conversation
+    sent after it. Talk itself is a copy of its conversation's invoices only
+    where it comes from none of their sides. Null numbers are held by none; a
+    message without a conversation stands alone in it.
+
+    Counts by number, conversation and time are joined, never pairs of messages.
     """
-    free = mail.filter(~F.col("held"))
-    n = free.groupBy("invoice").agg(F.count("*").alias("_all"))
-    talk = free.filter("talk").groupBy("invoice", "conversation").agg(F.count("*").alias("_talk"))
-    own = free.filter("not talk").join(n, "invoice").join(talk, ["invoice", "conversation"], "left")
-    return own.select("id", (F.col("_all") - 1 - F.coalesce("_talk", F.lit(0))).alias("others")).filter("others > 0")
+    talk, free = F.col("replying") & ~F.col("file"), ~F.col("held")
+    own = mail.filter("invoice is not null").withColumn("talk", talk).withColumn("doubtful", F.col("held") | F.col("cautioned"))
+    every = own.groupBy("invoice").agg(F.count("*").alias("_all"), F.count_if(free).alias("_free"))
+    key = ["invoice", "conversation"]
+    inside = own.groupBy(*key).agg(F.count_if("talk").alias("_talk"), F.count_if(F.col("talk") & free).alias("_free_talk"), F.count_if(~F.col("talk") & free).alias("_invoices"))
+    moments = own.groupBy(*key, "sent").agg(F.count_if(F.col("replying") & F.col("file") & free).alias("n"))
+    after = Window.partitionBy(*key).orderBy(F.desc("sent")).rowsBetween(Window.unboundedPreceding, -1)
+    later = moments.select(*key, "sent", F.sum("n").over(after).alias("_later"))
+    allowed = own.filter(~F.col("talk") & free).select(*key, F.explode("sides").alias("name")).distinct()
+    asked = own.filter("talk and not doubtful").select("id", *key, F.explode("names").alias("name"))
+    answered = asked.join(allowed, [*key, "name"]).select("id", "invoice").distinct().withColumn("_side", F.lit(True))
+    told = own.join(every, "invoice").join(inside, key, "left").join(later, [*key, "sent"], "left").join(answered, ["id", "invoice"], "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    mine = (F.col("talk") & F.col("conversation").isNotNull()).cast("long")
+    follow = F.when(~F.col("replying"), n("_later")).otherwise(0)
+    others = (
+        F.when(F.col("doubtful"), F.col("_all") - 1 - (n("_talk") - mine))
+        .when(F.col("talk"), F.when(F.col("_side"), 0).otherwise(n("_invoices")))
+        .otherwise(F.col("_free") - 1 - n("_free_talk") - follow)
+    )
+    return told.select("id", others.alias("others")).filter("others > 0")
 
 
 def entered_elsewhere(mail: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .relational import prefix_pairs
 
 
 def row_score(cells: Sequence[Column], asked: Sequence[str], is_total: Column) -> Column:
@@ -115,32 +116,46 @@ def settle_totals(df: DataFrame, label: str, figures: Sequence[str], order: Sequ
 
 
 def profile(df: DataFrame, text_columns: Sequence[str], figure_columns: Sequence[str], samples: int = 3) -> DataFrame:
-    """A row for each column: filled cells, figures below zero, its style, and the first samples in order, all in one pass."""
+    """A row for each column: filled cells, figures below zero, its style, and the first samples in order.
+
+    Figures are counted in one pass. Texts are made distinct by value before
+    the first of each column are ranked, so no task holds a column's values.
+    """
     parts = []
     for c in figure_columns:
         whole = F.count_if(F.col(c) == F.floor(c)) == F.count(c)
         style = F.when(F.max(F.abs(c)) <= 1, "share").when(whole, "whole").otherwise("decimal")
         parts.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("filled"), F.count_if(F.col(c) < 0).alias("below_zero"), style.alias("style"), F.array().cast("array<string>").alias("samples")))
     for c in text_columns:
-        kept = F.array_sort(F.collect_set(F.when(F.length(c) > 0, F.col(c))))
-        parts.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("filled"), F.lit(0).cast("long").alias("below_zero"), F.lit("text").alias("style"), F.slice(kept, 1, samples).alias("samples")))
-    return df.agg(F.explode(F.array(*parts)).alias("p")).select("p.*")
+        parts.append(F.struct(F.lit(c).alias("column"), F.count(c).alias("filled"), F.lit(0).cast("long").alias("below_zero"), F.lit("text").alias("style"), F.lit(None).cast("array<string>").alias("samples")))
+    counted = df.agg(F.explode(F.array(*parts)).alias("p")).select("p.*")
+    if not text_columns:
+        return counted
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in text_columns])
+    values = df.select(F.explode(cells).alias("x")).select("x.*").filter("v <> ''").distinct()
+    first = values.withColumn("_r", F.row_number().over(Window.partitionBy("column").orderBy("v"))).filter(F.col("_r") <= samples)
+    kept = first.groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("kept"))
+    out = counted.join(kept, "column", "left").withColumn("samples", F.coalesce("samples", "kept", F.array().cast("array<string>")))
+    return out.select(*counted.columns)
 
 
 def families(cells: DataFrame, share: float = 0.4, least_months: int = 3) -> DataFrame:
     """(a, b, jaccard): pairs of tables with at least so many month columns in common whose text values agree by Jaccard similarity.
 
     cells: (sheet, month, value), one row for each text value and month column of a table.
+    Tables meet by their rarest values only, one of which two tables so alike
+    share; months and all values are then counted for the pairs that met.
     """
     months, values = cells.select("sheet", "month").distinct(), cells.select("sheet", "value").distinct()
+    met = prefix_pairs(values, "sheet", "value", share)
 
-    def shared(x: DataFrame, c: str) -> DataFrame:
+    def shared(pairs: DataFrame, x: DataFrame, c: str) -> DataFrame:
         a, b = x.select(F.col("sheet").alias("a"), c), x.select(F.col("sheet").alias("b"), c)
-        return a.join(b, c).filter("a < b").groupBy("a", "b").agg(F.count("*").alias(f"_{c}"))
+        return pairs.join(a, "a").join(b, ["b", c]).groupBy("a", "b").agg(F.count("*").alias(f"_{c}"))
 
     sizes = values.groupBy("sheet").agg(F.count("*").alias("n"))
-    both = shared(months, "month").filter(F.col("_month") >= least_months).join(shared(values, "value"), ["a", "b"])
-    both = both.join(sizes.select(F.col("sheet").alias("a"), F.col("n").alias("_n")), "a").join(sizes.select(F.col("sheet").alias("b"), F.col("n").alias("_m")), "b")
+    long = shared(met, months, "month").filter(F.col("_month") >= least_months).select("a", "b")
+    both = shared(long, values, "value").join(sizes.select(F.col("sheet").alias("a"), F.col("n").alias("_n")), "a").join(sizes.select(F.col("sheet").alias("b"), F.col("n").alias("_m")), "b")
     jaccard = F.col("_value") / (F.col("_n") + F.col("_m") - F.col("_value"))
     return both.filter(jaccard >= share).select("a", "b", F.round(jaccard, 6).alias("jaccard"))
 

@@ -172,6 +172,32 @@ def shared_keys(keys: DataFrame, node: str, key: str, most: int = 25) -> DataFra
     return pairs.groupBy(F.col("a.n").alias("a"), F.col("b.n").alias("b")).agg(F.count("*").alias("shared"))
 
 
+def prefix_pairs(tokens: DataFrame, node: str, token: str, share: float, one_sided: bool = False) -> DataFrame:
+    """Pairs (a < b) of nodes that may share ``share`` of their tokens: of both sets together, or with ``one_sided`` of a's.
+
+    tokens: one row for each node and token. A node of n tokens shares ceil(share * n)
+    of them at least, so one of its n - ceil(share * n) + 1 rarest is among
+    them. These meet each other, or with ``one_sided`` all tokens, so that no
+    common token pairs all its nodes. Callers count what the pairs share.
+    """
+    own = tokens.select(F.col(node).alias("n"), F.col(token).alias("t")).filter("n is not null and t is not null").distinct()
+    counts = own.groupBy("t").agg(F.count("*").alias("c"))
+    each = Window.partitionBy("n")
+    ranked = own.join(counts, "t").select("n", "t", F.row_number().over(each.orderBy("c", "t")).alias("r"), F.count("*").over(each).alias("size"))
+    rare = ranked.filter(F.col("r") <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1)
+    a, b = rare.select(F.col("n").alias("a"), "t"), (own if one_sided else rare).select(F.col("n").alias("b"), "t")
+    return a.join(b, "t").filter("a < b").select("a", "b").distinct()
+
+
+def word_overlap(words: DataFrame, node: str, word: str, share: float) -> DataFrame:
+    """Pairs (a < b) of nodes where b has at least ``share`` of a's words."""
+    own = words.select(F.col(node).alias("n"), F.col(word).alias("t")).filter("n is not null and t is not null").distinct()
+    held = own.groupBy("n").agg(F.collect_list("t").alias("held"))  # the words of one name
+    of = lambda c: held.select(F.col("n").alias(c), F.col("held").alias(f"_{c}"))
+    pairs = prefix_pairs(own, "n", "t", share, one_sided=True).join(of("a"), "a").join(of("b"), "b")
+    return pairs.filter(F.size(F.array_intersect("_a", "_b")) >= F.size("_a") * share - 1e-9).select("a", "b")
+
+
 def nearest_of_other_kinds(df: DataFrame, id_col: str, key: str, kind: str, kinds: Sequence[str], value: str, most: int = 3) -> DataFrame:
     """(a, b): with each row, the ``most`` rows of its key nearest in value among those of another kind; ties go to the lesser id.
 

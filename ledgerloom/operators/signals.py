@@ -26,7 +26,6 @@ _PRESSURE = r"\b(?:urgent(?:ly)?|immediately|asap|right\s+away|within\s+the\s+ho
 _DENIED = r"\b(?:never|not(?!\s+only)|nor|without|any|if|whether|unless|beware|fraudsters?|scam(?:s|mers?)?|phishing|pretend(?:s|ing)?|no(?=\s+(?:changes?|new|updates?))|(?:do|does|did|has|have|had|is|was|are|were|wo|would|ca|could|should)n't)\b"
 _HEARSAY = r"\b(?:saying|says|claiming|claims|stating|telling)\b"
 _CUES = rf"\b(?:bank\w*|remittance|wir(?:e|ing)|payments?|ach|account|acct|iban|routing|aba|sort\s+code|swift|gift\w*|prepaid|e-?gift\w*|codes?|pins?|invoices?|funds|amount|money|balance)\b|{_PRESSURE}"
-FREEMAIL = ("aol.com", "gmail.com", "gmx.com", "hotmail.com", "icloud.com", "live.com", "outlook.com", "proton.me", "yahoo.com")
 #: The order in which signals are listed.
 ORDER = ("bank_change", "bank_change_quoted", "gift_cards", "account_numbers", "payment_request", "pressure", "freemail_request", "first_contact", "reply_to_mismatch", "lookalike_domain", "display_name_spoof", "automated_sender", "trusted_domain")
 
@@ -132,7 +131,7 @@ def found(mail: DataFrame, people: DataFrame, trusted: DataFrame) -> DataFrame:
     )
     domains = said.select("domain").filter("domain is not null").distinct()
     safe = trusted_domains(domains, trusted)
-    odd = domains.join(safe, "domain", "left_anti").filter(~F.col("domain").isin(*FREEMAIL))
+    odd = domains.join(safe, "domain", "left_anti").filter(~F.col("domain").isin(*T.FREEMAIL))
     likes = look_alikes(odd, "domain", trusted.select(T.canonical_domain(F.col("domain")).alias("like")), "like").groupBy("domain").agg(F.min("like").alias("_like"))
     of_domain = domains.join(safe.withColumn("_safe", F.lit(True)), "domain", "left").join(likes, "domain", "left")
     first = mail.groupBy(F.lower(F.trim("sender")).alias("sender")).agg(F.min(F.struct("at", "id")).alias("_first"))
@@ -154,7 +153,7 @@ def found(mail: DataFrame, people: DataFrame, trusted: DataFrame) -> DataFrame:
         "account_numbers": F.col("account_numbers"),
         "payment_request": F.col("payment_request"),
         "pressure": F.col("pressure"),
-        "freemail_request": F.when(F.col("domain").isin(*FREEMAIL) & money, F.col("domain")),
+        "freemail_request": F.when(F.col("domain").isin(*T.FREEMAIL) & money, F.col("domain")),
         "first_contact": F.when(new & core, F.col("sender")),
         "reply_to_mismatch": F.when(elsewhere, F.col("reply")),
         "lookalike_domain": F.col("_like"),

@@ -169,10 +169,7 @@ _TOKENS = "SELECT p_partkey, unnest(list_distinct(string_split(lower(p_name), '
 )
 def _(t):
     w = t.part.select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("w"))
-    n = w.groupBy("p_partkey").agg(F.count("*").alias("n"))
-    a, b = w.join(n, "p_partkey").alias("a"), w.alias("b")
-    both = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))).groupBy(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), "n").agg(F.count("*").alias("c"))
-    return both.filter(F.col("c") >= 0.6 * F.col("n")).select("a", "b")
+    return R.word_overlap(w, "p_partkey", "w", 0.6)
 
 
 @query("jn22_look_alikes", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_name < b.n_name AND levenshtein(a.n_name, b.n_name) <= CASE WHEN length(a.n_name) >= 10 THEN 2 ELSE 1 END")

@@ -240,9 +240,31 @@ def _(t):
     return L.newcomers(mail.join(own.select("conversation"), "conversation", "left_semi")).join(own.select("id"), "id", "left_semi").select("id", "newcomer")
 
 
-@query("ex05_duplicate_invoices", "WITH m AS (SELECT o_orderkey AS id, o_custkey % 40 AS invoice, o_orderdate AS sent, o_orderkey % 11 = 0 AS held, o_orderkey % 3 = 0 AS talk, o_custkey % 7 AS conv FROM orders) SELECT a.id, count(*) AS others FROM m a JOIN (SELECT invoice, conv, held, talk, id FROM m) b ON a.invoice = b.invoice AND a.id <> b.id AND NOT b.held AND NOT (b.talk AND a.conv = b.conv) WHERE NOT a.held AND NOT a.talk GROUP BY a.id")
-def _(t):
-    mail = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("invoice"), (F.col("o_orderkey") % 11 == 0).alias("held"), (F.col("o_orderkey") % 3 == 0).alias("talk"), (F.col("o_custkey") % 7).alias("conversation"))
+@query(
+    "ex05_duplicate_invoices",
+    "WITH m AS (SELECT o_orderkey AS id, o_custkey % 40 AS inv, CASE WHEN o_custkey % 97 <> 0 THEN o_custkey % 7 END AS conv, o_orderdate AS sent, o_orderkey % 11 = 0 AS held, o_orderkey % 13 = 0 AS cautioned, o_orderstatus = 'F' AS replying, o_orderpriority = '5-LOW' AS file, o_orderkey % 5 AS who, o_custkey % 3 AS whom FROM orders), "
+    "p AS (SELECT a.id, a.sent, a.conv, b.conv IS NOT NULL AND a.conv IS NOT DISTINCT FROM b.conv AS inside, a.held OR a.cautioned AS doubtful, a.replying AND NOT a.file AS talk, a.replying AS replying, b.held AS b_held, b.replying AND NOT b.file AS b_talk, b.replying AS b_replying, b.sent AS b_sent, "
+    "CASE WHEN a.who = 0 THEN b.who = 0 WHEN a.who = 4 THEN b.who = 4 ELSE b.who = a.who OR b.whom = a.who END AS from_side FROM m a JOIN m b ON a.inv = b.inv AND a.id <> b.id), "
+    "q AS (SELECT id, talk AND NOT doubtful AS asks, from_side, CASE WHEN inside AND b_talk THEN false WHEN doubtful THEN true WHEN b_held THEN false WHEN talk THEN inside WHEN NOT replying THEN NOT (inside AND b_replying AND b_sent > sent) ELSE true END AS copy FROM p) "
+    "SELECT id, count(*) AS others FROM q WHERE copy GROUP BY id HAVING NOT bool_or(asks AND from_side)",
+)
+def _(t):
+    who, whom = F.col("o_orderkey") % 5, F.col("o_custkey") % 3
+    # 0 writes from a free mail service, 4 through a service that asks answers to go elsewhere, 1 to 3 from their companies
+    sender = F.when(who == 0, "Clerk0@gmail.com").when(who == 4, "bills@sender.example").otherwise(F.concat(F.lit("u"), F.col("o_orderkey") % 9, F.lit("@Co"), who, F.lit(".example")))
+    reply_to = F.when(who == 4, "desk@co9.example")
+    mail = t.orders.select(
+        F.col("o_orderkey").alias("id"),
+        (F.col("o_custkey") % 40).alias("invoice"),
+        F.when(F.col("o_custkey") % 97 != 0, F.col("o_custkey") % 7).alias("conversation"),
+        F.col("o_orderdate").alias("sent"),
+        (F.col("o_orderkey") % 11 == 0).alias("held"),
+        (F.col("o_orderkey") % 13 == 0).alias("cautioned"),
+        (F.col("o_orderstatus") == "F").alias("replying"),
+        (F.col("o_orderpriority") == "5-LOW").alias("file"),
+        L.side_names(sender).alias("names"),
+        L.sides(sender, reply_to, F.array(F.concat(F.lit("ap@co"), whom, F.lit(".example")))).alias("sides"),
+    )
     return L.duplicate_invoices(mail)
 
 

@@ -156,6 +156,53 @@ def test_newcomers_by_rounds_are_those_of_a_walk(spark):
     assert L.newcomers(mail.limit(0)).count() == 0
 
 
+def test_copies_of_invoices_by_side_and_time(spark):
+    import datetime as d
+
+    from ledgerloom.operators import links as L
+
+    day = lambda n: d.datetime(2026, 1, n)
+    rows = [  # id, number, conversation, sent, held, cautioned, replying, file, sender, reply_to, to
+        ("invoice", "7", 1, day(5), False, False, False, True, "a@vendor.example", None, ["ap@own.example"]),
+        ("copy", "7", 1, day(6), False, False, True, True, "a@vendor.example", None, []),
+        ("earlier copy", "7", 1, day(4), False, False, True, True, "a@vendor.example", None, []),
+        ("asked", "7", 1, day(6), False, False, True, False, "clerk@own.example", None, []),
+        ("stranger", "7", 1, day(7), False, False, True, False, "a@vend0r.example", None, []),
+        ("nobody", "7", 1, day(7), False, False, True, False, None, None, []),
+        ("held", "7", 2, day(8), True, False, False, True, "x@y.example", None, []),
+        ("cautioned", "7", None, day(8), False, True, False, True, "x@y.example", None, []),
+        ("other", "8", 1, day(8), False, False, False, True, "x@y.example", None, []),
+        ("service", "9", 3, day(1), False, False, False, True, "bill@service.example", "ar@seller.example", []),
+        ("by service", "9", 3, day(2), False, False, True, False, "spam@service.example", None, []),
+        ("by seller", "9", 3, day(2), False, False, True, False, "b@seller.example", None, []),
+        ("none", None, 3, day(2), False, False, False, True, "b@seller.example", None, []),
+    ]
+    mail = spark.createDataFrame(rows, "id string, invoice string, conversation int, sent timestamp, held boolean, cautioned boolean, replying boolean, file boolean, sender string, reply_to string, `to` array<string>")
+    mail = mail.withColumn("names", L.side_names(F.col("sender"))).withColumn("sides", L.sides(F.col("sender"), F.col("reply_to"), F.col("to")))
+    # held mail counts for the doubtful alone; the copy sent later isn't held against the invoice, the earlier one is
+    got = {r["id"]: r["others"] for r in L.duplicate_invoices(mail).collect()}
+    assert got == {"invoice": 2, "copy": 3, "earlier copy": 3, "stranger": 3, "nobody": 3, "held": 7, "cautioned": 7, "by service": 1}
+
+
+def test_pairs_by_rare_words_lose_none(spark):
+    import random
+
+    from ledgerloom.operators import lookup
+
+    rng = random.Random(3)
+    names = {i: {f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(1, 9))} for i in range(150)}
+    words = spark.createDataFrame([(i, w) for i, s in names.items() for w in s] + [(None, "w1"), (3, None)], "i int, w string")
+    want = {(a, b) for a in names for b in names if a < b and 5 * len(names[a] & names[b]) >= 3 * len(names[a])}
+    assert {tuple(r) for r in R.word_overlap(words, "i", "w", 0.6).collect()} == want and len(want) > 100
+    months = {i: set(rng.sample(range(6), rng.randrange(1, 7))) for i in names}
+    cells = spark.createDataFrame([(i, m, w) for i, s in names.items() for w in s for m in months[i]], "sheet int, month int, value string")
+    alike = {(a, b) for a in names for b in names if a < b and len(months[a] & months[b]) >= 3 and 5 * len(names[a] & names[b]) >= 2 * len(names[a] | names[b])}
+    assert {(r["a"], r["b"]) for r in lookup.families(cells).collect()} == alike and len(alike) >= 50
+    found = lookup.profile(words, ["w"], ["i"]).collect()
+    assert {r["column"]: (r["filled"], list(r["samples"])) for r in found} == {"w": (words.filter("w is not null").count(), sorted(set().union(*names.values()))[:3]), "i": (words.filter("i is not null").count(), [])}
+    assert [r["samples"] for r in lookup.profile(words.limit(0), ["w"], []).collect()] == [[]]
+
+
 def test_sinks_can_run_again(spark, tmp_path):
     from ledgerloom.sources import sinks, text_tables
 
