@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,9 +107,24 @@ def html_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"[ \t\n\r\f]+", " "))
 
 
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What full case folding changes beyond lower case, by Python's Unicode data: letters to letters, in two strings, and letters to several."""
+    changed = {x: x.casefold() for x in map(chr, range(0x110000)) if x.casefold() != x.lower() and x == x.lower()}
+    single = {x: y for x, y in changed.items() if len(y) == 1}
+    return "".join(single), "".join(single.values()), {x: y for x, y in changed.items() if len(y) > 1 and x != "ß"}
+
+
 def fold(c: Column) -> Column:
-    """Lower case for comparison; sharp s is two letters, final sigma and long s are their plain forms."""
-    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    """Text for comparison whatever its case: full Unicode case folding, so that sharp s is two letters, final sigma is sigma and ligatures are their letters.
+
+    Letters that fold to several, sharp s apart, are rare; only texts that hold one are gone through letter by letter.
+    """
+    single, plain, several = _folds()
+    low = F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), single, plain)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    letters = F.transform(F.split(low, ""), lambda x: F.coalesce(table[x], x))
+    return F.when(low.rlike(f"[{''.join(several)}]"), F.array_join(letters, "")).otherwise(low)
 
 
 def number_key(c: Column) -> Column:

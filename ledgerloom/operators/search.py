@@ -48,6 +48,25 @@ def vector_search(df: DataFrame, owner: str, vector: str, asked: Sequence[float]
     return best.join(F.broadcast(stats)).filter((F.col("score") >= least) & (F.col("score") >= F.col("_top") - margin) & out).select(owner, "score")
 
 
+def text_hash(text: Column) -> Column:
+    """What a vector is stored under, so that it is known to be of this very text."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+def index_changes(texts: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(owner, key, state): what an index lacks, holds as it should, or holds too much, as ``todo``, ``current`` or ``stale``.
+
+    texts (owner, key, text) are all parts of the owners asked about; null and
+    blank texts have no part in an index. indexed (owner, key, hash) is the
+    index; a part whose hash isn't that of its text is to do again, one that
+    its owner no longer has is stale, and those of other owners are left alone.
+    """
+    parts = texts.filter("trim(text) <> ''").select("owner", "key", text_hash(F.col("text")).alias("_now"))
+    held = indexed.join(texts.select("owner").distinct(), "owner", "left_semi").select("owner", "key", F.col("hash").alias("_was"))
+    state = F.when(F.col("_now").isNull(), "stale").when(F.col("_now").eqNullSafe(F.col("_was")), "current").otherwise("todo")
+    return parts.join(held, ["owner", "key"], "full").select("owner", "key", state.alias("state"))
+
+
 def keyword_search(df: DataFrame, weighted: dict[str, int], terms: Sequence[str], head: Sequence[str], order: Sequence[Column], limit: int = 20) -> DataFrame:
     """Two stages: weighted containment of up to ten terms over fetches, then whole words in the head count 4 and elsewhere 1; whole-word hits push out the others."""
     terms = [t.lower() for t in terms[:10]]

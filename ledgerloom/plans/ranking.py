@@ -49,11 +49,20 @@ def _(t):
     return S.fuse(words, meaning, "doc_id", limit)
 
 
-@query("rk06_index_changes", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'todo' WHEN l.quality = 0 THEN 'stale' ELSE 'current' END AS state FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
+@query(
+    "rk06_index_changes",
+    "WITH d AS (SELECT doc_id, trim(text, ' ') <> '' AS filled FROM documents), l AS (SELECT d.doc_id, filled, quality, toxic FROM d JOIN labels USING (doc_id)) SELECT doc_id AS owner, 'text' AS key, CASE WHEN quality = 1 THEN 'current' ELSE 'todo' END AS state FROM l WHERE filled "
+    "UNION ALL SELECT doc_id, 'text', 'todo' FROM d WHERE filled AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'text', 'stale' FROM l WHERE filled IS NOT TRUE UNION ALL SELECT doc_id, 'file', 'stale' FROM l WHERE toxic = 1",
+)
 def _(t):
-    own = t.labels.select(F.col("doc_id").alias("l"), "quality")
-    state = F.when(F.col("l").isNull(), "todo").when(F.col("quality") == 0, "stale").otherwise("current")
-    return t.documents.join(own, F.col("doc_id") == F.col("l"), "full").select(F.coalesce("doc_id", "l").alias("doc_id"), state.alias("state"))
+    docs = t.documents.select(F.col("doc_id").alias("owner"), F.lit("text").alias("key"), "text")
+    # an index as labels knew the documents: poor ones had another text, toxic ones a file more; other owners stay out of it
+    known = docs.join(t.labels.select(F.col("doc_id").alias("owner"), "quality", "toxic"), "owner")
+    was = F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat(F.lit("was: "), F.coalesce("text", F.lit(""))))
+    stored = known.select("owner", "key", S.text_hash(was).alias("hash"))
+    files = known.filter("toxic = 1").select("owner", F.lit("file").alias("key"), F.lit("x").alias("hash"))
+    others = known.filter("toxic = 1").select((F.col("owner") + 10**9).alias("owner"), "key", F.lit("x").alias("hash"))
+    return S.index_changes(docs, stored.unionByName(files).unionByName(others))
 
 
 _RULES = [("urgent", r"!!", 90), ("table", r" \| ", 70), ("key", r"(?:token|secret) = ", 85), ("licence", r"[Ll]icensed under", 60)]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import evidence as E
+from ledgerloom.functions import text as T
 from ledgerloom.functions import wildcards as W
 from ledgerloom.operators import scoring
 from ledgerloom.operators import versions as V
@@ -159,3 +160,23 @@ def test_classes_need_whole_words(spark, text, name, kind):
 def test_cells_of_pages(spark, page, cells):
     got = text_tables.html_cells(spark.createDataFrame([(1, page)], "id int, html string"), "id", "html").collect()
     assert sorted((r["table"], r["row"], r["col"], r["text"]) for r in got) == cells
+
+
+def test_fold_is_case_folding_of_every_letter(spark):
+    letters = [chr(i) for i in range(1, 0x30000) if unicodedata.category(chr(i))[0] in "LMN"]
+    words = [f"a{x}b" for x in letters] + ["ΟΔΟΣ", "STRASSE", "Straße", "ﬁne ﬂow", "ǰŉ", "", "İI", "ꭰꮿᏸ"]
+    got = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string").select("w", T.fold(F.col("w")).alias("f")).collect()
+    assert {r["w"]: r["f"] for r in got if r["w"] is not None and r["f"] != r["w"].casefold()} == {}
+    assert [r["f"] for r in got if r["w"] is None] == [None]
+
+
+def test_index_changes_by_hash_of_text(spark):
+    from ledgerloom.operators import search
+
+    texts = [(1, "mail", "as it was"), (1, "mail#2", "changed since"), (2, "mail", ""), (2, "gone", None), (3, "mail", "new")]
+    texts = spark.createDataFrame(texts, "owner int, key string, text string")
+    old = [(1, "mail", "as it was"), (1, "mail#2", "before"), (1, "mail#3", "a section no more"), (2, "gone", "x"), (9, "mail", "not asked about")]
+    indexed = spark.createDataFrame(old, "owner int, key string, text string").select("owner", "key", search.text_hash(F.col("text")).alias("hash"))
+    got = {(r["owner"], r["key"]): r["state"] for r in search.index_changes(texts, indexed).collect()}
+    assert got == {(1, "mail"): "current", (1, "mail#2"): "todo", (1, "mail#3"): "stale", (2, "gone"): "stale", (3, "mail"): "todo"}
+    assert {r["state"] for r in search.index_changes(texts, indexed.limit(0)).collect()} == {"todo"} and search.index_changes(texts.limit(0), indexed).count() == 0
