@@ -160,6 +160,18 @@ def canonical_domain(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"\.+$", ""), r"^www\.", "")
 
 
+def unicode_domain(c: Column) -> Column:
+    """A canonical domain with punycode labels as the letters they stand for and letters with marks composed; labels that aren't valid stay as they are.
+
+    The JVM's reader is called by reflection, which Spark takes for
+    non-deterministic: project it into a column before aggregates use it.
+    """
+    low = canonical_domain(c)
+    idn = lambda to, x: F.try_reflect(F.lit("java.net.IDN"), F.lit(to), x)
+    marked = F.when(low.rlike(r"\p{M}"), F.coalesce(idn("toASCII", low), low)).otherwise(low)
+    return F.when(marked.rlike(r"(^|\.)xn--"), F.coalesce(idn("toUnicode", marked), marked)).otherwise(marked)
+
+
 def same_or_under(c: Column, domain: Column | str) -> Column:
     """Whether a domain is the one given or one of its subdomains."""
     d = F.lit(domain) if isinstance(domain, str) else domain

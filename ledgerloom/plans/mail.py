@@ -41,6 +41,14 @@ def _(t):
     return t.supplier.select("s_suppkey", d.alias("domain"), T.same_or_under(host, "corp.example").alias("under"))
 
 
+@query("sc06_domains_in_letters", "SELECT domain, count(*) AS n FROM (SELECT CASE o_orderkey % 5 WHEN 3 THEN 'xn--99999999' WHEN 4 THEN 'plain' ELSE 'müller' END || (CASE WHEN o_orderkey % 5 < 3 THEN '.c' ELSE '.d' END) || (o_custkey % 50) || '.example' AS domain FROM orders) GROUP BY domain")
+def _(t):
+    k = F.col("o_orderkey") % 5
+    label = F.when(k == 0, "www.XN--MLLER-KVA").when(k == 1, "MÜLLER").when(k == 2, "mu\u0308ller").when(k == 3, "xn--99999999").otherwise("plain")
+    host = F.concat(label, F.when(k < 3, ".c").otherwise(".D"), F.col("o_custkey") % 50, F.lit(".Example."))
+    return t.orders.select(T.unicode_domain(host).alias("domain")).groupBy("domain").agg(F.count("*").alias("n"))
+
+
 @query("sc08_cell_numbers", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 0.0 WHEN 1 THEN round(l_tax * 100, 1) WHEN 2 THEN NULL ELSE -round(l_extendedprice, 2) END AS value FROM lineitem")
 def _(t):
     k = F.col("l_linenumber") % 4

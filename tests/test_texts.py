@@ -180,3 +180,11 @@ def test_index_changes_by_hash_of_text(spark):
     got = {(r["owner"], r["key"]): r["state"] for r in search.index_changes(texts, indexed).collect()}
     assert got == {(1, "mail"): "current", (1, "mail#2"): "todo", (1, "mail#3"): "stale", (2, "gone"): "stale", (3, "mail"): "todo"}
     assert {r["state"] for r in search.index_changes(texts, indexed.limit(0)).collect()} == {"todo"} and search.index_changes(texts.limit(0), indexed).count() == 0
+
+
+@pytest.mark.parametrize(
+    "written, domain",
+    [("XN--MLLER-KVA.de", "müller.de"), ("MÜLLER.de.", "müller.de"), ("mu\u0308ller.de", "müller.de"), ("www.pay.xn--mller-kva.de", "pay.müller.de"), ("xn--99999999.example", "xn--99999999.example"), ("straße.example", "straße.example"), ("plain.example", "plain.example"), ("", ""), (None, None)],
+)
+def test_domains_in_one_spelling(spark, written, domain):
+    assert spark.createDataFrame([(written,)], "d string").select(T.unicode_domain(F.col("d"))).first()[0] == domain
