@@ -59,7 +59,7 @@ def _(t):
 @query("sc09_money", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '(' || format('{:,.2f}', abs(round(c_acctbal, 2))) || ')' ELSE format('{:,.2f}', round(c_acctbal, 2)) END AS shown, CASE WHEN c_custkey % 2 = 0 THEN format('{:,}', c_custkey) ELSE format('{:,.2f}', c_custkey + 0.25) END AS average FROM customer")
 def _(t):
     average = F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("double")).otherwise(F.col("c_custkey") + 0.25)
-    return t.customer.select("c_custkey", T.money(F.round("c_acctbal", 2)).alias("shown"), T.averaged(average).alias("average"))
+    return t.customer.select("c_custkey", T.money(F.col("c_acctbal")).alias("shown"), T.averaged(average).alias("average"))
 
 
 @query("sc11_date_spans", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('year', o_orderdate)::DATE WHEN 1 THEN date_trunc('month', o_orderdate)::DATE ELSE o_orderdate::DATE END AS low, CASE o_orderkey % 3 WHEN 0 THEN (date_trunc('year', o_orderdate) + INTERVAL 1 YEAR - INTERVAL 1 DAY)::DATE WHEN 1 THEN last_day(o_orderdate::DATE) ELSE o_orderdate::DATE END AS high FROM orders")
