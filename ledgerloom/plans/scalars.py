@@ -122,7 +122,7 @@ def _(t):
 
 @query("sc31_csv_guard", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '''' ELSE '' END || round(c_acctbal, 0)::BIGINT AS cell FROM customer")
 def _(t):
-    return t.customer.select("c_custkey", T.csv_safe(F.round("c_acctbal", 0).cast("long").cast("string")).alias("cell"))
+    return t.customer.select("c_custkey", T.csv_safe(F.round("c_acctbal", 0).cast("long").cast("string"), F.col("c_acctbal") < 0).alias("cell"))
 
 
 @query("sc_sqlite_min_max", "SELECT l_orderkey, l_linenumber, least(l_tax, l_discount) AS low, greatest(l_tax, l_discount) AS high FROM lineitem")
