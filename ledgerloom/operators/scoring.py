@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +39,59 @@ def says(text: Column, phrase: str) -> Column:
     return F.coalesce(text.rlike(rf"(?i)(?<!\w)\Q{phrase}\E(?!\w)"), F.lit(False))
 
 
+def _layers(phrases: Sequence[str]) -> list[list[str]]:
+    """The phrases dealt so that none begins another of its layer: at one place of a text, a pattern of a layer then has at most one match."""
+    out: list[list[str]] = []
+    for p in sorted(set(phrases)):
+        fits = next((x for x in out if not any(p.startswith(q) or q.startswith(p) for q in x)), None)
+        out.append([p]) if fits is None else fits.append(p)
+    return out
+
+
+def said(text: Column, phrases: Sequence[str]) -> Column:
+    """array<string>: the phrases, in small letters, that a text has as whole words, whatever its case, each once.
+
+    One pass of the text finds them all, as the pattern only looks ahead: phrases that share words are all found.
+    """
+    found = [F.regexp_extract_all(text, F.lit(r"(?i)(?<!\w)(?=(" + "|".join(rf"\Q{p}\E" for p in x) + r")(?!\w))"), 1) for x in _layers(phrases)]
+    return F.transform(F.array_distinct(F.flatten(F.array(*[F.coalesce(f, F.array().cast("array<string>")) for f in found]))), lambda h: F.lower(h))
+
+
 def classify(text: Column, name: Column, is_file: Column) -> Column:
     """struct(kind, confidence): the class with the most points, null without any.
 
     Points are the weight, 25 more where the file's name has one of the words,
     and 5 for each word found beyond three, up to four times. Words count as whole
     words; in a file's name _ and digits part words too.
+
+    Text and name are read once each, and only the classes of what was found
+    there are looked at; each step's result is bound by a transform, so that it is
+    worked out once.
     """
     file = F.regexp_replace(F.coalesce(name, F.lit("")), r"[_\d]+", " ")
-    hits = []
-    for order, (kind, (weight, words)) in enumerate(RULES.items()):
-        found = sum(((says(text, w) | says(file, w)).cast("int") for w in words), F.lit(0))
-        named = sum((says(file, w).cast("int") for w in words), F.lit(0)) > 0
-        points = weight + F.when(named, 25).otherwise(0) + 5 * F.least(F.lit(4), F.greatest(F.lit(0), found - 3))
-        hits.append(F.when(found > 0, F.struct(points.alias("points"), F.lit(-order).alias("at"), F.lit(kind).alias("kind"))))
-    best = F.array_max(F.array_compact(F.array(*hits)))
+    phrases = [w for _, words in RULES.values() for w in words]
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    weights = F.array(*[F.lit(weight) for weight, _ in RULES.values()])
+    kinds = F.array(*[F.lit(kind) for kind in RULES])
     top, base = F.when(is_file, 0.98).otherwise(0.9), F.when(is_file, 0.35).otherwise(0.3)
-    return F.when(best.isNotNull(), F.struct(best["kind"].alias("kind"), F.least(top, base + best["points"] / 180).alias("confidence")))
+
+    def places(found: Column) -> Column:
+        """The class of each phrase found, by its place; a phrase of several classes counts for each."""
+        of = table([(w, ",".join(str(at) for at, (_, words) in enumerate(RULES.values()) if w in words)) for w in dict.fromkeys(phrases)])
+        return F.split(F.array_join(F.transform(found, lambda p: F.try_element_at(of, p)), ","), ",").cast("array<int>")
+
+    def best(hits: Column) -> Column:
+        every = F.transform(F.array(F.struct(places(F.array_union(hits["text"], hits["file"])).alias("all"), F.when(F.size(hits["file"]) > 0, places(hits["file"])).otherwise(F.array().cast("array<int>")).alias("file"))), ranked)
+        return F.when((F.size(hits["text"]) > 0) | (F.size(hits["file"]) > 0), F.get(every, F.lit(0)))
+
+    def ranked(at: Column) -> Column:
+        n = lambda k: F.size(F.filter(at["all"], lambda x: x == k))
+        more = lambda k: F.when(F.array_contains(at["file"], k), 25).otherwise(0)
+        return F.array_max(F.transform(F.array_distinct(at["all"]), lambda k: F.struct((F.get(weights, k) + more(k) + 5 * F.least(F.lit(4), F.greatest(F.lit(0), n(k) - 3))).alias("points"), (-k).alias("at"))))
+
+    hits = F.array(F.struct(said(text, phrases).alias("text"), said(file, phrases).alias("file")))
+    told = lambda b: F.when(b.isNotNull(), F.struct(F.get(kinds, -b["at"]).alias("kind"), F.least(top, base + b["points"] / 180).alias("confidence")))
+    return F.get(F.transform(F.transform(hits, best), told), F.lit(0))
 
 
 #: Points of a class and of a flag.
