@@ -38,13 +38,22 @@ def _blocks(lines: Column, name: str) -> Column:
     return F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(rf"(?is)BEGIN:{name}\n(.*?)\nEND:{name}\b"), 1)
 
 
-def zone_parts(files: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tzid, standard, starts, before, after, rule) of the STANDARD and DAYLIGHT parts of the zones that files define; of a zone defined twice, the first."""
+def zone_texts(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, tzid, _z): the text of each zone that files define; of a zone defined twice, the first."""
     zones = files.select(key, F.posexplode(_blocks(unfolded(F.col(text)), "VTIMEZONE")).alias("_i", "_z"))
     zones = zones.withColumn("tzid", field(F.split("_z", "\n"), "TZID")).filter("tzid is not null")
-    first = zones.groupBy(key, "tzid").agg(F.min_by("_z", "_i").alias("_z"))
+    return zones.groupBy(key, "tzid").agg(F.min_by("_z", "_i").alias("_z"))
+
+
+def zone_parts(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, tzid, standard, starts, before, after, rule) of the STANDARD and DAYLIGHT parts of the zones that files define; of a zone defined twice, the first."""
+    return parts_of(zone_texts(files, key, text), key)
+
+
+def parts_of(texts: DataFrame, key: str) -> DataFrame:
+    """zone_parts() of zones (key, tzid, _z) whose texts are cut out already."""
     part = lambda name: F.transform(_blocks(F.split("_z", "\n"), name), lambda b: F.struct(F.lit(name == "STANDARD").alias("standard"), F.split(b, "\n").alias("x")))
-    each = first.select(key, "tzid", F.explode(F.concat(part("STANDARD"), part("DAYLIGHT"))).alias("p")).select(key, "tzid", "p.*")
+    each = texts.select(key, "tzid", F.explode(F.concat(part("STANDARD"), part("DAYLIGHT"))).alias("p")).select(key, "tzid", "p.*")
     x = F.col("x")
     return each.select(key, "tzid", "standard", stamp(field(x, "DTSTART")).alias("starts"), offset_seconds(field(x, "TZOFFSETFROM")).alias("before"), offset_seconds(field(x, "TZOFFSETTO")).alias("after"), field(x, "RRULE").alias("rule")).filter("after is not null")
 
@@ -115,6 +124,7 @@ def meetings(files: DataFrame, key: str, text: str, low: int, high: int, default
     """(key, uid, zone, starts, ends, all_day) of every VEVENT, in UTC; times with Z as they are, days from midnight to midnight of the default zone.
 
     Without DTEND, DURATION (days, hours and minutes) tells the end, else a day counts to its end and a time ends as it starts.
+    Programs write the same zone into all their files: each text of a zone is expanded once, and files meet it by its digest.
     """
     lines = unfolded(F.col(text))
     each = files.select(key, F.explode(_blocks(lines, "VEVENT")).alias("_b")).withColumn("_x", F.split("_b", "\n"))
@@ -130,7 +140,14 @@ def meetings(files: DataFrame, key: str, text: str, low: int, high: int, default
     length = F.when(field(x, "DURATION").isNotNull(), span("W") * 604800 + span("D") * 86400 + span("H") * 3600 + span("M") * 60)
     out = each.select(key, field(x, "UID").alias("uid"), time("DTSTART").alias("_s"), time("DTEND").alias("_e"), length.alias("_length"))
     out = out.select(key, "uid", F.col("_s.zone").alias("zone"), F.col("_s.at").alias("_from"), F.col("_e.at").alias("_to"), F.coalesce("_e.zone", "_s.zone").alias("_to_zone"), F.coalesce("_s.day", F.lit(False)).alias("all_day"), "_length")
-    known = transitions(zone_parts(files, key, text), key, low, high)
-    out = in_utc(in_utc(out, known, key, "_from", "zone", "starts", default), known, key, "_to", "_to_zone", "_ends", default)
+    texts = zone_texts(files.filter(F.col(text).rlike("(?i)BEGIN:VTIMEZONE")), key, text).withColumn("_d", F.sha2("_z", 256))
+    known = transitions(parts_of(texts.groupBy("_d", "tzid").agg(F.first("_z").alias("_z")), "_d"), "_d", low, high)
+
+    def timed(rows: DataFrame, local: str, zone: str, made: str) -> DataFrame:
+        own = texts.select(F.col(key).alias("_tk"), F.col("tzid").alias("_tn"), "_d")
+        at = rows.join(own, F.col(key).eqNullSafe(F.col("_tk")) & (F.col(zone) == F.col("_tn")), "left").drop("_tk", "_tn")
+        return in_utc(at, known, "_d", local, zone, made, default).drop("_d")
+
+    out = timed(timed(out, "_from", "zone", "starts"), "_to", "_to_zone", "_ends")
     rest = F.coalesce("_length", F.when(F.col("all_day"), 86400).otherwise(0))
     return out.select(key, "uid", "zone", "starts", F.coalesce("_ends", F.timestamp_seconds(F.unix_seconds("starts") + rest)).alias("ends"), "all_day")
