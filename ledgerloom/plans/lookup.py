@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import lookup as L
+from ..operators import relational as R
 from ..operators import tables as O
 from ..registry import query
 
@@ -166,7 +167,7 @@ def _(t):
 @query("src23_tables_in_text", "SELECT l_orderkey, 1 AS \"table\", r::INT AS \"row\", label, value FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r, l_partkey::VARCHAR AS Part, CASE WHEN l_linenumber % 3 = 0 AND row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) > 1 THEN NULL ELSE l_returnflag END AS Flag, l_suppkey::VARCHAR AS Supp FROM lineitem) x, LATERAL (SELECT unnest(['Part', 'Supp', 'Flag']) AS label, unnest([Part, Supp, Flag]) AS value)")
 def _(t):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    at = t.lineitem.withColumn("r", F.row_number().over(w))
+    at = R.dealt(t.lineitem, "l_orderkey").withColumn("r", F.row_number().over(w))
     short = (F.col("l_linenumber") % 3 == 0) & (F.col("r") > 1)
     line = F.concat(F.lit("Part: "), "l_partkey", F.lit(" | Supp: "), "l_suppkey", F.when(short, "").otherwise(F.concat(F.lit(" | Flag: "), "l_returnflag")))
     texts = at.select("l_orderkey", "r", line.alias("line")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("r", "line"))).alias("x"))
