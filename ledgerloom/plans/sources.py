@@ -76,7 +76,7 @@ def _(t):
 
 @query("snk01_replaced_children", "SELECT l_orderkey AS parent, l_linenumber AS line, l_returnflag AS flag FROM lineitem WHERE l_orderkey % 3 <> 0 OR l_returnflag = 'R' UNION ALL SELECT o_orderkey, 0, 'new' FROM orders WHERE o_orderkey % 3 = 0")
 def _(t):
-    stored = t.lineitem.select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_returnflag").alias("flag"))
+    stored = R.dealt(t.lineitem, "l_orderkey").select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_returnflag").alias("flag"))
     new = t.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("parent"), F.lit(0).alias("line"), F.lit("new").alias("flag"))
     return sinks.replace_children(stored, new, "parent", "flag = 'R'")
 

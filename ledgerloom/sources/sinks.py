@@ -25,9 +25,8 @@ def upsert_table(new: DataFrame, path: str, version: int, keys: Sequence[str], k
 def replace_children(stored: DataFrame, new: DataFrame, parent: str, finished: str) -> DataFrame:
     """Children of the parents in ``new`` are replaced; those marked finished stay."""
     own = new.select(F.col(parent).alias("_p")).distinct()
-    rest = stored.join(own, stored[parent] == own["_p"], "left_anti")
-    done = stored.join(own, stored[parent] == own["_p"], "left_semi").filter(finished)
-    return rest.unionByName(done).unionByName(new)
+    kept = stored.join(own, stored[parent] == own["_p"], "left").filter(F.col("_p").isNull() | F.expr(finished)).select(*stored.columns)
+    return kept.unionByName(new)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
