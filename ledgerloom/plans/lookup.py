@@ -51,7 +51,7 @@ _TOTALS = "WITH l AS (SELECT l_orderkey, l_linenumber::BIGINT AS at, round(l_ext
 @query("ag23_totals_by_arithmetic", f"{_TOTALS} SELECT l_orderkey, l_orderkey % 3 <> 0 AND count(*) >= 2 OR l_orderkey % 6 = 0 AS is_total FROM l GROUP BY l_orderkey")
 def _(t):
     r = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
-    lines = t.lineitem.withColumn("r", r).filter("r = 1").select("l_orderkey", F.col("l_linenumber").cast("long").alias("at"), F.lit("item").alias("label"), F.round("l_extendedprice", 2).alias("v"), F.round("l_quantity", 2).alias("q"))
+    lines = R.dealt(t.lineitem, "l_orderkey").withColumn("r", r).filter("r = 1").select("l_orderkey", F.col("l_linenumber").cast("long").alias("at"), F.lit("item").alias("label"), F.round("l_extendedprice", 2).alias("v"), F.round("l_quantity", 2).alias("q"))
     wrong = F.when(F.col("l_orderkey") % 3 == 0, 5.0).otherwise(0.0)
     label = F.when(F.col("l_orderkey") % 6 == 0, "Total").otherwise("")
     last = lines.groupBy("l_orderkey").agg(F.lit(99).cast("long").alias("at"), F.round(F.sum("v"), 2).alias("v"), F.round(F.sum("q"), 2).alias("q"))
