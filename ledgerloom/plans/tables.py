@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import relational as R
 from ..operators import tables as O
 from ..operators.guard import Refused, guarded
 from ..registry import query
@@ -10,7 +11,7 @@ from ..registry import query
 
 @query("ag22_subtotals_hold", "SELECT count(*) AS totals, count(*) AS holding FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
 def _(t):
-    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("long").alias("at"), F.round("l_extendedprice", 2).alias("v"), F.lit(False).alias("total"))
+    lines = R.dealt(t.lineitem, "l_orderkey").select("l_orderkey", F.col("l_linenumber").cast("long").alias("at"), F.round("l_extendedprice", 2).alias("v"), F.lit(False).alias("total"))
     sums = lines.groupBy("l_orderkey").agg(F.lit(1 << 40).cast("long").alias("at"), F.round(F.sum("v"), 2).alias("v"), F.lit(True).alias("total"))
     held = O.subtotals(lines.unionByName(sums), "v", F.col("total"), ["at", "v"], ["l_orderkey"])
     return held.agg(F.count("*").alias("totals"), F.count_if("holds").alias("holding"))
