@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import stored
+
 _SHEET = r"(?:(?:'((?:[^']|'')+)'|([A-Za-z_][A-Za-z0-9_.]*))!)?"
 _CELL = r"\$?([A-Za-z]{1,3})\$?([0-9]{1,7})"
 #: One cell or a range of cells, or whole columns or rows; a sheet may stand before.
@@ -63,7 +65,7 @@ def direct_precedents(cells: DataFrame) -> DataFrame:
 
 def precedents(cells: DataFrame, depth: int = 2) -> DataFrame:
     """Direct precedents and theirs, down to ``depth``, each with the least depth at which a cell depends on it. Circles end, as a cell keeps its least depth."""
-    edges = direct_precedents(cells)
+    edges = stored(direct_precedents(stored(cells)))  # each is read several times below
     start = ["book", "sheet", "row", "col"]
     reached = edges.withColumn("depth", F.lit(1))
     level = reached
