@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .relational import stored
 
 SUPPORT = ("stated", "percent", "worked out", "unsupported")
 
@@ -36,7 +37,7 @@ def supported(answers: DataFrame, sources: DataFrame, key: str = "answer", text:
     answer, never pairs of figures. Sources of several rows are read together.
     """
     claims, known = _figures(answers, key, text), _figures(sources, key, source).select(key, F.col("value").alias("_v")).distinct()
-    claims = claims.withColumn("tolerance", F.least("tolerance", F.lit(width)))
+    claims, known = stored(claims.withColumn("tolerance", F.least("tolerance", F.lit(width)))), stored(known)  # texts are read for figures once
     stated = _near(claims, known, F.col("value"), key, width).select(key, "value", F.lit("stated").alias("support"))
     share = _near(claims.filter("percent").withColumn("tolerance", F.col("tolerance") / 100), known, F.col("value") / 100, key, width / 100).select(key, "value", F.lit("percent").alias("support"))
     parts = claims.join(known.withColumnRenamed("_v", "_x"), key)
