@@ -48,10 +48,13 @@ def _(t):
     + ", ".join(f"('{k}', {w}, {len(words)}::BIGINT)" for k, (w, words) in S.RULES.items()) + ") AS v(kind, weight, words) LEFT JOIN b ON b.kind = v.kind GROUP BY ALL",
 )
 def _(t):
-    """The classes with their weights, and how many messages each of them gets."""
+    """The classes with their weights, and how many messages each of them gets. Messages of the same words are counted first and told a class once."""
     text = F.concat(_picked(_TEXT, F.col("o_orderkey")), F.when(F.col("o_custkey") % 4 == 0, " due date net 30").otherwise(""))
     name = _picked(_NAME, F.col("o_custkey"))
-    counts = t.orders.select(S.classify(text, name, name != "")["kind"].alias("_kind")).groupBy("_kind").agg(F.count("*").alias("_n"))
+    messages = t.orders.select(text.alias("text"), name.alias("name")).groupBy("text", "name").agg(F.count("*").alias("n"))
+    # exploded, as in rk07_classes: the join's filter on the class would work it out again
+    told = messages.select(F.explode(F.array_compact(F.array(S.classify(F.col("text"), F.col("name"), F.col("name") != "")))).alias("c"), "n")
+    counts = told.groupBy(F.col("c.kind").alias("_kind")).agg(F.sum("n").alias("_n"))
     rules = t.spark.createDataFrame([(k, w, len(words)) for k, (w, words) in S.RULES.items()], "kind string, weight int, words bigint")
     return rules.join(counts, F.col("kind") == F.col("_kind"), "left").select("kind", "weight", "words", F.coalesce("_n", F.lit(0)).alias("messages"))
 
