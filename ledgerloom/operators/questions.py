@@ -51,28 +51,47 @@ def named_columns(words: DataFrame, headings: DataFrame) -> DataFrame:
     return named.select("question", "doc", "table", F.size(F.filter("_h", lambda x: ~wider(x))).alias("columns"))
 
 
-def named_rows(words: DataFrame, cells: DataFrame) -> DataFrame:
+def named_rows(words: DataFrame, cells: DataFrame, often: int = 64) -> DataFrame:
     """(question, doc, table, named, score) of (doc, table, row, value, is_total).
 
     named: words of the question in cells that are no figures. score: of the best
     row, 1 for each word and 2 for a word with a digit, half a point less for a
     total row. Words that all rows of a table have
     count once for the table, so that they don't meet every row.
+
+    Of the other words, one that more than ``often`` questions of a document ask
+    for and more than ``often`` rows of a table have is common there. Common words
+    meet as sets, each set of a table's rows and each set of a document's questions
+    once; a question and a row meet by other words only, which makes at most
+    ``often`` pairs for each word of a question or row.
     """
     each = cells.select("doc", "table", "row", "is_total", T.parse_amount(F.col("value")).isNull().alias("_text"), F.explode(_words(F.col("value"))).alias("word"))
     index = each.groupBy("doc", "table", "row", "word").agg(F.bool_or("_text").alias("_text"), F.first("is_total").alias("is_total"))
     rows = cells.groupBy("doc", "table").agg(F.countDistinct("row").alias("_rows"))
     spread = index.groupBy("doc", "table", "word").agg(F.count("*").alias("_n"), F.bool_or("_text").alias("_text"), F.bool_or("is_total").alias("_some"), F.bool_and("is_total").alias("_all")).join(rows, ["doc", "table"])
-    points = F.when(F.col("word").rlike("[0-9]"), 2.0).otherwise(1.0)
+    worth = lambda word: F.when(word.rlike("[0-9]"), 2.0).otherwise(1.0)
+    points = worth(F.col("word"))
     everywhere = (F.col("_n") == F.col("_rows")) & (~F.col("_some") | F.col("_all"))
     of_table = words.join(spread, ["doc", "word"]).groupBy("question", "doc", "table").agg(
         F.count_if("_text").cast("int").alias("named"), F.sum(F.when(everywhere, points).otherwise(0.0)).alias("_base"), F.max(F.when(everywhere & F.col("_all"), 0.5).otherwise(0.0)).alias("_less")
     )
-    rare = spread.filter(~everywhere).select("doc", "table", "word")
-    met = words.join(index.join(rare, ["doc", "table", "word"]), ["doc", "word"]).groupBy("question", "doc", "table", "row").agg(F.sum(points).alias("_s"), F.first("is_total").alias("is_total"))
-    best = met.groupBy("question", "doc", "table").agg(F.max(F.struct((F.col("_s") - F.when(F.col("is_total"), 0.5).otherwise(0.0)).alias("s"))).alias("_b"))
+    asked = words.groupBy("doc", "word").agg(F.count("*").alias("_asked"))
+    rare = spread.filter(~everywhere).join(asked, ["doc", "word"]).select("doc", "table", "word", (F.least("_n", "_asked") > often).alias("_common"))
+    of_row = index.join(rare, ["doc", "table", "word"]).groupBy("doc", "table", "row").agg(
+        F.array_sort(F.collect_set(F.when(F.col("_common"), F.col("word")))).alias("_has"), F.collect_set(F.when(~F.col("_common"), F.col("word"))).alias("_own"), F.first("is_total").alias("is_total")
+    )
+    of_question = words.join(rare.filter("_common").select("doc", "word").distinct(), ["doc", "word"]).groupBy("question", "doc").agg(F.array_sort(F.collect_set("word")).alias("_asks"))
+    less = F.when(F.col("is_total"), 0.5).otherwise(0.0)
+    sets = of_question.select("doc", "_asks").distinct().withColumn("word", F.explode("_asks"))
+    kinds = of_row.filter(F.size("_has") > 0).select("doc", "table", "_has", "is_total").distinct().withColumn("word", F.explode("_has"))
+    by_sets = sets.join(kinds, ["doc", "word"]).groupBy("doc", "_asks", "table", "_has", "is_total").agg(F.sum(points).alias("_s")).groupBy("doc", "_asks", "table").agg(F.max(F.col("_s") - less).alias("s"))
+    pairs = words.join(of_row.withColumn("word", F.explode("_own")), ["doc", "word"]).groupBy("question", "doc", "table", "row").agg(F.sum(points).alias("_s"), F.first("_has").alias("_has"), F.first("is_total").alias("is_total"))
+    common = F.coalesce(F.aggregate(F.array_intersect("_asks", "_has"), F.lit(0.0), lambda s, w: s + worth(w)), F.lit(0.0))
+    by_row = pairs.join(of_question, ["question", "doc"], "left").select("question", "doc", "table", (F.col("_s") + common - less).alias("s"))
+    met = of_question.join(by_sets, ["doc", "_asks"]).select("question", "doc", "table", "s").unionByName(by_row)
+    best = met.groupBy("question", "doc", "table").agg(F.max("s").alias("_b"))
     both = of_table.join(best, ["question", "doc", "table"], "left")
-    score = F.col("_base") + F.when(F.col("_b").isNull(), -F.col("_less")).otherwise(F.col("_b")["s"])
+    score = F.col("_base") + F.coalesce("_b", -F.col("_less"))
     return both.select("question", "doc", "table", "named", score.alias("score"))
 
 
