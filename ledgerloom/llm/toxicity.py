@@ -9,7 +9,8 @@ starts as the smoothed log odds of the label among texts that hold the bucket.
 For scoring, embedding and filters are multiplied out into tables per hash and
 offset; a text is scored by adding up table rows, with no Python step per word.
 
-All labelled texts are learnt. They are stored once, as bucket pairs, in parts of
+All labelled texts are learnt. Marks of their ids keep the others out of the one
+shuffle that deals texts and labels by id; they are stored once, as bucket pairs, in parts of
 about ``part_rows`` texts whose number grows with the table. The log odds come from
 exact counts over all parts. A table of one part is fitted by the task that holds
 it; with several parts, in each of ``rounds`` every task starts from the same
@@ -29,7 +30,7 @@ labels, or labels of one class, the score is the constant share of label 1
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Marks, Scratch, tidy
 from .text import PLAIN, chunks
 
 BITS = 18
@@ -70,7 +71,14 @@ class Network:
 
     def tables(self) -> list[np.ndarray]:
         """Per offset, (2, BUCKETS, filters that reach it)."""
-        return [np.concatenate([np.einsum("hbd,df->hbf", self.embedding, w[j]) for w in self.filters if len(w) > j], axis=2).astype(np.float32) for j in range(max(WIDTHS))]
+        out = []
+        for j in range(max(WIDTHS)):
+            reach = [w[j] for w in self.filters if len(w) > j]
+            out.append(np.empty((2, BUCKETS, FILTERS * len(reach)), np.float32))
+            for k, w in enumerate(reach):
+                for h in range(2):  # filled in place: all in doubles at once would be six times the memory
+                    out[-1][h, :, k * FILTERS : (k + 1) * FILTERS] = self.embedding[h] @ w
+        return out
 
     def pooled(self, tables: list[np.ndarray], ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """(texts, filters): the largest value of each filter, at least 0."""
@@ -211,20 +219,31 @@ def best_threshold(bins: list[tuple[int, int, float, float]]) -> float:
     return float((bins[k][2] + (bins[k + 1][3] if k + 1 < len(bins) else 0.0)) / 2)
 
 
-_SUMS = [f"d{i}" for i in range(DIM)]
-_ROWS = "at int, n double, " + ", ".join(f"{d} double" for d in _SUMS)
+def _sums(width: int) -> list[str]:
+    return [f"d{i}" for i in range(width)]
 
 
 def _rows(at: np.ndarray, n: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    wide = np.zeros((len(at), DIM))
-    wide[:, : values.shape[1]] = values
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.float64()), *[pa.array(np.ascontiguousarray(c)) for c in wide.T]], ["at", "n", *_SUMS])
+    columns = [np.ascontiguousarray(c, np.float32) for c in (n, *values.T)]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *map(pa.array, columns)], ["at", "n", *_sums(values.shape[1])])
 
 
-def _summed(parts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of all tasks added up by place: at most one for each bucket and dense parameter, whatever the table."""
-    got = parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)]).toArrow()
-    return got["at"].to_numpy(), got["n"].to_numpy(), np.stack([got[d].to_numpy() for d in _SUMS], axis=1)
+def _summed(texts: DataFrame, found: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What all tasks found, added up by place: at most one row for each bucket and dense parameter, whatever the table; its shuffle files go at once."""
+    names = ["n", *_sums(width)]
+    with tidy(texts.sparkSession):
+        parts = texts.mapInArrow(found, "at int, " + ", ".join(f"{c} float" for c in names))
+        got = parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    return got["at"].to_numpy(), got["n"].to_numpy(), np.stack([got[d].to_numpy() for d in names[1:]], axis=1)
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """The two buckets of each word side by side, so that a word that comes again is eight equal bytes to the file's codec."""
+    return np.ascontiguousarray(ids.T, np.uint32).tobytes()
+
+
+def unpacked(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(data.as_py(), np.uint32).reshape(-1, 2).T
 
 
 def _pools(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -232,7 +251,7 @@ def _pools(batches: Iterator[pa.RecordBatch], max_words: int) -> Iterator[tuple[
     texts, y, words = [], [], 0
     for batch in batches:
         for data, label in zip(batch.column("words"), batch.column("_label")):
-            t = np.frombuffer(data.as_py(), np.uint32).reshape(2, -1)
+            t = unpacked(data)
             if texts and words + t.shape[1] > max_words:
                 yield texts, np.array(y, float)
                 texts, y, words = [], [], 0
@@ -265,7 +284,7 @@ def fit_parts(texts: DataFrame, parts: int, max_words: int, rounds: int = 3, see
         at = np.flatnonzero(flat.any(axis=0))
         yield _rows(np.append(at, -1), np.append(flat[0, at], n[0]), np.append(flat[1, at], n[1])[:, None])
 
-    at, first, rest = _summed(texts.mapInArrow(counted, _ROWS))
+    at, first, rest = _summed(texts, counted, 1)
     both = np.zeros((2, 2 * BUCKETS))
     both[:, at[at >= 0]] = first[at >= 0], rest[at >= 0, 0]
     n = (float(first[at < 0].sum()), float(rest[at < 0, 0].sum()))
@@ -286,10 +305,11 @@ def fit_parts(texts: DataFrame, parts: int, max_words: int, rounds: int = 3, see
                 change = (mine.embedding - start.embedding).reshape(-1, DIM)
                 at = np.flatnonzero(change.any(axis=1))
                 yield _rows(at, np.full(len(at), count), change[at] * float(count))
-                dense = _dense(mine)
-                yield _rows(-1 - np.arange(len(dense)), np.full(len(dense), count), dense[:, None] * count)
+                dense = np.zeros((len(_dense(mine)), DIM))
+                dense[:, 0] = _dense(mine) * count
+                yield _rows(-1 - np.arange(len(dense)), np.full(len(dense), count), dense)
 
-        at, weight, sums = _summed(texts.mapInArrow(learnt, _ROWS))
+        at, weight, sums = _summed(texts, learnt, DIM)
         shipped.destroy()
         up, dense = at >= 0, np.zeros((at < 0).sum())
         dense[-1 - at[~up]] = sums[~up, 0] / weight[~up]
@@ -305,18 +325,24 @@ def train(
     """Learns from all labelled texts, in parts of about ``part_rows`` texts and pools of ``max_words`` words."""
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     one = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    parts = max(1, -(-one.count() // part_rows))
+    with tidy(docs.sparkSession):
+        parts = max(1, -(-one.count() // part_rows))
+        marks = Marks(one.select(F.xxhash64("_id").alias("h")), "h")
     lang = F.col(f"`{lang_col}`") if lang_col else F.lit(None).cast("string")
 
     def packed(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in it:
             found = [i[:, a:b] for i, bounds in buckets(texts) for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.array([f.astype(np.uint32).tobytes() for f in found], pa.binary())
-
-    got = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), lang.alias("_lang")).join(one, "_id")
-    got = got.repartition(parts, "_id").groupBy("_id").agg(F.max("_label").alias("_label"), F.max(F.struct("_text", "_lang")).alias("_x"))
+            yield pa.array([pack(f) for f in found], pa.binary())
+
+    got = docs.select(F.col(f"`{id_col}`").alias("_id"), F.struct(F.col(f"`{text_col}`").alias("_text"), lang.alias("_lang")).alias("_x"))
+    if got.schema["_id"].dataType == one.schema["_id"].dataType:  # else equal ids may differ in their hashes
+        got = got.filter(marks.has(F.xxhash64("_id")))
+    # texts and labels are dealt together: a join ahead of the deal into parts would deal the texts twice
+    got = got.unionByName(one, allowMissingColumns=True).repartition(parts, "_id").groupBy("_id").agg(F.max("_label").alias("_label"), F.max("_x").alias("_x"))
+    got = got.filter("_id is not null and _label is not null and _x is not null")
     scratch = Scratch(docs.sparkSession)
-    texts = scratch(got.select((F.pmod(F.xxhash64("_id"), F.lit(5)) == 0).alias("_aside"), "_label", F.col("_x._lang").alias("_lang"), F.arrow_udf(packed, "binary")(F.col("_x._text")).alias("words")))
+    texts = scratch(got.select((F.pmod(F.xxhash64("_id"), F.lit(5)) == 0).alias("_aside"), "_label", F.col("_x._lang").alias("_lang"), F.arrow_udf(packed, "binary")(F.col("_x._text")).alias("words")), "zstd")
     found = _thresholds(fit_parts(texts.filter("not _aside").select("words", "_label"), parts, max_words), texts.filter("_aside"), min_lang_rows)
     net = replace(fit_parts(texts.select("words", "_label"), parts, max_words), thresholds=found)
     scratch.clear()
@@ -333,12 +359,13 @@ def _thresholds(net: Network, texts: DataFrame, min_rows: int) -> dict[str | Non
         model = shipped.value
         tables = model.tables()
         for batch in it:
-            each = [np.frombuffer(data.as_py(), np.uint32).reshape(2, -1).astype(np.int64) for data in batch]
+            each = [unpacked(data).astype(np.int64) for data in batch]
             z = [float((model.pooled(tables, t, np.array([0, t.shape[1]])) @ model.out + model.bias)[0]) for t in each]
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
 
     s = texts.select("_lang", "_label", F.arrow_udf(told, "double")(F.col("words")).alias("s"))
-    bins = s.groupBy("_lang", F.floor(F.col("s") * 10_000).alias("b")).agg(F.count("*").alias("n"), F.sum("_label").alias("hits"), F.min("s").alias("low"), F.max("s").alias("high")).collect()
+    with tidy(texts.sparkSession):
+        bins = s.groupBy("_lang", F.floor(F.col("s") * 10_000).alias("b")).agg(F.count("*").alias("n"), F.sum("_label").alias("hits"), F.min("s").alias("low"), F.max("s").alias("high")).collect()
     every = {}
     for r in bins:
         n, hits, low, high = every.get(r["b"], (0, 0, 1.0, 0.0))
