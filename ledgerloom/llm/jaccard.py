@@ -228,8 +228,8 @@ class _Run:
         named = self.scratch(named)
         ids = self.scratch(self.nodes.join(named, "node", "left_semi").select(F.xxhash64("least").alias("h")))
         marks = Marks(ids, "h")
-        made = self.docs.filter(marks.has(F.xxhash64("_id"))).select(_mapped(F.col("_text"), "node bigint, body binary", _bodies(self.join)).alias("_s"))
-        self.bodies = self.scratch(made.select("_s.*").join(named, "node", "left_semi").dropDuplicates(["node"]))
+        made = self.docs.select(marks.having(F.xxhash64("_id"), F.col("_text"), "struct<node:bigint,body:binary>", _bodies(self.join)).alias("_s"))
+        self.bodies = self.scratch(made.filter("_s.marked").select("_s.value.*").join(named, "node", "left_semi").dropDuplicates(["node"]))
         marks.shipped.unpersist()
 
     def link_pairs(self, pairs: DataFrame) -> bool:
@@ -346,9 +346,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jo
     run.scratch.clear()
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own")
     all_rows = docs.select(own, F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    all_rows = all_rows.withColumn("_marked", marks.has(F.xxhash64("_id")))
-    sure = all_rows.filter("not _marked").select("_own")
-    asked = all_rows.filter("_marked").select("_own", "_id", "_text", _mapped(F.col("_text"), "bigint", _nodes(join)).alias("_node"))
+    sure = all_rows.filter(~marks.has(F.xxhash64("_id"))).select("_own")
+    asked = all_rows.withColumn("_s", marks.having(F.xxhash64("_id"), F.col("_text"), "bigint", _nodes(join)))
+    asked = asked.filter("_s.marked").select("_own", "_id", "_text", F.col("_s")["value"].alias("_node"))
     told = asked.join(lost, F.col("_node").eqNullSafe(F.col("_lost")) & F.col("_id").eqNullSafe(F.col("_lost_id")), "left")
     alone = told.filter("kept is null").select("_own")
     one = told.filter("kept").groupBy("_id", "_node").agg(F.min_by("_own", F.xxhash64("_text")).alias("_own")).select("_own")

@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, jaccard, licenses, mixing, packing, quality_model, quality_rules, queries, secrets, toxicity, warc
+from ledgerloom.llm import decontam, jaccard, licenses, mixing, packing, quality_model, quality_rules, queries, secrets, store, toxicity, warc
 from ledgerloom.llm.text import PLAIN, chunks
 from oracle import connection, same
 
@@ -218,6 +219,42 @@ def test_jaccard_keeps_texts_of_null_and_repeated_ids(spark):
     assert Counter(map(tuple, kept)) == Counter(want)
 
 
+def workers_of(df):
+    """The most Python workers that one task of a plan has at once: Python nodes below each other without an exchange between."""
+    most, above = 0, []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(re.match(r"[\s:+|*()0-9-]*", line)[0])
+        above = [(d, n) for d, n in above if d < depth]
+        n = above[-1][1] if above else 0
+        n = 0 if "Exchange" in line.split("[")[0] else n + bool(re.search(r"ArrowEvalPython|InArrow|InPandas|BatchEvalPython", line.split("[")[0]))
+        above.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_jaccard_takes_one_python_worker_a_task(spark, monkeypatch):
+    """Executors keep all workers that once ran together, so two for each task are twice the memory."""
+    rows = [(i, " ".join(f"w{i // 3}x{j}" for j in range(40)) + f" end{i % 3 % 2}") for i in range(60)]
+    seen, write = [], store._write
+    monkeypatch.setattr(store, "_write", lambda df, *how: seen.append(workers_of(df)) or write(df, *how))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = jaccard.keep_one(docs, join=jaccard.Join(k=5, t=80))
+    assert [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == list(range(0, 60, 3))
+    assert max(seen + [workers_of(kept)]) == 1
+    twice = F.arrow_udf(lambda x: x, "string")
+    assert workers_of(docs.select(twice("text").alias("t")).filter("t is not null").withColumn("u", twice(F.upper("t")))) > 1
+
+
+def test_marked_rows_alone_are_worked_on(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("text"))
+    marks = store.Marks(rows.filter("id % 10 = 0").select(F.xxhash64("id").alias("h")), "h")
+    made = rows.coalesce(2).select("id", marks.having(F.xxhash64("id"), F.col("text"), "string", lambda texts: pc.binary_join_element_wise(texts, "!", "")).alias("s")).collect()
+    assert [(r["s"]["marked"], r["s"]["value"]) for r in made] == [(r["id"] % 10 == 0, f"{r['id']}!" if r["id"] % 10 == 0 and r["id"] % 7 else None) for r in made]
+    none = store.Marks(rows.filter("id < 0").select(F.xxhash64("id").alias("h")), "h")
+    got = rows.select(none.having(F.xxhash64("id"), F.col("text"), "struct<node:bigint,body:binary>", jaccard._bodies(jaccard.Join())).alias("s"))
+    assert got.filter("s.marked or s.value is not null").count() == 0 and got.count() == 100
+
+
 def test_warc_round_trip_over_any_split(spark):
     rng = random.Random(1)
     same_page = "x" * 1500
