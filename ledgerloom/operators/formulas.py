@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import stored
+from .relational import any_of, stored
 
 _SHEET = r"(?:(?:'((?:[^']|'')+)'|([A-Za-z_][A-Za-z0-9_.]*))!)?"
 _CELL = r"\$?([A-Za-z]{1,3})\$?([0-9]{1,7})"
@@ -21,6 +21,12 @@ def column_number(letters: Column) -> Column:
     return F.aggregate(F.filter(F.split(F.upper(letters), ""), lambda c: c != ""), F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64)
 
 
+def _short_number(letters: Column) -> Column:
+    """The same for one to three capitals, without a loop."""
+    at = lambda i: F.ascii(F.substring(letters, i, 1)) - 64
+    return F.when(F.length(letters) == 1, at(1)).when(F.length(letters) == 2, at(1) * 26 + at(2)).otherwise((at(1) * 26 + at(2)) * 26 + at(3))
+
+
 def column_letters(number: Column) -> Column:
     """The other way, up to three letters."""
     low, mid, high = (number - 1) % 26, F.floor((number - 27) / 26) % 26, F.floor((number - 703) / 676)
@@ -34,15 +40,21 @@ def references(formulas: DataFrame, formula: str = "formula", sheet: str = "shee
     Texts in quotes and references to other workbooks are left out; a name of a
     function such as LOG10 is no cell. Ends may stand in any order.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.col(formula), r'"(?:[^"]|"")*"', '""'), r"'(?:[^']|'')*\[[^']*'!|\[[^\]]*\][A-Za-z0-9_.]*!", "#")
-    bare = F.regexp_replace(bare, r"#\$?[A-Za-z]{1,3}\$?[0-9]{1,7}(?::\$?[A-Za-z]{1,3}\$?[0-9]{1,7})?", "")
-    found = formulas.filter(F.startswith(formula, F.lit("="))).withColumn("_r", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(REFERENCE), 0))))
-    part = lambda i: F.nullif(F.regexp_extract("_r", REFERENCE, i), F.lit(""))
-    number = lambda c: c.cast("int")
-    c1, c2 = column_number(F.coalesce(part(3), part(7))), column_number(F.coalesce(part(5), part(8), part(3)))
-    r1, r2 = number(F.coalesce(part(4), part(9))), number(F.coalesce(part(6), part(10), part(4)))
-    c1, c2, r1, r2 = F.coalesce(c1, F.lit(1)), F.coalesce(c2, F.lit(LAST_COLUMN)), F.coalesce(r1, F.lit(1)), F.coalesce(r2, F.lit(LAST_ROW))
-    target = F.coalesce(F.replace(part(1), F.lit("''"), F.lit("'")), part(2), F.col(sheet))
+    has = lambda c, *marks: any_of([F.contains(c, F.lit(m)) for m in marks])
+    bare = formulas.filter(F.startswith(formula, F.lit("="))).withColumn("_b", F.when(has(formula, '"'), F.regexp_replace(formula, r'"(?:[^"]|"")*"', '""')).otherwise(F.col(formula)))
+    others = F.regexp_replace("_b", r"'(?:[^']|'')*\[[^']*'!|\[[^\]]*\][A-Za-z0-9_.]*!", "#")
+    bare = bare.withColumn("_b", F.when(has("_b", "[", "#"), F.regexp_replace(others, r"#\$?[A-Za-z]{1,3}\$?[0-9]{1,7}(?::\$?[A-Za-z]{1,3}\$?[0-9]{1,7})?", "")).otherwise(F.col("_b")))
+    found = bare.withColumn("_r", F.explode(F.array_distinct(F.regexp_extract_all("_b", F.lit(REFERENCE), 0))))
+    # what the pattern has found is taken apart without patterns
+    found = found.withColumn("_a", F.substring_index("_r", "!", -1))
+    found = found.withColumns({"_s": F.substring("_r", F.lit(1), F.length("_r") - F.length("_a") - 1), "_a": F.upper(F.replace("_a", F.lit("$"), F.lit("")))})
+    found = found.withColumns({"_1": F.substring_index("_a", ":", 1), "_2": F.substring_index("_a", ":", -1)})
+    found = found.withColumns({f"_{kind}{i}": trim(f"_{i}", F.lit(marks)) for i in (1, 2) for kind, trim, marks in [("c", F.rtrim, "0123456789"), ("r", F.ltrim, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]})
+    row = lambda c, none: F.when(F.col(c) == "", none).otherwise(F.col(c).cast("int"))
+    col = lambda c, none: F.when(F.col(c) == "", none).otherwise(_short_number(F.col(c)))
+    r1, r2, c1, c2 = row("_r1", 1), row("_r2", LAST_ROW), col("_c1", 1), col("_c2", LAST_COLUMN)
+    quoted = F.replace(F.substring("_s", F.lit(2), F.length("_s") - 2), F.lit("''"), F.lit("'"))
+    target = F.when(F.col("_s") == "", F.col(sheet)).when(F.startswith("_s", F.lit("'")), quoted).otherwise(F.col("_s"))
     return found.select(*formulas.columns, target.alias("p_sheet"), F.least(r1, r2).alias("row_from"), F.greatest(r1, r2).alias("row_to"), F.least(c1, c2).alias("col_from"), F.greatest(c1, c2).alias("col_to"))
 
 
