@@ -66,7 +66,7 @@ def direct_precedents(cells: DataFrame) -> DataFrame:
     a range may be far larger than what it holds. Sheets match whatever their case.
     """
     used = cells.groupBy("book", F.lower("sheet").alias("_t")).agg(F.max("row").alias("_last"))
-    asked = references(cells.filter("formula is not null").select("book", "sheet", "row", "col", "formula")).drop("formula")
+    asked = stored(references(cells.filter("formula is not null").select("book", "sheet", "row", "col", "formula")).drop("formula"))  # with the join, its code would be too long for the compiler
     asked = asked.withColumn("_t", F.lower("p_sheet")).join(used, ["book", "_t"]).withColumn("row_to", F.least("row_to", "_last")).filter("row_from <= row_to")
     asked = asked.withColumn("_band", F.explode(F.sequence(F.floor(F.col("row_from") / _BAND), F.floor(F.col("row_to") / _BAND))))
     held = cells.select("book", F.lower("sheet").alias("_t"), F.col("sheet").alias("_s"), F.col("row").alias("p_row"), F.col("col").alias("p_col"), F.floor(F.col("row") / _BAND).alias("_band"))
